@@ -7,10 +7,12 @@ before the shuffle and no episode has to fit into one array.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodium import dims
 from episodium.functions.pose import all_close
+from episodium.functions.ranking import sliced_index
 
 SWEEPS = [dims.TASKS["sweep_without_exceeding"], dims.TASKS["sweep_without_touching"]]
 IN_ORDER = dims.TASKS["pick_in_order_then_restore"]
@@ -267,16 +269,45 @@ def first_successful_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def seed_schedule(definitions: DataFrame, start: int, episodes_per_task: int) -> DataFrame:
-    """Starting seeds ``(start + i) * (task position + 1) * 999`` for every task and episode."""
-    return definitions.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(episodes_per_task - 1))).alias("episode")
-    ).withColumn(
+def episode_definitions(tasks: DataFrame, episodes_per_task: int) -> DataFrame:
+    """One row per task and episode to generate."""
+    numbers = F.sequence(F.lit(0), F.lit(episodes_per_task - 1))
+    return tasks.select("*", F.explode(numbers).cast("bigint").alias("episode"))
+
+
+def seed_schedule(definitions: DataFrame, start: int) -> DataFrame:
+    """Starting seeds ``(start + episode) * (task position + 1) * 999``.
+
+    The formula gives the same seed to episodes of different tasks; ``episodes_with_seed`` shows it.
+    """
+    scheduled = definitions.withColumn(
         "seed",
-        (F.lit(start) + F.col("episode")).cast("bigint")
+        (F.lit(start).cast("bigint") + F.col("episode"))
         * (F.col("position") + 1)
         * F.lit(dims.SEED_SPACING),
     )
+    repeats = scheduled.groupBy("seed").agg(F.count(F.lit(1)).alias("episodes_with_seed"))
+    return scheduled.join(repeats, "seed")
+
+
+def worker_chunks(definitions: DataFrame, workers: int) -> DataFrame:
+    """Consecutive chunks of ``ceil(n / workers)`` definitions, in order of task and episode."""
+    inside = sliced_index(
+        definitions,
+        ["position"],
+        [F.col("episode")],
+        [F.floor(F.col("episode") / (1 << 14))],
+        "__in_task",
+    )
+    sizes = definitions.groupBy("position").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per task: the window below is as small as the task table
+    before = W.orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("position", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    size = definitions.agg(F.ceil(F.count(F.lit(1)) / workers)).scalar()
+    return inside.join(F.broadcast(starts), "position").select(
+        *definitions.columns,
+        F.floor((F.col("__start") + F.col("__in_task")) / size).alias("chunk"),
+    )
 
 
 def baseline_delta(values: DataFrame, runs: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Importing this module registers all queries."""
 
 from episodium.plans import (  # noqa: F401
+    dataset_queries,
     evaluation_queries,
 )
 from episodium.plans.registry import ORACLES, QUERIES

@@ -320,27 +320,35 @@ def l8(spark, folder):
     )
 
 
+# task position: where the task stands among the five tasks in use
+POSITIONS = {task: i for i, task in enumerate(sorted(dims.TASK_IDS_BY_ANY_NAME[n] for n in b.TASK_NAME_OF_PRIORITY.values()))}
+WORKERS = 7
+DEFINITIONS = f"""{b.INSTANCES}, definitions AS (
+  SELECT idx AS episode, {b.sql_lookup(POSITIONS, "task")} AS position FROM instances)"""
+
+
+def definitions(spark, folder):
+    return b.instances(spark, folder).select(
+        F.col("idx").alias("episode"), b.lookup(POSITIONS, F.col("task")).alias("position")
+    )
+
+
 @query(
     "l10_seed_schedule",
-    f"""WITH {b.INSTANCES}, tasks AS (
-      SELECT task, count(*) AS n, row_number() OVER (ORDER BY task) - 1 AS position FROM instances GROUP BY task),
-    schedule AS (SELECT task, CAST(e.episode AS INTEGER) AS episode,
-      (1000 + e.episode) * (position + 1) * 999 AS seed FROM tasks, (SELECT unnest(range(0, 200)) AS episode) e)
-    SELECT task, episode, seed, count(*) OVER (PARTITION BY seed) AS tasks_with_seed FROM schedule""",
+    f"""WITH {DEFINITIONS}, schedule AS (SELECT *, (1000 + episode) * (position + 1) * 999 AS seed FROM definitions)
+    SELECT episode, position, seed, count(*) OVER (PARTITION BY seed) AS episodes_with_seed FROM schedule""",
 )
 def l10(spark, folder):
-    from pyspark.sql import Window as W
+    return ev.seed_schedule(definitions(spark, folder), 1000)
 
-    # five tasks at most, so the position window and the seed counts are tiny
-    tasks = (
-        b.instances(spark, folder)
-        .groupBy("task")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("position", F.row_number().over(W.orderBy("task")) - 1)
-    )
-    schedule = ev.seed_schedule(tasks, 1000, 200)
-    duplicates = schedule.groupBy("seed").agg(F.count(F.lit(1)).alias("tasks_with_seed"))
-    return schedule.join(duplicates, "seed").select("task", "episode", "seed", "tasks_with_seed")
+
+@query(
+    "l10_worker_chunks",
+    f"""WITH {DEFINITIONS}, n AS (SELECT *, row_number() OVER (ORDER BY position, episode) - 1 AS i, count(*) OVER () AS total FROM definitions)
+    SELECT episode, position, i // CAST(ceil(total / {WORKERS}) AS BIGINT) AS chunk FROM n""",
+)
+def l10_chunks(spark, folder):
+    return ev.worker_chunks(definitions(spark, folder), WORKERS)
 
 
 @query(
