@@ -105,10 +105,18 @@ def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> list[list[C
 
 
 def quaternion_to_euler(x: Column, y: Column, z: Column, w: Column) -> list[Column]:
-    """Angles about x, y, z for rotations applied in the order z, x, y."""
+    """Angles about x, y, z for rotations applied in the order z, x, y.
+
+    Where x turns by a right angle, z and y turn about the same line; all of it goes to z then.
+    """
     m = quaternion_matrix(x, y, z, w)
-    pitch = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -m[1][2]))
-    return [F.asin(pitch), F.atan2(m[0][2], m[2][2]), F.atan2(m[1][0], m[1][1])]
+    level = F.sqrt(m[2][2] * m[2][2] + m[0][2] * m[0][2])
+    regular = level > 1e-9
+    return [
+        F.atan2(-m[1][2], level),
+        F.when(regular, F.atan2(m[0][2], m[2][2])).otherwise(F.lit(0.0)),
+        F.when(regular, F.atan2(m[1][0], m[1][1])).otherwise(F.atan2(-m[0][1], m[0][0])),
+    ]
 
 
 def quaternion_product(a: list[Column], b: list[Column]) -> list[Column]:

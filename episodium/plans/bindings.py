@@ -305,9 +305,9 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PIXELS = """pixels AS (
-  SELECT frame, (at - 1) // 8 AS y, (at - 1) % 8 AS x,
+  SELECT frame, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x,
     CAST(least(floor(abs(e) * 20), 7) AS INTEGER) AS id, abs(e) AS grey
-  FROM (SELECT vec_id AS frame, unnest(range(1, 65)) AS at,
+  FROM (SELECT vec_id AS frame, unnest(range(1, 65)) AS pos,
       CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings))"""
 
 

@@ -1,8 +1,10 @@
 """Importing this module registers all queries."""
 
 from episodium.plans import (  # noqa: F401
+    action_queries,
     dataset_queries,
     evaluation_queries,
+    scene_queries,
 )
 from episodium.plans.registry import ORACLES, QUERIES
 
