@@ -15,7 +15,7 @@ def keyed_hash(seed: object, *key: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def hash_to_int(digest: Column, start: int = 1, digits: int = 8) -> Column:
+def hash_to_int(digest: Column, start: int | Column = 1, digits: int | Column = 8) -> Column:
     """The integer that ``digits`` hex digits of a digest spell."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
 

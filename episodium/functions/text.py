@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from episodium.functions.keyed import hash_to_int, keyed_hash
+from episodium.functions.keyed import hash_to_int, keyed_hash, keyed_int
 
 # --- fixed values: letters used for nonsense words -----------------------------------------------
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Text split at single spaces; double spaces leave empty words."""
     return F.split(text, " ")
@@ -18,7 +23,7 @@ def words(text: Column) -> Column:
 
 def bare(word: Column) -> Column:
     """Word without dots, then colons, at its end."""
-    return F.regexp_replace(F.regexp_replace(word, r"\.+$", ""), ":+$", "")
+    return F.rtrim(F.rtrim(word, F.lit(".")), F.lit(":"))
 
 
 def is_slot(word: Column) -> Column:
@@ -52,23 +57,31 @@ def extract_slots(prompt: Column, template: Column, strict: bool = True) -> Colu
     A slot that occurs twice keeps its last word.  With ``strict`` a different number of words
     gives NULL; otherwise the longer side is cut.
     """
-    left, right = template_words(template), prompt_words(prompt)
-    pairs = F.arrays_zip(left.alias("slot"), right.alias("word"))
-    found = F.filter(
-        pairs, lambda p: p["slot"].isNotNull() & p["word"].isNotNull() & is_slot(p["slot"])
-    )
-    last = F.filter(
-        F.transform(found, lambda p, i: F.struct(slot_name(p["slot"]).alias("slot"), p["word"].alias("word"), i.alias("at"))),
-        lambda p: F.lit(True),
-    )
-    kept = F.filter(
-        last,
-        lambda p: ~F.exists(last, lambda q: (q["slot"] == p["slot"]) & (q["at"] > p["at"])),
-    )
-    mapped = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["slot"], p["word"])))
-    if not strict:
-        return mapped
-    return F.when(F.size(left) == F.size(right), mapped)
+
+    def last_words(found: Column) -> Column:
+        kept = F.filter(
+            found,
+            lambda p, i: ~F.exists(
+                F.slice(found, i + 2, F.size(found)), lambda q: q["slot"] == p["slot"]
+            ),
+        )
+        return F.map_from_entries(
+            F.transform(kept, lambda p: F.struct(slot_name(p["slot"]), p["word"]))
+        )
+
+    def pairs(left: Column, right: Column) -> Column:
+        either = F.sequence(F.lit(1), F.least(F.size(left), F.size(right)))
+        zipped = F.transform(
+            either,
+            lambda n: F.struct(F.get(left, n - 1).alias("slot"), F.get(right, n - 1).alias("word")),
+        )
+        return F.filter(zipped, lambda p: is_slot(p["slot"]))
+
+    def extract(left: Column, right: Column) -> Column:
+        mapped = let(pairs(left, right), last_words)
+        return F.when(F.size(left) == F.size(right), mapped) if strict else mapped
+
+    return let(template_words(template), lambda a: let(prompt_words(prompt), lambda b: extract(a, b)))
 
 
 def substitute(template: Column, values: Column) -> Column:
@@ -97,11 +110,11 @@ def substitute(template: Column, values: Column) -> Column:
 
 def sentence(text: Column) -> Column:
     """Trimmed, first letter upper case and the rest lower case, one final dot, single spaces."""
-    trimmed = F.trim(text)
-    cased = F.concat(
-        F.upper(F.substring(trimmed, 1, 1)), F.lower(F.substring(trimmed, F.lit(2), F.length(trimmed)))
+    cased = let(
+        F.trim(text),
+        lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, F.lit(2), F.length(t)))),
     )
-    dotted = F.when(cased.endswith("."), cased).otherwise(F.concat(cased, F.lit(".")))
+    dotted = let(cased, lambda c: F.when(c.endswith("."), c).otherwise(F.concat(c, F.lit("."))))
     return F.replace(dotted, F.lit("  "), F.lit(" "))
 
 
@@ -133,25 +146,25 @@ def only_expected_slots(prompt: Column, required: Column) -> Column:
 
 def nonsense_word(length: Column, seed: object, *key: Column) -> Column:
     """Keyed letters, as many as the word has; 16 letters per digest."""
-    letters = F.transform(
-        F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))),
-        lambda j: F.substring(
-            F.lit(LETTERS),
-            (
-                F.conv(
-                    F.substring(
-                        keyed_hash(seed, *key, F.floor(j / 16)), (j % 16) * 2 + 1, F.lit(2)
+
+    def letters(block: Column) -> Column:
+        return let(
+            keyed_hash(seed, *key, block),
+            lambda h: F.array_join(
+                F.transform(
+                    F.sequence(F.lit(0), F.least(F.lit(15), length - 1 - block * 16)),
+                    lambda j: F.substring(
+                        F.lit(LETTERS),
+                        hash_to_int(h, j * 2 + 1, F.lit(2)).cast("int") % len(LETTERS) + 1,
+                        F.lit(1),
                     ),
-                    16,
-                    10,
-                ).cast("int")
-                % len(LETTERS)
-            )
-            + 1,
-            F.lit(1),
-        ),
-    )
-    return F.when(length > 0, F.array_join(letters, "")).otherwise(F.lit(""))
+                ),
+                "",
+            ),
+        )
+
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(length, F.lit(1)) - 1) / 16).cast("int"))
+    return F.when(length > 0, F.array_join(F.transform(blocks, letters), "")).otherwise(F.lit(""))
 
 
 def shuffle_unlocked(items: Column, unlocked, seed: object, *key: Column) -> Column:
@@ -159,28 +172,33 @@ def shuffle_unlocked(items: Column, unlocked, seed: object, *key: Column) -> Col
 
     ``unlocked`` tells from an item whether it may move.
     """
-    order = F.array_sort(
-        F.transform(
-            F.filter(
-                F.transform(items, lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-                lambda p: unlocked(p["w"]),
-            ),
-            lambda p: F.struct(keyed_hash(seed, *key, p["i"]).alias("h"), p["i"].alias("i"), p["w"].alias("w")),
+
+    def place(free: Column, order: Column) -> Column:
+        moves = F.map_from_entries(
+            F.transform(free, lambda p, k: F.struct(p["i"], F.get(order, k)["w"]))
         )
-    )
-    places = F.transform(
-        items,
-        lambda w, i: F.size(F.filter(F.slice(items, 1, i + 1), unlocked)),
-    )
-    return F.transform(
-        items,
-        lambda w, i: F.when(unlocked(w), F.get(order, F.get(places, i) - 1)["w"]).otherwise(w),
-    )
+        return let(
+            moves, lambda m: F.transform(items, lambda w, i: F.coalesce(F.try_element_at(m, i), w))
+        )
+
+    def in_order(free: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                free,
+                lambda p: F.struct(
+                    keyed_hash(seed, *key, p["i"]).alias("h"), p["i"].alias("i"), p["w"].alias("w")
+                ),
+            )
+        )
+
+    numbered = F.transform(items, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    free = F.filter(numbered, lambda p: unlocked(p["w"]))
+    return let(free, lambda f: let(in_order(f), lambda o: place(f, o)))
 
 
 def pick_from(options: Column, seed: object, *key: Column) -> Column:
     """A keyed choice from an array."""
-    return F.get(options, (hash_to_int(keyed_hash(seed, *key)) % F.size(options)).cast("int"))
+    return F.get(options, keyed_int(F.size(options), seed, *key).cast("int"))
 
 
 def prefixes_of(parts: Column) -> Column:

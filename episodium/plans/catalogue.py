@@ -4,6 +4,7 @@ from episodium.plans import (  # noqa: F401
     action_queries,
     dataset_queries,
     evaluation_queries,
+    prompt_queries,
     scene_queries,
 )
 from episodium.plans.registry import ORACLES, QUERIES
