@@ -5,7 +5,10 @@ from episodium.plans import (  # noqa: F401
     dataset_queries,
     evaluation_queries,
     prompt_queries,
+    run_queries,
     scene_queries,
+    sequence_queries,
+    stream_queries,
 )
 from episodium.plans.registry import ORACLES, QUERIES
 
