@@ -58,7 +58,8 @@ def step_log(spark, folder):
         F.when(F.col("qty") > 45, "pointless").when(F.col("qty") < 4, "failed").when(F.col("success"), "success")
     )
     return steps.join(ends, "idx").select(
-        "idx", "t", "success", reason.alias("reason"), (F.col("t") == F.col("last_t")).alias("is_last")
+        "idx", "t", "success", reason.alias("reason"), (F.col("t") == F.col("last_t")).alias("is_last"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"),
     )
 
 

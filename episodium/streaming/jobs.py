@@ -76,7 +76,7 @@ def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 # --- episode buffer --------------------------------------------------------------------------------
 
-STEP_SCHEMA = "idx bigint, t bigint, success boolean, reason string, is_last boolean"
+STEP_SCHEMA = "idx bigint, t bigint, success boolean, reason string, is_last boolean, arrived timestamp"
 CLOSED_SCHEMA = "idx bigint, steps_taken bigint, recorded string, final_success boolean, reason string"
 STATE_SCHEMA = "ts array<bigint>, successes array<boolean>, reasons array<string>, lasts array<boolean>, closed boolean"
 
@@ -100,7 +100,7 @@ def close_episode(held: dict[int, tuple], max_steps: int) -> dict | None:
     return None
 
 
-def buffer_episodes(steps: DataFrame, max_steps: int) -> DataFrame:
+def buffer_episodes(steps: DataFrame, max_steps: int, keep: str = "1 hour") -> DataFrame:
     """Closed episodes from a stream of steps that may arrive in any order.
 
     Steps at or beyond the limit are dropped before the shuffle: an episode cannot use them.  So a
@@ -117,7 +117,9 @@ def buffer_episodes(steps: DataFrame, max_steps: int) -> DataFrame:
         if state.exists:
             ts, successes, reasons, lasts, closed = state.get
             held = {t: (s, r, e) for t, s, r, e in zip(ts, successes, reasons, lasts)}
+        newest = 0
         for frame in batches:
+            newest = max(newest, int(frame["arrived"].max().timestamp() * 1000))
             if closed:
                 continue
             for t, s, r, e in zip(frame["t"], frame["success"], frame["reason"], frame["is_last"]):
@@ -135,15 +137,16 @@ def buffer_episodes(steps: DataFrame, max_steps: int) -> DataFrame:
                 closed,
             )
         )
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         if done is not None:
             yield pd.DataFrame([{"idx": key[0], **done}])
 
     return (
-        steps.where(F.col("t") < max_steps)
+        steps.withWatermark("arrived", keep)
+        .where(F.col("t") < max_steps)
         .groupBy("idx")
         .applyInPandasWithState(
-            update, CLOSED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
+            update, CLOSED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
