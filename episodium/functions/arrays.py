@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from episodium.functions.text import let
+
 
 def pad_to(array: Column, length: Column, filler: Column) -> Column:
     """The array followed by ``filler`` up to ``length``."""
     return F.concat(array, F.array_repeat(filler, F.greatest(length - F.size(array), F.lit(0)).cast("int")))
 
 
-def joined(array: Column, separator: str = ",") -> Column:
-    """Array elements as one string."""
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), separator)
-
-
 def lists_to_records(**arrays: Column) -> Column:
     """Parallel arrays to an array of structs; NULL when the lengths differ."""
-    names = list(arrays)
-    first = arrays[names[0]]
+    columns = list(arrays.values())
     equal = F.lit(True)
-    for name in names[1:]:
-        equal = equal & (F.size(arrays[name]) == F.size(first))
-    zipped = F.transform(
-        first,
-        lambda _, i: F.struct(*[F.get(arrays[n], i).alias(n) for n in names]),
-    )
-    return F.when(equal, zipped)
+    for other in columns[1:]:
+        equal = equal & (F.size(other) == F.size(columns[0]))
+    return F.when(equal, F.arrays_zip(*[c.alias(n) for n, c in arrays.items()]))
 
 
 def records_to_list(records: Column, field: str) -> Column:
@@ -35,38 +27,15 @@ def records_to_list(records: Column, field: str) -> Column:
     return F.transform(records, lambda r: r[field])
 
 
-def indexed(array: Column, name: str = "index") -> Column:
-    """Array of structs with each element's position in front."""
-    return F.transform(array, lambda x, i: F.struct(i.cast("bigint").alias(name), x.alias("item")))
-
-
-def success_tracker(length: Column, success: Column, null_action_kept: bool) -> Column:
-    """Per-step success of a demonstration: only its last step succeeds.
-
-    With a null action appended, the step before it succeeds as well.
-    """
-    last = 2 if null_action_kept else 1
-    return F.when(
-        length > 0,
-        F.transform(
-            F.sequence(F.lit(1), length.cast("int")),
-            lambda step: success & (step > length - last),
-        ),
-    ).otherwise(F.array().cast("array<boolean>"))
-
-
-def truncate_to(observations: Column, actions: Column) -> Column:
-    """Observations without those after the last action."""
-    return F.slice(observations, 1, F.size(actions))
-
-
 def log_softmax_loss(logits: Column, target: Column, ignored: int) -> Column:
     """Cross-entropy of one logit vector; NULL for an ignored target."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.when(
-        target != ignored, top + F.ln(total) - F.get(logits, target.cast("int"))
+    loss = let(
+        F.array_max(logits),
+        lambda top: top
+        + F.ln(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+        - F.get(logits, target.cast("int")),
     )
+    return F.when(target != ignored, loss)
 
 
 def argmax(values: Column) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from episodium.functions.keyed import hash_to_int, keyed_hash, keyed_int
+from episodium.functions.keyed import keyed_hash, keyed_int
 
-# --- fixed values: letters used for nonsense words -----------------------------------------------
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+NOT_LETTERS = "0123456789+/="  # what base 64 has besides the 52 letters
 
 
 def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    """``use(value)`` with the value computed once, however often ``use`` refers to it.
+
+    Also needed for computed columns inside a lambda: the optimizer may move the computation of a
+    column that is mentioned once into the lambda, where it would run for every element.
+    """
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -90,22 +93,19 @@ def substitute(template: Column, values: Column) -> Column:
     Unknown slots stay.  Values are not searched for slots again.
     """
     pieces = F.split(template, r"\{")
-    filled = F.transform(
-        pieces,
-        lambda piece, i: F.when(i == 0, piece).otherwise(
-            F.when(
-                F.instr(piece, "}") > 0,
-                F.concat(
-                    F.coalesce(
-                        F.try_element_at(values, F.substring_index(piece, "}", 1)),
-                        F.concat(F.lit("{"), F.substring_index(piece, "}", 1), F.lit("}")),
-                    ),
-                    F.substring(piece, F.instr(piece, "}") + 1, F.length(piece)),
-                ),
-            ).otherwise(F.concat(F.lit("{"), piece))
+
+    def filled(piece: Column, known: Column) -> Column:
+        name = F.substring_index(piece, "}", 1)
+        value = F.coalesce(F.try_element_at(known, name), F.concat(F.lit("{"), name, F.lit("}")))
+        rest = F.substring(piece, F.instr(piece, "}") + 1, F.length(piece))
+        return F.when(F.instr(piece, "}") > 0, F.concat(value, rest)).otherwise(F.concat(F.lit("{"), piece))
+
+    return let(
+        values,
+        lambda known: F.array_join(
+            F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(filled(piece, known))), ""
         ),
     )
-    return F.array_join(filled, "")
 
 
 def sentence(text: Column) -> Column:
@@ -130,41 +130,39 @@ def fill(template: Column, values: Column) -> Column:
 
 def has_all_slots(prompt: Column, required: Column) -> Column:
     """Whether every required slot is still marked in the prompt."""
-    return F.forall(
-        required, lambda p: F.contains(prompt, F.concat(F.lit("{"), p, F.lit("}")))
+    return let(
+        prompt,
+        lambda text: F.forall(
+            required, lambda p: F.contains(text, F.concat(F.lit("{"), p, F.lit("}")))
+        ),
     )
 
 
 def only_expected_slots(prompt: Column, required: Column) -> Column:
     """Whether each word that opens a slot names an expected one."""
     opened = F.filter(words(prompt), lambda w: w.startswith("{"))
-    return F.forall(
-        opened,
-        lambda w: F.array_contains(required, slot_name(bare(F.trim(w)))),
+    return let(
+        required,
+        lambda names: F.forall(opened, lambda w: F.array_contains(names, slot_name(bare(F.trim(w))))),
     )
 
 
 def nonsense_word(length: Column, seed: object, *key: Column) -> Column:
-    """Keyed letters, as many as the word has; 16 letters per digest."""
+    """Keyed letters, as many as the word has.
 
-    def letters(block: Column) -> Column:
-        return let(
-            keyed_hash(seed, *key, block),
-            lambda h: F.array_join(
-                F.transform(
-                    F.sequence(F.lit(0), F.least(F.lit(15), length - 1 - block * 16)),
-                    lambda j: F.substring(
-                        F.lit(LETTERS),
-                        hash_to_int(h, j * 2 + 1, F.lit(2)).cast("int") % len(LETTERS) + 1,
-                        F.lit(1),
-                    ),
-                ),
-                "",
+    The letters are those of a digest in base 64; a digest holds about 18, one is taken per eight
+    letters wanted.
+    """
+    letters = F.array_join(
+        F.transform(
+            F.sequence(F.lit(0), F.floor(length / 8).cast("int")),
+            lambda block: F.translate(
+                F.base64(F.unhex(keyed_hash(seed, *key, block))), NOT_LETTERS, ""
             ),
-        )
-
-    blocks = F.sequence(F.lit(0), F.floor((F.greatest(length, F.lit(1)) - 1) / 16).cast("int"))
-    return F.when(length > 0, F.array_join(F.transform(blocks, letters), "")).otherwise(F.lit(""))
+        ),
+        "",
+    )
+    return F.when(length > 0, let(letters, lambda x: F.rpad(x, length, x))).otherwise(F.lit(""))
 
 
 def shuffle_unlocked(items: Column, unlocked, seed: object, *key: Column) -> Column:

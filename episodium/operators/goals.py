@@ -38,7 +38,7 @@ def nearest_open_target(objects: DataFrame, targets: DataFrame) -> DataFrame:
 def distractor_conflicts(distractors: DataFrame, targets: DataFrame, objects: DataFrame) -> DataFrame:
     """Episodes in which a distractor stands on a target or an object stands where a distractor is."""
     on_target = pose_matches(distractors, targets, ["idx"], "left_semi").select("idx")
-    on_distractor = pose_matches(objects, distractors, ["idx"], "left_semi").select("idx")
+    on_distractor = pose_matches(objects, distractors, ["idx"], "left_semi", crowded=True).select("idx")
     return on_target.union(on_distractor).distinct()
 
 

@@ -1,8 +1,9 @@
 """Prompt transforms.
 
 A transform is a function from DataFrame to DataFrame (``rows.transform(f)``); prompts live in a
-``prompt`` column next to ``idx`` and ``task``.  Template sets are fixed dimension tables of 17
-rows, so matching a prompt with the templates of its task needs a broadcast and no shuffle.
+``prompt`` column next to ``idx`` and ``task``.  Template sets are fixed data of a hundred
+templates, held as one literal: matching a prompt with the templates of its task needs no join, and
+rows carry template numbers, never templates.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodium import dims
@@ -45,7 +46,7 @@ _SLOT = "struct<at:int,slot:string,words:array<string>>"
 _TEMPLATE = f"struct<no:int,text:string,n_words:int,slots:array<{_SLOT}>,pieces:array<{_PIECE}>,tail:string>"
 
 
-def template_parts(number: int, text: str, vocabulary: dict[str, list[str]]) -> tuple:
+def template_parts(number: int, text: str, vocabulary: dict[str, list[str]]) -> dict:
     """A template cut up once, so that rows need no parsing.
 
     ``slots`` tells at which word a slot (its last mention) stands.  ``pieces`` are the texts before
@@ -64,39 +65,38 @@ def template_parts(number: int, text: str, vocabulary: dict[str, list[str]]) ->
     for place, (before, slot) in enumerate(mentions):
         first = names.index(slot) == place
         again = kept.index(slot) if slot in kept and not first else None
-        pieces.append((before, slot, vocabulary.get(slot), slot in kept and first, again))
+        pieces.append(
+            {
+                "before": before, "slot": slot, "words": vocabulary.get(slot),
+                "keep": slot in kept and first, "again": again,
+            }
+        )
     tail = text[sum(len(before) + len(slot) + 2 for before, slot in mentions) :]
-    return (
-        number,
-        text,
-        len(text.split(" ")),
-        [(at, slot, vocabulary.get(slot)) for slot, at in slots.items()],
-        pieces,
-        tail,
-    )
-
-
-def template_sets(spark: SparkSession, templates: dict[str, list[str]], slots: dict[str, dict[str, list[str]]]) -> DataFrame:
-    """One row per task with its templates; each slot knows the words it may take."""
-    rows = [
-        (dims.TASKS[task], [template_parts(i, text, slots.get(task, {})) for i, text in enumerate(texts)])
-        for task, texts in templates.items()
-    ]
-    return spark.createDataFrame(rows, f"task int, templates array<{_TEMPLATE}>")
-
-
-def with_templates(rows: DataFrame, sets: DataFrame, how: str = "left") -> DataFrame:
-    """Rows with the template set of their task."""
-    return rows.join(F.broadcast(sets), "task", how)
-
-
-def keyed_template(templates: Column, seed: object, *key: Column) -> Column:
-    """The template whose keyed digest is smallest; NULL if there is none."""
+    return {
+        "no": number,
+        "text": text,
+        "n_words": len(text.split(" ")),
+        "slots": [{"at": at, "slot": slot, "words": vocabulary.get(slot)} for slot, at in slots.items()],
+        "pieces": pieces,
+        "tail": tail,
+    }
+
+
+def template_sets(templates: dict[str, list[str]], slots: dict[str, dict[str, list[str]]]) -> Column:
+    """The templates of a row's task, cut up; NULL if the task has none."""
+    by_task: list[list[dict] | None] = [None] * (max(dims.TASKS.values()) + 1)
+    for task, texts in templates.items():
+        vocabulary = slots.get(task, {})
+        by_task[dims.TASKS[task]] = [template_parts(i, text, vocabulary) for i, text in enumerate(texts)]
+    return F.get(F.from_json(F.lit(json.dumps(by_task)), f"array<array<{_TEMPLATE}>>"), F.col("task"))
+
+
+def keyed_number(templates: Column, seed: object, *key: Column) -> Column:
+    """Number of the template whose keyed digest is smallest; NULL if there is none."""
     drawn = F.transform(
-        templates,
-        lambda t: F.struct(keyed_hash(seed, *key, t["no"]).alias("h"), t["no"].alias("no"), t.alias("t")),
+        templates, lambda t: F.struct(keyed_hash(seed, *key, t["no"]).alias("h"), t["no"].alias("no"))
     )
-    return F.array_min(drawn)["t"]
+    return F.array_min(drawn)["no"]
 
 
 def picked_word(piece: Column, seed: object, *key: Column) -> Column:
@@ -115,21 +115,20 @@ def written(template: Column, value) -> Column:
     return F.concat(F.array_join(filled, ""), template["tail"])
 
 
-def generate(rows: DataFrame, sets: DataFrame, assets: Column, seed: object) -> DataFrame:
+def generate(rows: DataFrame, sets: Column, assets: Column, seed: object) -> DataFrame:
     """Prompts from a keyed template, keyed slot words and given asset expressions."""
     key = F.col("idx")
-    chosen = (
-        with_templates(rows, sets, "inner")
-        .withColumn("__assets", assets)
-        .withColumn("__template", keyed_template(F.col("templates"), seed, key))
-    )
-    text = written(
-        F.col("__template"),
-        lambda p: F.coalesce(
-            picked_word(p, seed, key), F.try_element_at("__assets", p["slot"]), left_open(p)
+    chosen = rows.where(sets.isNotNull()).withColumn("__no", keyed_number(sets, seed, key))
+    text = X.let(
+        assets,
+        lambda known: written(
+            F.get(sets, F.col("__no")),
+            lambda p: F.coalesce(
+                picked_word(p, seed, key), F.try_element_at(known, p["slot"]), left_open(p)
+            ),
         ),
     )
-    return chosen.withColumn("prompt", X.sentence(text)).drop("__template", "__assets", "templates")
+    return chosen.withColumn("prompt", X.sentence(text)).drop("__no")
 
 
 # --- matching a prompt with its template ----------------------------------------------------------
@@ -185,21 +184,29 @@ def fits(template: Column, words: Column) -> Column:
     )
 
 
-def slot_values(rows: DataFrame, sets: DataFrame, seed: object, textures: Column | None = None) -> DataFrame:
-    """Rows with the template that fits (``matched``, NULL if none does) and the slot words found.
+def slot_values(rows: DataFrame, sets: Column, seed: object, textures: Column | None = None) -> DataFrame:
+    """Rows with the number of the template that fits (``matched``, NULL if none does) and the slot
+    words found (``values``).
 
     Several templates may fit; a keyed one is taken.
     """
     names = textures if textures is not None else F.array().cast("array<string>")
-    masked = rows.withColumn("__masked", mask_textures(F.col("prompt"), names))
-    joined = with_templates(masked, sets).withColumn("__words", X.prompt_words(F.col("__masked.text")))
-    fitting = F.filter("templates", lambda t: fits(t, F.col("__words")))
-    matched = joined.withColumn("matched", keyed_template(fitting, seed, F.col("idx")))
-    values = F.map_from_entries(
-        F.transform(
-            "matched.slots",
-            lambda s: F.struct(s["slot"], unmask(F.get(F.col("__words"), s["at"]), F.col("__masked.names"))),
-        )
+    masked = rows.withColumn("__masked", mask_textures(F.col("prompt"), names)).withColumn(
+        "__words", X.prompt_words(F.col("__masked.text"))
+    )
+    fitting = X.let(F.col("__words"), lambda words: F.filter(sets, lambda t: fits(t, words)))
+    matched = masked.withColumn("matched", keyed_number(fitting, seed, F.col("idx")))
+    found = F.get(sets, F.col("matched"))["slots"]
+    values = X.let(
+        F.col("__words"),
+        lambda words: X.let(
+            F.col("__masked.names"),
+            lambda masked_names: F.map_from_entries(
+                F.transform(
+                    found, lambda s: F.struct(s["slot"], unmask(F.get(words, s["at"]), masked_names))
+                )
+            ),
+        ),
     )
     return matched.withColumn("values", values).drop("__masked", "__words")
 
@@ -224,30 +231,53 @@ def keeps(template: Column, required: Column, value) -> Column:
     )
 
 
-def _choose(known: DataFrame, seed: object, value, mark, allow_original: bool) -> DataFrame:
-    """Draw a template among the valid ones and write it."""
-    required = known.withColumn("__required", required_slots(F.col("prompt")))
-    valid = F.filter("templates", lambda t: keeps(t, F.col("__required"), mark))
-    if not allow_original:
-        original = F.lower("prompt")
-        valid = F.filter(valid, lambda t: F.lower(X.sentence(written(t, value))) != original)
-    chosen = required.withColumn(
-        "__template",
-        F.when(F.col("matched").isNotNull(), keyed_template(valid, f"{seed}-template", F.col("idx"))),
+def _choose(known: DataFrame, sets: Column, seed: object, value, mark, allow_original: bool) -> DataFrame:
+    """Draw a template among the valid ones and write it.
+
+    ``value(piece, values)`` fills a slot; ``mark(piece, values)`` is its part that may hold a
+    placeholder.
+    """
+
+    def valid(values: Column, required: Column, original: Column) -> Column:
+        kept = F.filter(sets, lambda t: keeps(t, required, lambda p: mark(p, values)))
+        if allow_original:
+            return kept
+        same = lambda t: F.lower(X.sentence(written(t, lambda p: value(p, values)))) == original
+        return F.filter(kept, lambda t: ~same(t))
+
+    numbers = X.let(
+        F.col("values"),
+        lambda v: X.let(
+            required_slots(F.col("prompt")),
+            lambda r: X.let(
+                F.lower("prompt"),
+                lambda o: keyed_number(valid(v, r, o), f"{seed}-template", F.col("idx")),
+            ),
+        ),
+    )
+    chosen = known.withColumn("__no", F.when(F.col("matched").isNotNull(), numbers))
+    text = X.let(
+        F.col("values"), lambda v: written(F.get(sets, F.col("__no")), lambda p: value(p, v))
     )
-    new = X.drop_adverb(X.sentence(written(F.col("__template"), value)))
     status = (
         F.when(F.col("matched").isNull(), F.lit("no template fits"))
-        .when(F.col("__template").isNull(), F.lit("no valid wording"))
+        .when(F.col("__no").isNull(), F.lit("no valid wording"))
         .otherwise(F.lit("ok"))
     )
-    return chosen.withColumn("status", status).withColumn("prompt", new).drop(
-        "__template", "__required", "templates", "matched", "values"
+    return (
+        chosen.withColumn("status", status)
+        .withColumn("prompt", X.drop_adverb(X.sentence(text)))
+        .drop("__no", "matched", "values")
     )
 
 
+def _kept(piece: Column, values: Column) -> Column:
+    """The prompt's own value for a slot, or the open slot."""
+    return F.coalesce(F.try_element_at(values, piece["slot"]), left_open(piece))
+
+
 def reword(
-    rows: DataFrame, sets: DataFrame, seed: object, textures: Column | None = None, allow_original: bool = True
+    rows: DataFrame, sets: Column, seed: object, textures: Column | None = None, allow_original: bool = True
 ) -> DataFrame:
     """New wording for each prompt; ``prompt`` is NULL and ``status`` tells why when there is none.
 
@@ -255,10 +285,14 @@ def reword(
     keep every required placeholder.
     """
     known = slot_values(rows, sets, seed, textures)
-    asset = lambda p: F.coalesce(F.try_element_at("values", p["slot"]), left_open(p))
-    value = lambda p: F.coalesce(picked_word(p, f"{seed}-words", F.col("idx")), asset(p))
-    mark = lambda p: F.when(p["words"].isNotNull(), F.lit("")).otherwise(asset(p))
-    return _choose(known, seed, value, mark, allow_original)
+
+    def value(piece: Column, values: Column) -> Column:
+        return F.coalesce(picked_word(piece, f"{seed}-words", F.col("idx")), _kept(piece, values))
+
+    def mark(piece: Column, values: Column) -> Column:
+        return F.when(piece["words"].isNotNull(), F.lit("")).otherwise(_kept(piece, values))
+
+    return _choose(known, sets, seed, value, mark, allow_original)
 
 
 def most_choices(templates: dict[str, list[str]], slots: dict[str, dict[str, list[str]]]) -> int:
@@ -271,7 +305,7 @@ def most_choices(templates: dict[str, list[str]], slots: dict[str, dict[str, lis
 
 
 def all_wordings(
-    rows: DataFrame, sets: DataFrame, seed: object, mentions: int, textures: Column | None = None
+    rows: DataFrame, sets: Column, seed: object, mentions: int, textures: Column | None = None
 ) -> DataFrame:
     """Every distinct valid wording per task.
 
@@ -285,9 +319,8 @@ def all_wordings(
         F.array_sort(required_slots(F.col("prompt"))).alias("required"),
     ).distinct()
     one_each = (
-        scenes.join(F.broadcast(sets), "task")
-        .withColumn("values", F.map_from_entries("found"))
-        .select("task", "required", "values", F.explode("templates").alias("template"))
+        scenes.withColumn("values", F.map_from_entries("found"))
+        .select("task", "required", "values", F.explode(sets).alias("template"))
     )
     asset = lambda p: F.coalesce(F.try_element_at("values", p["slot"]), left_open(p))
     # drawn words hold no placeholders, so the check needs no drawn words
@@ -491,7 +524,7 @@ def describe(assets: Column, mode: str | None, seed: object, key: Column) -> Col
     return F.transform_values(single, text)
 
 
-def textual(sets: DataFrame, seed: object, mode: str | None = None) -> Transform:
+def textual(sets: Column, seed: object, mode: str | None = None) -> Transform:
     """Placeholders of single objects become words.
 
     Tasks that would make no sense are left alone; tasks with word-order templates are first
@@ -501,11 +534,11 @@ def textual(sets: DataFrame, seed: object, mode: str | None = None) -> Transform
     def run(rows: DataFrame) -> DataFrame:
         avoided = F.col("task").isin([dims.TASKS[t] for t in dims.TASKS_KEPT_VISUAL])
         known = slot_values(rows, sets, seed).withColumn("original", F.col("prompt"))
-        value = lambda p: F.coalesce(
-            F.try_element_at("values", p["slot"]), picked_word(p, f"{seed}-words", F.col("idx")), left_open(p)
+        value = lambda p, values: F.coalesce(
+            F.try_element_at(values, p["slot"]), picked_word(p, f"{seed}-words", F.col("idx")), left_open(p)
         )
-        ordered = known.withColumn("__fixed_order", F.col("templates").isNotNull())
-        chosen = _choose(ordered, seed, value, value, allow_original=False)
+        ordered = known.withColumn("__fixed_order", sets.isNotNull())
+        chosen = _choose(ordered, sets, seed, value, value, allow_original=False)
         base = F.when(F.col("__fixed_order"), F.col("prompt")).otherwise(F.col("original"))
         text = X.substitute(base, describe(F.col("assets"), mode, seed, F.col("idx")))
         return chosen.select(
@@ -554,23 +587,12 @@ def other_instruction(seed: object) -> Transform:
 def expand_grammar(objects: DataFrame, templates: list[str], slots: dict[str, list[str]]) -> DataFrame:
     """Every distinct prompt of a grammar for each row of given slot ``values``."""
     parts = [template_parts(i, text, slots) for i, text in enumerate(templates)]
-    literal = F.from_json(
-        F.lit(json.dumps([_as_record(p) for p in parts])), f"array<{_TEMPLATE}>"
-    )
+    literal = F.from_json(F.lit(json.dumps(parts)), f"array<{_TEMPLATE}>")
     most = most_choices({"grammar": templates}, {"grammar": slots})
     rows = objects.select("values", F.explode(literal).alias("template"))
     return grow(rows, [], most).select(F.col("text").alias("prompt")).distinct()
 
 
-def _as_record(parts: tuple) -> dict:
-    number, text, n_words, _, pieces, tail = parts
-    names = ("before", "slot", "words", "keep", "again")
-    return {
-        "no": number, "text": text, "n_words": n_words, "slots": [],
-        "pieces": [dict(zip(names, p, strict=True)) for p in pieces], "tail": tail,
-    }
-
-
 # --- statistics and encoding -----------------------------------------------------------------------
 
 

@@ -77,13 +77,23 @@ def _renamed(frame: DataFrame, columns: list[str], prefix: str) -> DataFrame:
 
 
 def pose_matches(
-    objects: DataFrame, targets: DataFrame, keys: list[str], how: str = "inner", position_only: bool = False
+    objects: DataFrame,
+    targets: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    position_only: bool = False,
+    crowded: bool = False,
 ) -> DataFrame:
     """Objects joined to targets of the same group whose poses match.
 
-    Objects carry x, y, angle, symmetry; targets x, y, angle.  ``how`` may be ``left_semi``.
+    Objects carry x, y, angle, symmetry; targets x, y, angle.  ``how`` may be ``left_semi``.  A
+    group normally has a handful of targets, and the group key is enough.  ``crowded`` is for groups
+    with many targets and joins by grid cell as well.
     """
-    a, b, equal = near_candidates(objects, targets, 2 * dims.POSITION_TOLERANCE, keys)
+    if crowded:
+        a, b, equal = near_candidates(objects, targets, 2 * dims.POSITION_TOLERANCE, keys)
+    else:
+        a, b, equal = objects, targets, keys
     b = _renamed(b, [c for c in b.columns if c not in equal], "target_")
     condition = P.poses_match(
         F.col("x"), F.col("y"), F.col("angle"),

@@ -52,13 +52,13 @@ def asset_values():
     )
 
 
-def reword_sets(spark):
-    return pr.template_sets(spark, V.TEMPLATES, V.SLOTS)
+def reword_sets():
+    return pr.template_sets(V.TEMPLATES, V.SLOTS)
 
 
 def prompts(spark, folder):
     """Original prompts."""
-    return pr.generate(requests(spark, folder), reword_sets(spark), asset_values(), "prompt")
+    return pr.generate(requests(spark, folder), reword_sets(), asset_values(), "prompt")
 
 
 def templates_cte(name: str, templates: dict[str, list[str]]) -> str:
@@ -153,7 +153,7 @@ extracted AS (SELECT l.idx, l.task, l.slot, CASE WHEN found1 = 1 AND found2 = 1
 
 def known_slots(spark, folder):
     return pr.slot_values(
-        prompts(spark, folder), reword_sets(spark), "match", F.array("texture_a", "texture_b")
+        prompts(spark, folder), reword_sets(), "match", F.array("texture_a", "texture_b")
     )
 
 
@@ -164,13 +164,15 @@ def known_slots(spark, folder):
 )
 def j3(spark, folder):
     return known_slots(spark, folder).select(
-        "idx", "task", F.col("matched.no").alias("template_no"), F.col("matched").isNull().alias("rejected")
+        "idx", "task", F.col("matched").alias("template_no"), F.col("matched").isNull().alias("rejected")
     )
 
 
 @query("t4_extracted_slots", f"WITH {MATCHED} SELECT idx, slot, word FROM extracted")
 def t4(spark, folder):
-    return known_slots(spark, folder).select("idx", F.explode("values").alias("slot", "word"))
+    # the outer form keeps the optimizer from testing the computed map first, which costs as much
+    found = known_slots(spark, folder).select("idx", F.explode_outer("values").alias("slot", "word"))
+    return found.where("slot IS NOT NULL")
 
 
 @query(
@@ -244,7 +246,7 @@ def _no_percent(sql: str, extra: str) -> str:
 
 def reworded(spark, folder, allow_original=True):
     return pr.reword(
-        prompts(spark, folder), reword_sets(spark), "match", F.array("texture_a", "texture_b"), allow_original
+        prompts(spark, folder), reword_sets(), "match", F.array("texture_a", "texture_b"), allow_original
     )
 
 
@@ -310,7 +312,7 @@ WORDINGS = " UNION ALL ".join(
 def t8(spark, folder):
     asked = prompts(spark, folder)
     wordings = pr.all_wordings(
-        asked, reword_sets(spark), "match", pr.most_choices(V.TEMPLATES, V.SLOTS), F.array("texture_a", "texture_b")
+        asked, reword_sets(), "match", pr.most_choices(V.TEMPLATES, V.SLOTS), F.array("texture_a", "texture_b")
     )
     return wordings.groupBy("task").agg(
         F.count(F.lit(1)).alias("n_prompts"),
@@ -320,10 +322,11 @@ def t8(spark, folder):
 
 # --- nonsense ------------------------------------------------------------------------------------
 
-LETTER = f"substr('{X.LETTERS}', 1 + CAST(('0x' || substr({sql_hash('gdg', 'idx', 'pos', 'j // 16')}, CAST((j % 16) * 2 + 1 AS BIGINT), 2))::BIGINT % 52 AS BIGINT), 1)"
+LETTERS_OF = f"regexp_replace(base64(unhex({sql_hash('gdg', 'idx', 'pos', 'j')})), '[^A-Za-z]', '', 'g')"
 NONSENSE = f"""{PROMPTS}, split AS (SELECT idx, unnest(string_split(prompt, ' ')) AS w, unnest(range(0, len(string_split(prompt, ' ')))) AS pos FROM prompts),
-letters AS (SELECT idx, pos, w, unnest(range(0, length(w))) AS j FROM split WHERE NOT starts_with(w, '{{') AND length(w) > 0),
-scrambled AS (SELECT idx, pos, string_agg({LETTER}, '' ORDER BY j) AS w FROM letters GROUP BY idx, pos),
+blocks AS (SELECT idx, pos, length(w) AS n, unnest(range(0, length(w) // 8 + 1)) AS j FROM split WHERE NOT starts_with(w, '{{') AND length(w) > 0),
+letters AS (SELECT idx, pos, any_value(n) AS n, string_agg({LETTERS_OF}, '' ORDER BY j) AS l FROM blocks GROUP BY idx, pos),
+scrambled AS (SELECT idx, pos, rpad(l, CAST(n AS INTEGER), l) AS w FROM letters),
 unlocked AS (SELECT s.idx, s.pos, coalesce(x.w, '') AS w, row_number() OVER (PARTITION BY s.idx ORDER BY s.pos) AS place,
   row_number() OVER (PARTITION BY s.idx ORDER BY {sql_hash("gdg-order", "s.idx", "s.pos")}, s.pos) AS turn
   FROM split s LEFT JOIN scrambled x ON x.idx = s.idx AND x.pos = s.pos WHERE NOT starts_with(s.w, '{{')),
@@ -508,7 +511,7 @@ def textual_sql(dragged: str, base: str) -> str:
 
 def textual(spark, folder, mode=None):
     slots = {t: V.SLOTS[t] for t in V.TEXTUAL_TEMPLATES}
-    sets = pr.template_sets(spark, V.TEXTUAL_TEMPLATES, slots)
+    sets = pr.template_sets(V.TEXTUAL_TEMPLATES, slots)
     return described(spark, folder).transform(pr.textual(sets, "txt", mode)).drop("assets")
 
 
