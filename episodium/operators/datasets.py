@@ -15,6 +15,15 @@ from episodium.functions.ranking import contiguous_share, dense_index, hash_inde
 CHUNK = 4096
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than cores, cut up before costly per-row work.
+
+    Large inputs have splits enough and stay as they are; only the plan is looked at, no data.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 # --- assembling nested rows -----------------------------------------------------------------------
 
 

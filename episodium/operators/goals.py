@@ -9,6 +9,7 @@ from episodium import dims
 from episodium.functions import pose as P
 from episodium.functions.ranking import running_index
 from episodium.operators.scene import pose_matches
+from episodium.workspace import settle
 
 
 def nearest_open_target(objects: DataFrame, targets: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def nearest_open_target(objects: DataFrame, targets: DataFrame) -> DataFrame:
         .select("idx", "t", F.col("best.k").alias("k"), F.col("best.d").alias("distance"))
     )
     far_first = [-F.col("distance"), F.col("t")]
-    return running_index(nearest, ["idx"], far_first, [F.floor(-F.col("distance") * 1000)], "rank")
+    return running_index(settle(nearest, "nearest"), ["idx"], far_first, [F.floor(-F.col("distance") * 1000)], "rank")
 
 
 def distractor_conflicts(distractors: DataFrame, targets: DataFrame, objects: DataFrame) -> DataFrame:

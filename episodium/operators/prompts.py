@@ -625,7 +625,7 @@ def encode(tokens: DataFrame, vocabulary: DataFrame, salts: int = 16) -> DataFra
     Frequent tokens are spread over ``salts`` join keys; the vocabulary, one row per distinct
     token, is copied that many times.
     """
-    spread = tokens.withColumn("__salt", F.pmod(F.xxhash64("idx"), F.lit(salts)).cast("int"))
+    spread = tokens.withColumn("__salt", F.pmod(F.xxhash64(*tokens.columns), F.lit(salts)).cast("int"))
     copies = vocabulary.select(
         "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")
     )

@@ -13,8 +13,10 @@ from episodium.functions import text as X
 from episodium.functions.keyed import hash_to_int, keyed_int, sql_hash, sql_int
 from episodium.operators import prompts as pr
 from episodium.operators import sequences as sq
+from episodium.operators.datasets import spread
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
+from episodium.workspace import settle
 
 TEXTURES = ["red", "dark red", "blue", "dark blue stripe", "green and purple polka dot", "wooden"]
 NOVEL_WORDS = {"novel_adj": "daxer", "novel_noun1": "wug", "novel_noun2": "blicket", "quantity": "two", "direction": "north"}
@@ -36,7 +38,7 @@ def requests(spark, folder):
     rows = b.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 17).cast("int").alias("task")
     )
-    return rows.select(
+    return spread(rows, "idx").select(
         "*",
         pick(TEXTURES, "texture-a").alias("texture_a"),
         pick(TEXTURES, "texture-b").alias("texture_b"),
@@ -419,7 +421,8 @@ nonsense AS (SELECT s.idx, string_agg(coalesce(m.w, s.w), ' ' ORDER BY s.word_no
 @query("t3_nonsense_tokens", f"WITH {NEW_TOKENS} SELECT idx, prompt FROM nonsense")
 def t3(spark, folder):
     rows = prompts(spark, folder).select("idx", "prompt")
-    return rows.transform(pr.nonsense_tokens(prompt_vocabulary(spark, folder), "tok"))
+    vocabulary = settle(prompt_vocabulary(spark, folder), "vocabulary")
+    return rows.transform(pr.nonsense_tokens(vocabulary, "tok"))
 
 
 def lengths_sql(name: str) -> str:

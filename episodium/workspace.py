@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
@@ -31,3 +31,13 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path under the shared folder that no other job uses."""
     return f"{shared_root(spark)}/episodium/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(rows: DataFrame, purpose: str = "settled") -> DataFrame:
+    """The rows as a written table, for results that several steps read.
+
+    Cuts the lineage; a lost executor costs a re-read, not a recomputation.
+    """
+    path = new_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
