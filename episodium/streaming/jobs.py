@@ -78,73 +78,80 @@ def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 STEP_SCHEMA = "idx bigint, t bigint, success boolean, reason string, is_last boolean, arrived timestamp"
 CLOSED_SCHEMA = "idx bigint, steps_taken bigint, recorded string, final_success boolean, reason string"
-STATE_SCHEMA = "ts array<bigint>, successes array<boolean>, reasons array<string>, lasts array<boolean>, closed boolean"
-
-
-def close_episode(held: dict[int, tuple], max_steps: int) -> dict | None:
-    """The finished episode if its steps from the start up to its end have all arrived, else None."""
-    recorded: list[bool] = []
-    for t in range(max_steps):
-        if t not in held:
-            return None
-        success, reason, is_last = held[t]
-        if reason != "pointless":
-            recorded.append(success and reason != "failed")
-        if reason is not None or is_last or t == max_steps - 1:
-            return {
-                "steps_taken": t + 1,
-                "recorded": "".join("1" if r else "0" for r in recorded),
-                "final_success": recorded[-1] if recorded else False,
-                "reason": reason or ("end" if is_last else "limit"),
-            }
-    return None
-
-
-def buffer_episodes(steps: DataFrame, max_steps: int, keep: str = "1 hour") -> DataFrame:
-    """Closed episodes from a stream of steps that may arrive in any order.
-
-    Steps at or beyond the limit are dropped before the shuffle: an episode cannot use them.  So a
-    key never holds more than ``max_steps`` steps, however long the episode goes on, and its state
-    is as small.  An hour after an episode closed, or went silent, its state goes away.
+_HELD = ["idx", "t", "success", "reason", "is_last", "arrived"]
+STATE_SCHEMA = (
+    "idx array<bigint>, t array<bigint>, success array<boolean>, reason array<string>, "
+    "is_last array<boolean>, arrived array<bigint>, closed array<bigint>, closed_at array<bigint>"
+)
+
+
+def close_episodes(rows: pd.DataFrame, max_steps: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Finished episodes, and the steps of those that still wait for earlier steps or their end.
+
+    Finished means that every step from the start up to a stop reason, the end mark or the limit
+    has arrived.
     """
+    rows = rows.drop_duplicates(["idx", "t"]).sort_values(["idx", "t"])
+    gapless = rows["t"] == rows.groupby("idx").cumcount()
+    ends = rows["reason"].notna() | rows["is_last"] | (rows["t"] == max_steps - 1)
+    stops = rows[gapless & ends].drop_duplicates("idx").set_index("idx")
+    stop_t = rows["idx"].map(stops["t"])
+    taken = rows[rows["t"] <= stop_t]
+    seen = taken[taken["reason"] != "pointless"]
+    wins = seen["success"] & (seen["reason"] != "failed")
+    recorded = wins.map({True: "1", False: "0"}).groupby(seen["idx"]).agg("".join)
+    closed = pd.DataFrame({"steps_taken": stops["t"] + 1})
+    closed["recorded"] = recorded.reindex(closed.index).fillna("")
+    closed["final_success"] = closed["recorded"].str.endswith("1")
+    other = stops["is_last"].map({True: "end", False: "limit"})
+    closed["reason"] = stops["reason"].where(stops["reason"].notna(), other)
+    return closed.reset_index(), rows[stop_t.isna()]
+
+
+def buffer_episodes(steps: DataFrame, max_steps: int, buckets: int, keep_minutes: int = 60) -> DataFrame:
+    """Closed episodes from a stream of steps that may arrive in any order, and more than once.
+
+    Steps at or beyond the limit are dropped before the shuffle: an episode cannot use them, so none
+    brings more than ``max_steps`` rows, however long it goes on.  Episodes are spread evenly over
+    ``buckets`` state keys (take some times the number of cores), which handle theirs together.
+    A key holds the steps of its open episodes and the numbers of recently closed ones; both go away
+    ``keep_minutes`` of arrival time (``arrived``) later.
+    """
+    keep = keep_minutes * 60_000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held: dict[int, tuple] = {}
-        closed = False
-        if state.exists:
-            ts, successes, reasons, lasts, closed = state.get
-            held = {t: (s, r, e) for t, s, r, e in zip(ts, successes, reasons, lasts)}
-        newest = 0
-        for frame in batches:
-            newest = max(newest, int(frame["arrived"].max().timestamp() * 1000))
-            if closed:
-                continue
-            for t, s, r, e in zip(frame["t"], frame["success"], frame["reason"], frame["is_last"]):
-                held.setdefault(int(t), (bool(s), r if isinstance(r, str) else None, bool(e)))
-        done = None if closed else close_episode(held, max_steps)
-        if done is not None:
-            closed, held = True, {}
-        order = sorted(held)
-        state.update(
-            (
-                order,
-                [held[t][0] for t in order],
-                [held[t][1] for t in order],
-                [held[t][2] for t in order],
-                closed,
-            )
+        held = dict(zip([*_HELD, "closed", "closed_at"], state.get, strict=True)) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        frames = [pd.DataFrame({c: held.get(c, []) for c in _HELD})]
+        if not state.hasTimedOut:
+            for frame in batches:
+                millis = frame["arrived"].astype("datetime64[ms]").astype("int64")
+                frames.append(frame[_HELD[:-1]].assign(arrived=millis))
+        rows = pd.concat([f for f in frames if len(f)] or frames).astype(
+            {"idx": "int64", "t": "int64", "success": "bool", "is_last": "bool", "arrived": "int64"}
         )
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
-        if done is not None:
-            yield pd.DataFrame([{"idx": key[0], **done}])
+        done = pd.Series(held.get("closed_at", []), index=held.get("closed", []), dtype="int64")
+        rows = rows[~rows["idx"].isin(done.index)]
+        newest = int(rows["arrived"].max()) if len(rows) else 0
+        closed, waiting = close_episodes(rows, max_steps)
+        waiting = waiting[waiting["arrived"] + keep >= now]
+        done = pd.concat([done, pd.Series(newest, index=closed["idx"], dtype="int64")])
+        done = done[done + keep >= now]
+        if len(waiting) or len(done):
+            reasons = [r if isinstance(r, str) else None for r in waiting["reason"]]
+            columns = [reasons if c == "reason" else waiting[c].tolist() for c in _HELD]
+            state.update((*columns, done.index.tolist(), done.tolist()))
+            state.setTimeoutTimestamp(max(newest, now) + keep)
+        elif state.exists:
+            state.remove()
+        if len(closed):
+            yield closed
 
     return (
-        steps.withWatermark("arrived", keep)
+        steps.withWatermark("arrived", f"{keep_minutes} minutes")
         .where(F.col("t") < max_steps)
-        .groupBy("idx")
+        .withColumn("bucket", F.pmod(F.xxhash64("idx"), F.lit(buckets)))
+        .groupBy("bucket")
         .applyInPandasWithState(
             update, CLOSED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )

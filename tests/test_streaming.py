@@ -1,31 +1,45 @@
 """Closing rules of the episode buffer, and repeated deliveries."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from episodium.streaming import jobs
 
 
+def close(steps, max_steps=5):
+    """Closed episode 1 and the time indices still waiting, from {t: (success, reason, is_last)}."""
+    rows = pd.DataFrame(
+        [(1, t, s, r, e, 0) for t, (s, r, e) in steps.items()],
+        columns=["idx", "t", "success", "reason", "is_last", "arrived"],
+    )
+    closed, waiting = jobs.close_episodes(rows, max_steps)
+    return closed.drop(columns="idx").to_dict("records"), waiting["t"].tolist()
+
+
 def test_close_waits_for_earlier_steps():
     late = {1: (True, "success", False)}
-    assert jobs.close_episode(late, 5) is None
-    done = jobs.close_episode({**late, 0: (False, None, False)}, 5)
-    assert done == {"steps_taken": 2, "recorded": "01", "final_success": True, "reason": "success"}
+    assert close(late) == ([], [1])
+    done = {"steps_taken": 2, "recorded": "01", "final_success": True, "reason": "success"}
+    assert close({**late, 0: (False, None, False), 3: (True, None, True)}) == ([done], [])
 
 
 def test_pointless_step_is_not_recorded():
-    assert jobs.close_episode({0: (False, "pointless", False)}, 5) == {
-        "steps_taken": 1, "recorded": "", "final_success": False, "reason": "pointless",
-    }
+    done = {"steps_taken": 1, "recorded": "", "final_success": False, "reason": "pointless"}
+    assert close({0: (False, "pointless", False)}) == ([done], [])
 
 
 def test_failed_step_never_succeeds():
-    assert jobs.close_episode({0: (True, "failed", False)}, 5)["recorded"] == "0"
+    assert close({0: (True, "failed", False)})[0][0]["recorded"] == "0"
 
 
 def test_limit_and_end():
     steps = {t: (False, None, t == 2) for t in range(3)}
-    assert jobs.close_episode(steps, 3)["reason"] == "end"
-    assert jobs.close_episode(steps, 2)["reason"] == "limit"
+    assert close(steps, 3)[0][0]["reason"] == "end"
+    assert close({t: steps[t] for t in (0, 1)}, 2)[0][0]["reason"] == "limit"
+
+
+def test_no_steps():
+    assert close({}) == ([], [])
 
 
 def test_repeated_deliveries_count_once(spark, tmp_path):
