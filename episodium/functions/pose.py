@@ -22,17 +22,21 @@ def denormalise(value: Column, axis: str) -> Column:
     return value * F.lit(float(high) - float(low)) + F.lit(float(low))
 
 
-def discretise(unit: Column, axis: str) -> Column:
-    """How many of the ``bins`` evenly spaced boundaries of [0, 1] lie below ``unit``."""
-    bins = dims.AXIS_SPEC[axis][2]
-    gaps = F.lit(float(bins - 1))
+def count_boundaries(unit: Column, bins: Column) -> Column:
+    """How many of ``bins`` evenly spaced boundaries of [0, 1] lie below ``unit``."""
+    gaps = (bins - 1).cast("double")
     guess = F.ceil(unit * gaps)
     exact = (
         F.when((guess - 1) / gaps >= unit, guess - 1)
         .when(guess / gaps < unit, guess + 1)
         .otherwise(guess)
     )
-    return F.greatest(F.lit(0), F.least(F.lit(bins), exact)).cast("bigint")
+    return F.greatest(F.lit(0), F.least(bins, exact)).cast("bigint")
+
+
+def discretise(unit: Column, axis: str) -> Column:
+    """Token of a value that is scaled to 0..1."""
+    return count_boundaries(unit, F.lit(dims.AXIS_SPEC[axis][2]))
 
 
 def continuous(token: Column, axis: str) -> Column:

@@ -46,15 +46,20 @@ def timestep_masked(axes: list[str]) -> Column:
 
 
 def target_tokens(rows: DataFrame, axes: dict[str, str]) -> DataFrame:
-    """One row per (step, axis) with its target token; ignored axes keep the ignore value."""
-    tokens = F.array(
-        *[
-            F.when(F.col(c) == dims.IGNORED_TARGET, F.lit(dims.IGNORED_TARGET).cast("bigint"))
-            .otherwise(P.discretise(P.normalise(F.col(c), a), a))
-            for c, a in axes.items()
-        ]
+    """One row per (step, axis) with its target token; ignored axes keep the ignore value.
+
+    Values are put under each other first, so that the token rule is compiled once, not per axis.
+    """
+    spec = [dims.AXIS_SPEC[a] for a in axes.values()]
+    of_axis = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("axis"))
+    low = of_axis([float(low) for low, _, _ in spec])
+    width = of_axis([float(high) - float(low) for low, high, _ in spec])
+    bins = of_axis([bins for _, _, bins in spec])
+    token = F.when(F.col("value") == dims.IGNORED_TARGET, F.lit(dims.IGNORED_TARGET).cast("bigint")).otherwise(
+        P.count_boundaries((F.col("value") - low) / width, bins)
     )
-    return rows.select("idx", "t", F.posexplode(tokens).alias("axis", "token"))
+    values = rows.select("idx", "t", F.posexplode(F.array(*axes)).alias("axis", "value"))
+    return values.select("idx", "t", "axis", token.alias("token"))
 
 
 def token_ranges_ok(axes: dict[str, str]) -> Column:

@@ -11,7 +11,7 @@ from episodium.operators import datasets as ds
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.sources import tables as io
-from episodium.workspace import new_folder
+from episodium.workspace import new_folder, settle
 
 ALIASES = {}
 for _name, _id in dims.TASK_IDS_BY_ANY_NAME.items():
@@ -107,7 +107,7 @@ def s4(spark, folder):
 )
 def s5(spark, folder):
     headers = b.instances(spark, folder).select("idx")
-    poses = b.poses(spark, folder)
+    poses = settle(b.poses(spark, folder).select("idx", "t", "p0x", "p0y", "p0z"), "poses")
     start = dict(zip(["p0x", "p0y", "p0z"], dims.START_POSITION, strict=True))
     kept = ds.append_null_action(headers, poses, start)
     plain = ds.truncate_observations(kept, poses)  # one observation more than actions
@@ -491,7 +491,7 @@ def s19(spark, folder):
 )
 def s20(spark, folder):
     outcomes = b.outcomes(spark, folder).select("idx", "task", F.col("is_successful_at_end").alias("success"))
-    steps = b.steps(spark, folder).select("idx", "t", "part", "qty")
+    steps = settle(b.steps(spark, folder).select("idx", "t", "part", "qty"), "steps")
     last = outcomes.select("idx", F.lit(-1).cast("bigint").alias("t"))
     seen = steps.where("qty > 1").select("idx", "t").unionByName(last)
     path = new_folder(spark, "episodes")

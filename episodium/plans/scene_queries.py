@@ -16,6 +16,7 @@ from episodium.operators import scene as sc
 from episodium.operators import sequences as sq
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
+from episodium.workspace import settle
 
 # --- values, maps and records ----------------------------------------------------------------------
 
@@ -310,11 +311,11 @@ def targets(spark, folder):
     )
 
 
-def objects(spark, folder, condition="true"):
+def objects(spark, folder):
     """Object poses of an episode, from its steps."""
-    return b.poses(spark, folder).where(condition).select(
+    return b.poses(spark, folder).select(
         "idx", "t", "flag", F.col("p0x").alias("x"), F.col("p0y").alias("y"),
-        F.expr(OBJECT_ANGLE).alias("angle"), F.expr(OBJECT_SYMMETRY).alias("symmetry"),
+        F.expr(OBJECT_ANGLE).alias("angle"), F.expr(OBJECT_SYMMETRY).alias("symmetry"), "p1x", "p1y",
     )
 
 
@@ -381,7 +382,7 @@ def j8(spark, folder):
     SELECT idx, t, CAST(k AS INTEGER) AS k, d AS distance, row_number() OVER (PARTITION BY idx ORDER BY d DESC, t) - 1 AS rank FROM best""",
 )
 def j9(spark, folder):
-    return go.nearest_open_target(objects(spark, folder), targets(spark, folder))
+    return go.nearest_open_target(settle(objects(spark, folder), "objects"), targets(spark, folder))
 
 
 CONFLICTS = f"""{SCENE}, conflicts AS (
@@ -389,15 +390,16 @@ CONFLICTS = f"""{SCENE}, conflicts AS (
   UNION SELECT o.idx FROM objects o JOIN objects d ON o.flag = 'R' AND d.flag = 'A' AND o.idx = d.idx AND {match_sql("o", "d", "o.symmetry")})"""
 
 
-def conflicts(spark, folder):
+def conflicts(stored, target_poses):
+    """Episodes in which an object with flag A gets in the way of targets or of objects with flag R."""
     return go.distractor_conflicts(
-        objects(spark, folder, "flag = 'A'"), targets(spark, folder), objects(spark, folder, "flag = 'R'")
+        stored.where("flag = 'A'"), target_poses, stored.where("flag = 'R'")
     )
 
 
 @query("j10_distractor_conflicts", f"WITH {CONFLICTS} SELECT idx FROM conflicts")
 def j10(spark, folder):
-    return conflicts(spark, folder)
+    return conflicts(settle(objects(spark, folder), "objects"), targets(spark, folder))
 
 
 LISTED = [2, 3, 4, 5, 6]
@@ -481,18 +483,17 @@ GOALS = f"""{CONFLICTS}, goals AS (SELECT o.idx, o.t AS k, o.flag = 'N' AS oracl
   FROM objects o JOIN targets g ON g.idx = o.idx AND g.k = o.t)"""
 
 
-def goals(spark, folder):
+def goals(stored, target_poses):
     """Goals of an episode: its first steps, each with the target of the same number."""
-    poses = b.poses(spark, folder).where(F.col("t") < TARGETS_PER_EPISODE)
-    moving = poses.select(
+    moving = stored.where(F.col("t") < TARGETS_PER_EPISODE).select(
         "idx", F.col("t").alias("k"), (F.col("flag") == "N").alias("oracle_only"),
         (F.col("p1x") * 1.02).alias("x"), F.col("p1y").alias("y"),
     )
-    base = targets(spark, folder).select(
+    base = target_poses.select(
         "idx", F.col("k").cast("bigint").alias("k"), F.col("x").alias("base_x"), F.col("y").alias("base_y")
     )
     done = (
-        sc.pose_matches(objects(spark, folder), targets(spark, folder), ["idx"], "left_semi")
+        sc.pose_matches(stored, target_poses, ["idx"], "left_semi")
         .select("idx", F.col("t").alias("k"))
         .withColumn("done", F.lit(True))
     )
@@ -513,7 +514,8 @@ def goals(spark, folder):
 )
 def a17(spark, folder):
     headers = b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("idx"))
-    outcome = go.rearrangement_outcome(headers, goals(spark, folder), conflicts(spark, folder))
+    stored, places = settle(objects(spark, folder), "objects"), targets(spark, folder)
+    outcome = go.rearrangement_outcome(headers, goals(stored, places), conflicts(stored, places))
     return outcome.withColumn("distance", F.round("distance", 9))
 
 
@@ -560,7 +562,8 @@ def w8(spark, folder):
 )
 def w9(spark, folder):
     rounds = [F.col("flag") == "R", F.lit(True), F.col("flag") == "A", F.col("qty") > 20]
-    return go.pop_goals(b.steps(spark, folder), rounds, skipped=[False, True, False, False])
+    steps = settle(b.steps(spark, folder).select("idx", "t", "flag", "qty"), "steps")
+    return go.pop_goals(steps, rounds, skipped=[False, True, False, False])
 
 
 # --- pixels, frames and maps -------------------------------------------------------------------------

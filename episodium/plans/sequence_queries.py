@@ -11,6 +11,7 @@ from episodium.operators import sequences as sq
 from episodium.plans import bindings as b
 from episodium.plans.dataset_queries import BATCHES, batches
 from episodium.plans.registry import query
+from episodium.workspace import settle
 
 
 @query(
@@ -61,6 +62,7 @@ def w7(spark, folder):
     )
     images = images.withColumn("valid", F.col("sub") <= F.col("top"))
     placed = sq.assemble_prompt(words, images, ["conv_id"]).withColumn("batch", F.floor(F.col("conv_id") / 8))
+    placed = settle(placed, "placed")
     padded = sq.pad_rows(
         placed, "batch", ["conv_id"], "at", {"token": F.lit("pad"), "masked": F.lit(True)}
     )
@@ -75,7 +77,10 @@ def w7(spark, folder):
     UNION ALL SELECT batch, slot, unnest(range(last + 1, longest + 1)) AS t, -100.0e0 FROM last JOIN size USING (batch)""",
 )
 def m8(spark, folder):
-    members = b.steps(spark, folder).join(batches(spark, folder), "idx").withColumnRenamed("qty", "value")
+    members = b.steps(spark, folder).join(batches(spark, folder), "idx").select(
+        "batch", "slot", "t", F.col("qty").alias("value")
+    )
+    members = settle(members, "members")
     padded = sq.pad_rows(
         members, "batch", ["slot"], "t", {"value": F.lit(float(dims.IGNORED_TARGET))}
     )
