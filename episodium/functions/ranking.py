@@ -60,18 +60,18 @@ def running_index(
     order: list[Column],
     slices: list[Column],
     name: str = "t",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """0-based position in a group that is normally small, such as the steps of an episode.
 
-    Small groups take a plain window (one shuffle).  Groups above ``hot_rows`` rows are ranked
-    slice by slice.  The broadcast list of such groups has at most ``rows / hot_rows`` keys, and
+    Small groups take a plain window (one shuffle).  Groups above ``hot_rows`` rows (a million unless
+    told otherwise) are ranked slice by slice.  The broadcast list of such groups has at most ``rows / hot_rows`` keys, and
     the hot branch costs nothing when the list is empty.
     """
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
+        .where(F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows))
         .select(*keys)
     )
     plain = df.join(F.broadcast(hot), keys, "left_anti").withColumn(
@@ -108,11 +108,11 @@ def dense_index(df: DataFrame, key: str, name: str = "i", width: int = 1 << 14)
     A cell of ``width`` neighbouring keys holds at most ``width`` rows because keys are unique.
     Cells are summed in blocks of 4096, blocks once more, so no step sees more than a sliver.
     """
-    cells = df.select("*", F.floor(F.col(key) / F.lit(width)).alias("__cell"))
+    cells = df.select("*", F.expr(f"`{key}` div {width}").alias("__cell"))
     counts = (
         cells.groupBy("__cell")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__block", F.floor(F.col("__cell") / F.lit(4096)))
+        .withColumn("__block", F.expr("__cell div 4096"))
     )
     blocks = counts.groupBy("__block").agg(F.sum("__n").alias("__total"))
     earlier = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)

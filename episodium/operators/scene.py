@@ -18,9 +18,9 @@ def object_ids(*views: Column) -> Column:
 
 
 def missing_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Rows with ``found``: whether the name is in the catalogue (a small literal table)."""
+    """Rows with ``found``: whether the name is in the catalogue."""
     known = names.select(F.col(key)).distinct().withColumn("__known", F.lit(True))
-    return rows.join(F.broadcast(known), key, "left").withColumn(
+    return rows.join(known, key, "left").withColumn(
         "found", F.col("__known").isNotNull()
     ).drop("__known")
 
@@ -331,3 +331,11 @@ def palette_colours(pixels: DataFrame) -> DataFrame:
         .select("*", *[F.col("__c")[i].alias(n) for i, n in enumerate("rgb")])
         .drop("__c")
     )
+
+
+def stack_frames(pixels: DataFrame, by: list[str], colours: list[str]) -> DataFrame:
+    """Pixels of a frame as one array in row order; a frame's size is fixed, so is the array's."""
+    pixel = F.struct("y", "x", *colours)
+    return pixels.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(pixel)), lambda p: F.array(*[p[c] for c in colours])).alias("pixels")
+    )

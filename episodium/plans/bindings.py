@@ -101,7 +101,7 @@ INSTANCES = f"""instances AS (
 STEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def steps(spark: SparkSession, folder: str, *extra: str, hot_rows: int = 1_000_000) -> DataFrame:
+def steps(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Episode steps with their time index ``t``.  ``extra`` names further lineitem columns."""
     items = table(spark, folder, "lineitem").select(
         "l_orderkey", *STEP_ORDER, "l_returnflag", *extra
@@ -111,7 +111,6 @@ def steps(spark: SparkSession, folder: str, *extra: str, hot_rows: int = 1_000_0
         ["l_orderkey"],
         [F.col(c) for c in STEP_ORDER],
         [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024)],
-        hot_rows=hot_rows,
     )
     return indexed.select(
         F.col("l_orderkey").alias("idx"),

@@ -667,6 +667,18 @@ def m13(spark, folder):
     return sc.palette_colours(wide)
 
 
+@query(
+    "m13_stacked_frames",
+    f"""WITH {b.PIXELS}, coloured AS (SELECT frame, y, x, id * 3 AS id FROM pixels WHERE id * 3 < 20), rgb AS (SELECT frame, y, x, {RGB} FROM coloured)
+    SELECT frame, string_agg(printf('%d/%d/%d', r, g, b), ' ' ORDER BY y, x) AS stacked FROM rgb GROUP BY frame""",
+)
+def m13_stacked(spark, folder):
+    wide = b.pixels(spark, folder).select("frame", "y", "x", (F.col("id") * 3).alias("id"))
+    stacked = sc.stack_frames(sc.palette_colours(wide), ["frame"], ["r", "g", "b"])
+    as_text = lambda p: F.array_join(F.transform(p, lambda v: v.cast("string")), "/")
+    return stacked.select("frame", F.array_join(F.transform("pixels", as_text), " ").alias("stacked"))
+
+
 @query(
     "m14_point_cloud",
     f"""WITH {b.PIXELS}, cam AS (SELECT frame, y, x, (x - 3.5e0) * (grey / 6.0e0) AS cx, (y - 3.5e0) * (grey / 6.5e0) AS cy, grey AS cz FROM pixels)
