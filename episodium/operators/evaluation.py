@@ -310,19 +310,22 @@ def worker_chunks(definitions: DataFrame, workers: int) -> DataFrame:
     )
 
 
-def baseline_delta(values: DataFrame, runs: DataFrame, baselines: DataFrame) -> DataFrame:
+def baseline_of(run_name: Column, baselines: dict[str, str]) -> Column:
+    """Id of the first baseline whose name has the run's model in front and its data behind the slash."""
+    choices = []
+    for name, run_id in baselines.items():
+        model, data = name.split(" / ")
+        same = F.startswith(run_name, F.lit(model)) & F.contains(run_name, F.lit(f" / {data}"))
+        choices.append(F.when(same, F.lit(run_id)))
+    return F.coalesce(*choices)
+
+
+def baseline_delta(values: DataFrame, runs: DataFrame, baselines: dict[str, str]) -> DataFrame:
     """Difference of a run's value to its baseline's, per (level, task).
 
-    The baseline of a run is found by the two halves of the baseline's name.  Runs without a
-    baseline and tasks the baseline lacks are reported, not dropped.
+    Runs without a baseline and tasks the baseline lacks are reported, not dropped.
     """
-    prefix = F.split(F.col("baseline_name"), " / ")[0]
-    infix = F.concat(F.lit(" / "), F.split(F.col("baseline_name"), " / ")[1])
-    named = runs.join(
-        F.broadcast(baselines),
-        F.startswith(F.col("run_name"), prefix) & F.contains(F.col("run_name"), infix),
-        "left",
-    )
+    named = runs.withColumn("baseline_id", baseline_of(F.col("run_name"), baselines))
     own = values.join(named, "run_id")
     reference = values.select(
         F.col("run_id").alias("baseline_id"),

@@ -175,10 +175,7 @@ def j2(spark, folder):
         .agg((F.sum(F.col("is_successful_at_end").cast("int")) / F.count(F.lit(1))).alias("value"))
     )
     runs = spark.createDataFrame(RUNS, "run_id string, run_name string")
-    baselines = spark.createDataFrame(
-        [(i, n) for n, i in dims.BASELINE_RUNS.items()], "baseline_id string, baseline_name string"
-    )
-    return ev.baseline_delta(values, runs, baselines)
+    return ev.baseline_delta(values, runs, dims.BASELINE_RUNS)
 
 
 AFTER = f"""{b.STEPS}, firsts AS (SELECT idx, min(t) AS first_t FROM steps WHERE success GROUP BY idx),
