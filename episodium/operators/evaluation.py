@@ -16,6 +16,7 @@ from episodium.functions.ranking import sliced_index
 
 SWEEPS = [dims.TASKS["sweep_without_exceeding"], dims.TASKS["sweep_without_touching"]]
 IN_ORDER = dims.TASKS["pick_in_order_then_restore"]
+BIN_BLOCK = 65_536
 ONE_MOVE = [dims.TASKS["novel_adj"], dims.TASKS["novel_adj_and_noun"]]
 
 
@@ -246,8 +247,14 @@ def within_time_limit(steps: DataFrame, limits: DataFrame) -> DataFrame:
 def value_histogram(values: DataFrame, group: str, value: str) -> DataFrame:
     """Counts of an integer value per group, with empty bins from 0 to the group's maximum."""
     counts = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    bins = counts.groupBy(group).agg(F.max(value).alias("top")).select(
-        group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top").cast("bigint"))).alias(value)
+    tops = counts.groupBy(group).agg(F.max(value).cast("bigint").alias("top"))
+    # a long row of bins is made in blocks, by several tasks
+    first = F.col("block") * BIN_BLOCK
+    blocks = tops.select(
+        group, "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("top") / BIN_BLOCK))).alias("block")
+    ).repartition(group, "block")
+    bins = blocks.select(
+        group, F.explode(F.sequence(first, F.least(F.col("top"), first + BIN_BLOCK - 1))).alias(value)
     )
     return bins.join(counts, [group, value], "left").select(
         group, value, F.coalesce("n", F.lit(0)).alias("n")
@@ -271,8 +278,8 @@ def first_successful_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 def episode_definitions(tasks: DataFrame, episodes_per_task: int) -> DataFrame:
     """One row per task and episode to generate."""
-    numbers = F.sequence(F.lit(0), F.lit(episodes_per_task - 1))
-    return tasks.select("*", F.explode(numbers).cast("bigint").alias("episode"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(episodes_per_task - 1).cast("bigint"))
+    return tasks.select("*", F.explode(numbers).alias("episode"))
 
 
 def seed_schedule(definitions: DataFrame, start: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from episodium import dims
 from episodium import vocabulary as V
 from episodium.functions import text as X
-from episodium.functions.keyed import hash_to_int, keyed_int, sql_hash, sql_int
+from episodium.functions.keyed import hash_to_int, sql_hash, sql_int
 from episodium.operators import prompts as pr
 from episodium.operators import sequences as sq
 from episodium.operators.datasets import spread
@@ -96,8 +96,8 @@ def filled_sql(template: str, pairs: str) -> str:
 
 
 FIXED_PAIRS = "[" + ", ".join(b.sql_text(f"{k}={v}") for k, v in ASSETS.items()) + "]"
-PROMPTS = f"""{templates_cte("templates", V.TEMPLATES)}, {words_cte("slot_words", V.SLOTS)},
-requests AS (SELECT o_orderkey AS idx, CAST(o_custkey % 17 AS INTEGER) AS task, {pick_sql(TEXTURES, "texture-a", "o_orderkey")} AS texture_a,
+TEMPLATE_TABLES = f"{templates_cte('templates', V.TEMPLATES)}, {words_cte('slot_words', V.SLOTS)}"
+PROMPT_STEPS = f"""requests AS (SELECT o_orderkey AS idx, CAST(o_custkey % 17 AS INTEGER) AS task, {pick_sql(TEXTURES, "texture-a", "o_orderkey")} AS texture_a,
   {pick_sql(TEXTURES, "texture-b", "o_orderkey")} AS texture_b, {pick_sql(DEGREES, "degrees", "o_orderkey")} AS degrees FROM orders),
 drawn AS (SELECT r.idx, t.template FROM requests r JOIN templates t USING (task)
   QUALIFY row_number() OVER (PARTITION BY r.idx ORDER BY {sql_hash("prompt", "r.idx", "t.no")}, t.no) = 1),
@@ -108,6 +108,7 @@ asked AS (SELECT r.*, d.template, list_concat(kv, list_filter(list_concat({FIXED
   FROM requests r JOIN drawn d USING (idx) JOIN picked USING (idx)),
 raw AS (SELECT *, {filled_sql("template", "pairs")} AS text FROM asked),
 prompts AS (SELECT idx, task, texture_a, texture_b, degrees, {sentence_sql("text")} AS prompt FROM raw)"""
+PROMPTS = f"{TEMPLATE_TABLES}, {PROMPT_STEPS}"
 
 
 @query("t14_generated_prompts", f"WITH {PROMPTS} SELECT idx, task, prompt FROM prompts")
@@ -227,7 +228,9 @@ def t6(spark, folder):
 
 # --- rewording ---------------------------------------------------------------------------------
 
-REWORDED = f"""{MATCHED}, fresh AS (SELECT r.idx, list(slot || '=' || words[1 + ('0x' || substr({sql_hash("match-words", "r.idx", "slot")}, 1, 8))::BIGINT % len(words)]) AS kv,
+def reworded_sql(extra: str = "") -> str:
+    """Rewording as SQL CTEs; ``extra`` is a further condition on the new text ``f`` of prompt ``p``."""
+    return f"""{MATCHED}, fresh AS (SELECT r.idx, list(slot || '=' || words[1 + ('0x' || substr({sql_hash("match-words", "r.idx", "slot")}, 1, 8))::BIGINT % len(words)]) AS kv,
   list(slot) AS known FROM matched r JOIN slot_words USING (task) GROUP BY r.idx),
 kept AS (SELECT e.idx, list(e.slot || '=' || e.word) AS kv FROM extracted e JOIN fresh f ON f.idx = e.idx WHERE NOT list_contains(f.known, e.slot) GROUP BY e.idx),
 new_pairs AS (SELECT f.idx, list_concat(f.kv, coalesce(k.kv, [])) AS pairs FROM fresh f LEFT JOIN kept k USING (idx)),
@@ -235,15 +238,13 @@ needed AS (SELECT idx, list_distinct(regexp_extract_all(prompt, '\\{{([^{{}}]*)\
 written AS (SELECT n.idx, t.no, {filled_sql("t.template", "pairs")} AS text FROM new_pairs n JOIN matched m ON m.idx = n.idx JOIN templates t ON t.task = m.task),
 finished AS (SELECT idx, no, {sentence_sql("text")} AS text FROM written),
 valid AS (SELECT f.idx, f.no, f.text FROM finished f JOIN needed USING (idx) JOIN prompts p ON p.idx = f.idx
-  WHERE len(list_filter(req, lambda r: NOT contains(f.text, '{{' || r || '}}'))) = 0 %s),
+  WHERE len(list_filter(req, lambda r: NOT contains(f.text, '{{' || r || '}}'))) = 0 {extra}),
 reworded AS (SELECT idx, replace(replace(text, '{{adv}}', ''), '  ', ' ') AS new FROM valid
   QUALIFY row_number() OVER (PARTITION BY idx ORDER BY {sql_hash("match-template", "idx", "no")}, no) = 1)"""
-REWORD_SELECT = """SELECT p.idx, r.new AS prompt, CASE WHEN m.idx IS NULL THEN 'no template fits' WHEN r.new IS NULL THEN 'no valid wording' ELSE 'ok' END AS status
-    FROM prompts p LEFT JOIN matched m ON m.idx = p.idx LEFT JOIN reworded r ON r.idx = p.idx"""
 
 
-def _no_percent(sql: str, extra: str) -> str:
-    return sql.replace("%s", extra, 1) if sql.count("%s") == 1 else sql
+REWORD_SELECT = """SELECT p.idx, r.new AS prompt, CASE WHEN m.idx IS NULL THEN 'no template fits' WHEN r.new IS NULL THEN 'no valid wording' ELSE 'ok' END AS status
+    FROM prompts p LEFT JOIN matched m ON m.idx = p.idx LEFT JOIN reworded r ON r.idx = p.idx"""
 
 
 def reworded(spark, folder, allow_original=True):
@@ -252,14 +253,14 @@ def reworded(spark, folder, allow_original=True):
     )
 
 
-@query("t7_reworded_prompts", f"WITH {_no_percent(REWORDED, '')} {REWORD_SELECT}")
+@query("t7_reworded_prompts", f"WITH {reworded_sql()} {REWORD_SELECT}")
 def t7(spark, folder):
     return reworded(spark, folder).select("idx", "prompt", "status")
 
 
 @query(
     "t7_reworded_differently",
-    f"WITH {_no_percent(REWORDED, 'AND lower(f.text) <> lower(p.prompt)')} {REWORD_SELECT}",
+    f"WITH {reworded_sql('AND lower(f.text) <> lower(p.prompt)')} {REWORD_SELECT}",
 )
 def t7_different(spark, folder):
     return reworded(spark, folder, allow_original=False).select("idx", "prompt", "status")
@@ -267,7 +268,7 @@ def t7_different(spark, folder):
 
 @query(
     "t13_reworded_variant",
-    f"""WITH {_no_percent(REWORDED, '')} SELECT CAST(p.task AS INTEGER) AS task, 'reworded' AS variant, count(*) AS n, count(r.new) AS reworded
+    f"""WITH {reworded_sql()} SELECT CAST(p.task AS INTEGER) AS task, 'reworded' AS variant, count(*) AS n, count(r.new) AS reworded
     FROM prompts p LEFT JOIN reworded r ON r.idx = p.idx GROUP BY p.task""",
 )
 def t13(spark, folder):
@@ -477,9 +478,9 @@ def described(spark, folder):
 
 VISUAL_IDS = ", ".join(str(dims.TASKS[t]) for t in dims.TASKS_KEPT_VISUAL)
 # the seven tasks whose word order is fixed before words replace placeholders
-ORDERED = f"""{templates_cte("templates", V.TEMPLATES)}, {words_cte("slot_words", V.SLOTS)}, {templates_cte("templates2", V.TEXTUAL_TEMPLATES)},
+ORDERED = f"""{templates_cte("templates2", V.TEXTUAL_TEMPLATES)},
 {words_cte("slot_words2", {t: V.SLOTS[t] for t in V.TEXTUAL_TEMPLATES})}"""
-TEXTUAL = f"""{ORDERED}, {PROMPTS.split(",", 0)[0][len(templates_cte("templates", V.TEMPLATES) + ", " + words_cte("slot_words", V.SLOTS)) + 2:]},
+TEXTUAL = f"""{TEMPLATE_TABLES}, {ORDERED}, {PROMPT_STEPS},
 candidates AS (SELECT p.idx, p.task, t.no, t.template FROM prompts p JOIN templates2 t ON t.task = p.task
   AND len(string_split(p.prompt, ' ')) = len(string_split(t.template, ' '))),
 aligned AS (SELECT c.idx, c.task, c.no, c.pos, {BARE % "trim(lower(string_split(c.template, ' ')[c.pos]))"} AS slot, {BARE % "lower(string_split(prompt, ' ')[c.pos])"} AS word

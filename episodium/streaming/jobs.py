@@ -40,10 +40,12 @@ def running_sums(episodes: DataFrame) -> DataFrame:
 
 
 def with_total(sums: DataFrame) -> DataFrame:
-    """Metric rows of the sums and of their grand total."""
-    total = sums.agg(F.sum("seen").alias("seen"), F.sum("won").alias("won"), F.sum("steps").alias("steps"))
-    both = sums.withColumn("level", F.lit(0)).unionByName(
-        total.withColumn("level", F.lit(3)), allowMissingColumns=True
+    """Metric rows of the sums and of their grand total, in one pass over the sums."""
+    both = sums.groupingSets([["partition", "task"], []], "partition", "task").agg(
+        F.grouping_id().alias("level"),
+        F.sum("seen").alias("seen"),
+        F.sum("won").alias("won"),
+        F.sum("steps").alias("steps"),
     )
     return metric_rows(both.where(F.col("seen") > 0))
 

@@ -36,7 +36,8 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 def settle(rows: DataFrame, purpose: str = "settled") -> DataFrame:
     """The rows as a written table, for results that several steps read.
 
-    Cuts the lineage; a lost executor costs a re-read, not a recomputation.
+    Cuts the lineage; a lost executor costs a re-read, not a recomputation.  The folder may go once
+    the job that asked for it is done.
     """
     path = new_folder(rows.sparkSession, purpose)
     rows.write.parquet(path)

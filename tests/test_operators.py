@@ -93,6 +93,15 @@ def test_histogram_fills_empty_bins(spark):
     assert got == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (0, 3): 2, (1, 0): 1}
 
 
+def test_seeds_repeat_across_tasks(spark):
+    tasks = spark.createDataFrame([("a", 0), ("b", 1)], "task string, position int")
+    planned = ev.seed_schedule(ev.episode_definitions(tasks, 3), 2).collect()
+    assert {(r["task"], r["episode"]): r["seed"] // 999 for r in planned} == {
+        ("a", 0): 2, ("a", 1): 3, ("a", 2): 4, ("b", 0): 4, ("b", 1): 6, ("b", 2): 8,
+    }
+    assert {r["episode"] for r in planned if r["episodes_with_seed"] == 2} == {0, 2}
+
+
 def test_nest_cuts_long_episodes(spark):
     rows = spark.range(10).select(F.lit(1).alias("idx"), F.col("id").alias("t"), (F.col("id") * 2).alias("v"))
     got = ds.nest(rows, ["idx"], ["v"], "items", chunk=4).orderBy("chunk").collect()
