@@ -28,4 +28,5 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns[:2] == ["partition", "task"]
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert catalogue.QUERIES.keys() <= entry.queries().keys()
+    assert catalogue.ORACLES.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
