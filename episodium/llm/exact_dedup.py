@@ -90,8 +90,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cells = (
         probed.filter("hit").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     )
-    groups = cells.groupBy("key").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+    groups = settle(
+        cells.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")),
+        "text-groups",
     )
     grouped = (
         cells.join(groups, "key")
