@@ -2,11 +2,12 @@
 
 Terms are token ids, so the statistics of the whole corpus (document frequencies, mean length) are a
 table of at most the vocabulary's size.  Documents are dealt to shards by their two most telling
-terms; a range partition, cut further by a hash of the document, keeps shards even when one term
-leads a third of them.  A task streams its shard in blocks, holds a BM25 inverted index of a block
-and fills window after window: the seed's unused neighbours in order of their score, the last one cut
-where the window ends; what is left of it seeds the next.  Only the last window of a shard can be
-short.  Documents longer than a window fill windows of their own with their first ids.
+terms; terms that many documents hold are salted by a hash of the document, so that shards stay even
+when one pair of terms leads a third of all.  A task streams its shard in blocks, holds a BM25
+inverted index of a block and fills window after window: the seed's unused neighbours in order of
+their score, the last one cut where the window ends; what is left of it seeds the next.  Only the
+last window of a shard can be short.  Documents longer than a window fill windows of their own with
+their first ids.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from episodium.workspace import settle
 WINDOW = 2048
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+#: Documents that lead with the same terms are dealt in groups of about so many.
+GROUP_DOCS = 512
 #: Ids in a shard, on average, and in a block of it, at most (one document at least).
 SHARD_IDS, BLOCK_IDS = 1 << 22, 1 << 20
 
@@ -245,8 +248,11 @@ def pack_by_retrieval(
             for doc_id, n, start, ids in _tails(batch, window):
                 terms, counts = np.unique(ids, return_counts=True)
                 weight = idf[terms] * counts / (counts + K1)
-                first = terms[np.argsort(-weight, kind="stable")[:2]].tolist()
-                rows.append((doc_id, n, start, ids.astype("<u2" if frequency.size <= 1 << 16 else "<u4").tobytes(), first[0], first[-1]))
+                first = terms[np.argsort(-weight, kind="stable")[:2]]
+                data = ids.astype("<u2" if frequency.size <= 1 << 16 else "<u4").tobytes()
+                groups = int(frequency[first].min()) // GROUP_DOCS + 1
+                salt = zlib.crc32(f"{doc_id} {zlib.crc32(data)}".encode()) % groups
+                rows.append((doc_id, n, start, data, int(first[0]), int(first[-1]), salt))
             yield _batch(rows, keyed_schema)
 
     keyed_schema = pa.schema(
@@ -257,6 +263,7 @@ def pack_by_retrieval(
             ("ids", pa.binary()),
             ("lead", pa.int64()),
             ("next", pa.int64()),
+            ("salt", pa.int64()),
         ]
     )
 
@@ -278,8 +285,10 @@ def pack_by_retrieval(
 
     shards = max(1, -(-n_ids // SHARD_IDS))
     tails = (
-        table.mapInArrow(keyed, "doc_id long, doc_tokens long, start long, ids binary, lead long, next long")
-        .repartitionByRange(shards, "lead", "next", F.xxhash64("doc_id", "ids"))
+        table.mapInArrow(
+            keyed, "doc_id long, doc_tokens long, start long, ids binary, lead long, next long, salt long"
+        )
+        .repartition(shards, "lead", "next", "salt")
         .sortWithinPartitions("lead", "next")
         .select("doc_id", "doc_tokens", "start", "ids")
     )

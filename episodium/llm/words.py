@@ -48,8 +48,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def hash_words(texts: Sequence[str | None], parting: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, offsets of each text's words); a null text has no words."""
+def hash_words(
+    texts: Sequence[str | None], parting: np.ndarray = BLANK, heads: Sequence[int] = ()
+) -> tuple[np.ndarray, ...]:
+    """(hashes of all words, offsets of each text's words); a null text has no words.
+
+    For each number in ``heads`` there follow the hashes of the words' first so many bytes.
+    """
     raw = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
@@ -63,9 +68,14 @@ def hash_words(texts: Sequence[str | None], parting: np.ndarray = BLANK) -> tupl
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
         down = _powers(_INVERSE, len(data))
-        words = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+        def span(to: np.ndarray) -> np.ndarray:
+            return mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64))
+
+        words = span(stops)
+        firsts = [span(np.minimum(starts + n, stops)) for n in heads]
     offsets = np.concatenate([[0], np.searchsorted(starts, ends)])
-    return words, offsets
+    return words, offsets, *firsts
 
 
 def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
