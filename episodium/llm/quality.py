@@ -28,7 +28,8 @@ WORD_BUCKETS = 1 << 18
 #: Beginnings of words, in bytes, that are features too: they stand for all forms of a word.
 HEADS = (4, 5, 6)
 SHAPES, SHAPE_BINS = 7, 16
-#: Features are used if the classes differ in them beyond chance, by the G statistic; so many at most.
+#: Features are used if the classes differ in them beyond chance: their G statistic is at least this
+#: and at least the root of the number of rows (copies among the rows inflate it).  So many at most.
 LEAST_G, MOST_FEATURES = 15.0, 4096
 FEATURES = WORD_BUCKETS + SHAPES * SHAPE_BINS
 #: Bounds of the prior strengths, in documents.
@@ -101,7 +102,7 @@ def telling(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarr
         + term(positive - both, (rows - n) * rate)
         + term(rows - n - positive + both, (rows - n) * (1 - rate))
     )
-    g[(n < 3) | (g < LEAST_G)] = 0
+    g[(n < 3) | (g < max(LEAST_G, rows**0.5))] = 0
     chosen = np.zeros(FEATURES, bool)
     chosen[np.argsort(-g, kind="stable")[:MOST_FEATURES]] = True
     return chosen & (g > 0)
