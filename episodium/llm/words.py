@@ -13,7 +13,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Texts are hashed in blocks of about so many bytes, which bounds the memory of a task.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
