@@ -12,32 +12,12 @@ from episodium import dims
 from episodium.functions.keyed import keyed_hash
 from episodium.functions.ranking import contiguous_share, dense_index, hash_index, sliced_index
 
-CHUNK = 4096
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """A scan with fewer splits than cores, cut up before costly per-row work.
-
-    Large inputs have splits enough and stay as they are; only the plan is looked at, no data.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 # --- assembling nested rows -----------------------------------------------------------------------
 
 
-def nest(rows: DataFrame, keys: list[str], fields: list[str], name: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows of a group as an ordered array, at most ``chunk`` elements per output row.
-
-    An ordinary episode is one row with ``chunk = 0``; an extremely long one spans several, so no
-    group has to fit into a single array.
-    """
-    return (
-        rows.withColumn("chunk", F.floor(F.col("t") / F.lit(chunk)))
-        .groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("t", *fields))).alias(name))
-    )
+def nest(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
+    """Rows of a group as one array, ordered by ``t``: one row per group, however long it is."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", *fields))).alias(name))
 
 
 def sort_records(records: Column, field: str) -> Column:
@@ -59,51 +39,29 @@ def parse_episodes(
         observations.select("idx", "t", *fields, F.lit("o").alias("part_of"))
     )
     is_action = F.col("part_of") == "a"
-    counts = both.groupBy("idx").agg(
+    item = F.struct("t", *fields)
+    nested = both.groupBy("idx").agg(
         F.count(F.when(is_action, 1)).alias("n_actions"),
         F.count(F.when(~is_action, 1)).alias("n_obs"),
-    )
-    item = F.struct("t", *fields)
-    nested = (
-        both.withColumn("chunk", F.floor(F.col("t") / F.lit(CHUNK)))
-        .groupBy("idx", "chunk")
-        .agg(
-            F.sort_array(F.collect_list(F.when(is_action, item))).alias("actions"),
-            F.sort_array(F.collect_list(F.when(~is_action, item))).alias("observations"),
-        )
+        F.sort_array(F.collect_list(F.when(is_action, item))).alias("actions"),
+        F.sort_array(F.collect_list(F.when(~is_action, item))).alias("observations"),
     )
     zero = F.lit(0).cast("bigint")
-    checked = headers.join(counts, "idx", "left").select(
-        *headers.columns,
-        F.coalesce("n_actions", zero).alias("n_actions"),
-        F.coalesce("n_obs", zero).alias("n_obs"),
+    none = F.array().cast(nested.schema["actions"].dataType)
+    counted = headers.join(nested, "idx", "left").withColumns(
+        {"n_actions": F.coalesce("n_actions", zero), "n_obs": F.coalesce("n_obs", zero)}
     )
     ok = F.col("n_actions") == F.col("n_obs")
-    empty = checked.where(ok & (F.col("n_actions") == 0))
-    none = F.array().cast(nested.schema["actions"].dataType)
-    good = checked.where(ok & (F.col("n_actions") > 0)).join(nested, "idx")
-    status = F.when(ok, F.lit("ok")).otherwise(F.lit("reject"))
-    columns = [*checked.columns, "chunk", "actions", "observations", status.alias("status")]
-    return (
-        good.select(*columns)
-        .unionByName(
-            empty.withColumn("chunk", zero).withColumn("actions", none).withColumn("observations", none).select(*columns)
-        )
-        .unionByName(
-            checked.where(~ok)
-            .withColumn("chunk", zero)
-            .withColumn("actions", F.lit(None).cast(none_type(nested)))
-            .withColumn("observations", F.lit(None).cast(none_type(nested)))
-            .select(*columns)
-        )
+    return counted.select(
+        *headers.columns,
+        "n_actions",
+        "n_obs",
+        F.when(ok, F.coalesce("actions", none)).alias("actions"),
+        F.when(ok, F.coalesce("observations", none)).alias("observations"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("reject")).alias("status"),
     )
 
 
-def none_type(nested: DataFrame) -> T.DataType:
-    """Type of the nested array, for typed NULLs."""
-    return nested.schema["actions"].dataType
-
-
 def append_null_action(headers: DataFrame, steps: DataFrame, start: dict[str, float]) -> DataFrame:
     """Steps plus one last step per episode that holds the starting pose."""
     counts = steps.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
@@ -202,7 +160,7 @@ def stratified_split(rows: DataFrame, total: int, seed: object, key: str = "idx"
     """Train/valid split with an exact number of validation rows per task, keyed by the row key."""
     hashed = rows.withColumn("__h", keyed_hash(seed, key))
     ranked = hash_index(hashed, [by], "__h", [key], "__rank")
-    quota = F.broadcast(validation_quota(rows, total, by).select(by, "quota"))
+    quota = validation_quota(rows, total, by).select(by, "quota")
     return (
         ranked.join(quota, by)
         .withColumn(

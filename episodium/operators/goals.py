@@ -62,8 +62,8 @@ def pose_progress(objects: DataFrame, targets: DataFrame, max_progress: float =
 def zone_progress(points: DataFrame, zones: DataFrame, top: float, max_progress: float = 1.0) -> DataFrame:
     """Share of points inside the oriented zones of their episode.
 
-    Zones carry idx, zx, zy, turn (cosine and sine as c, s) and sizes w, h; every point counts
-    once per zone.
+    Zones carry idx, their place zx, zy, zz, turn (cosine and sine as c, s) and sizes w, h; a point
+    is moved into the zone's own frame, also in height.  Every point counts once per zone.
     """
     dx, dy = F.col("x") - F.col("zx"), F.col("y") - F.col("zy")
     u = F.col("c") * dx + F.col("s") * dy
@@ -71,7 +71,7 @@ def zone_progress(points: DataFrame, zones: DataFrame, top: float, max_progress:
     inside = (
         (u > -F.col("w") / 2) & (u < F.col("w") / 2)
         & (v > -F.col("h") / 2) & (v < F.col("h") / 2)
-        & (F.col("z") < top)
+        & (F.col("z") - F.col("zz") < top)
     )
     share = F.lit(max_progress) * (F.count_if(inside) / F.count(F.lit(1)))
     return (

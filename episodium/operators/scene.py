@@ -107,11 +107,15 @@ def pose_matches(
     return joined.drop("__cx", "__cy", *["r_" + k for k in equal])
 
 
-def any_overlap(first: DataFrame, second: DataFrame, keys: list[str], reach: float) -> DataFrame:
+def any_overlap(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Groups in which some object of one set overlaps one of the other set.
 
-    Both sets carry x, y, w, h; ``reach`` bounds the distance at which two objects can overlap.
+    Both sets carry x, y, w, h.  How far apart two objects can overlap follows from the largest
+    sizes of both sets, one aggregate.
     """
+    sizes = [c for c in ("w", "h")]
+    largest = first.select(*sizes).unionByName(second.select(*sizes)).agg(F.max("w"), F.max("h")).first()
+    reach = max(0.0, *[float(v or 0.0) for v in largest]) + 2 * dims.OVERLAP_MARGIN
     a, b, equal = near_candidates(first, second, reach, keys)
     b = _renamed(b, b.columns, "o_")
     limit = F.greatest(
@@ -320,14 +324,21 @@ def fuse_views(maps: DataFrame, by: list[str], colours: list[str]) -> DataFrame:
     )
 
 
-def palette_colours(pixels: DataFrame) -> DataFrame:
-    """Pixel ids as colours of the fixed palette; ids beyond it are rejected."""
-    colour = F.get(
-        F.array(*[F.array(*[F.lit(v) for v in rgb]) for rgb in dims.SEGMENT_PALETTE]), F.col("id")
+def palette_colours(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """Pixel ids as colours of the fixed palette, with the frame's ``status``.
+
+    A frame with an id beyond the palette is rejected as a whole: its pixels stay, without colours.
+    """
+    known = F.col("id").between(0, len(dims.SEGMENT_PALETTE) - 1)
+    colour = F.try_element_at(
+        F.array(*[F.array(*[F.lit(v) for v in rgb]) for rgb in dims.SEGMENT_PALETTE]), F.col("id").cast("int") + 1
     )
+    rejected = pixels.where(~known).select(*by).distinct().withColumn("__rejected", F.lit(True))
     return (
-        pixels.where(F.col("id").between(0, len(dims.SEGMENT_PALETTE) - 1))
-        .withColumn("__c", colour)
+        pixels.join(rejected, by, "left")
+        .withColumn("status", F.when(F.col("__rejected"), F.lit("reject")).otherwise(F.lit("ok")))
+        .withColumn("__c", F.when(F.col("__rejected").isNull(), colour))
+        .drop("__rejected")
         .select("*", *[F.col("__c")[i].alias(n) for i, n in enumerate("rgb")])
         .drop("__c")
     )

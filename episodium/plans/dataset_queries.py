@@ -27,6 +27,11 @@ def digest_sql(*columns: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {parts})), 1, 15))::BIGINT"
 
 
+def fingerprint_sql(*columns: str) -> str:
+    """The fingerprint of a shard manifest as SQL text."""
+    return f"CAST(sum({digest_sql(*columns)} % {io.FINGERPRINT_PRIME}) % {io.FINGERPRINT_PRIME} AS BIGINT)"
+
+
 @query(
     "s1_list_episodes",
     f"""WITH {b.INSTANCES} SELECT idx, task_name || '/' || printf('%06d', idx) AS path
@@ -44,7 +49,7 @@ def s1(spark, folder):
     "s2_parse_episodes",
     f"""WITH {b.STEPS}, {b.INSTANCES}, acted AS (SELECT idx, count(*) AS n_actions, count(*) FILTER (qty > 1) AS n_obs,
       string_agg(CAST(part AS VARCHAR), ',' ORDER BY t) AS parts FROM steps GROUP BY idx)
-    SELECT i.idx, 0::BIGINT AS chunk, coalesce(n_actions, 0) AS n_actions, coalesce(n_obs, 0) AS n_obs,
+    SELECT i.idx, coalesce(n_actions, 0) AS n_actions, coalesce(n_obs, 0) AS n_obs,
       CASE WHEN coalesce(n_actions, 0) = coalesce(n_obs, 0) THEN 'ok' ELSE 'reject' END AS status,
       CASE WHEN coalesce(n_actions, 0) = coalesce(n_obs, 0) THEN coalesce(parts, '') END AS parts
     FROM instances i LEFT JOIN acted USING (idx)""",
@@ -55,7 +60,7 @@ def s2(spark, folder):
         b.instances(spark, folder).select("idx"), steps, steps.where(F.col("qty") > 1), ["part", "qty"]
     )
     parts = F.array_join(F.transform("actions", lambda a: a["part"].cast("string")), ",")
-    return parsed.select("idx", "chunk", "n_actions", "n_obs", "status", parts.alias("parts"))
+    return parsed.select("idx", "n_actions", "n_obs", "status", parts.alias("parts"))
 
 
 @query(
@@ -88,12 +93,12 @@ def s3(spark, folder):
 def s4(spark, folder):
     nested = ds.nest(b.steps(spark, folder), ["idx"], ["part", "qty"], "actions")
     arrays = nested.select(
-        "idx", "chunk", F.col("actions.part").alias("parts"), F.col("actions.qty").alias("qtys")
+        "idx", F.col("actions.part").alias("parts"), F.col("actions.qty").alias("qtys")
     )
     records = lists_to_records(part=F.col("parts"), qty=F.col("qtys"))
-    return arrays.select("idx", "chunk", F.posexplode(records).alias("i", "a")).select(
+    return arrays.select("idx", F.posexplode(records).alias("i", "a")).select(
         "idx",
-        (F.col("chunk") * ds.CHUNK + F.col("i")).alias("position"),
+        F.col("i").cast("bigint").alias("position"),
         "a.part",
         "a.qty",
     )
@@ -212,7 +217,7 @@ sharded AS (SELECT *, CASE WHEN i < (total % shards) * (total // shards + 1) THE
 @query(
     "s9_sharded_files",
     f"""WITH {SHARDED} SELECT split, shard, count(*) AS n_rows, min(idx) AS first_idx, max(idx) AS last_idx,
-      printf('%s-%05d-of-%05d-%d', split, shard, any_value(shards), bit_xor({digest_sql("idx", "task", "seed")})) AS file
+      printf('%s-%05d-of-%05d-%d', split, shard, any_value(shards), {fingerprint_sql("idx", "task", "seed")}) AS file
     FROM sharded GROUP BY split, shard""",
 )
 def s9(spark, folder):
@@ -239,9 +244,9 @@ NEW_SEED = "CASE WHEN price > 480000 THEN seed + 1 ELSE seed END"
 
 @query(
     "s10_shard_decisions",
-    f"""WITH {b.INSTANCES}, old AS (SELECT task, idx // 1000 AS shard, bit_xor({digest_sql("idx", "seed")}) AS f
+    f"""WITH {b.INSTANCES}, old AS (SELECT task, idx // 1000 AS shard, (count(*), {fingerprint_sql("idx", "seed")}) AS f
       FROM instances WHERE {OLD_MANIFEST} GROUP BY ALL),
-    new AS (SELECT task, idx // 1000 AS shard, bit_xor({digest_sql("idx", f"({NEW_SEED})")}) AS f
+    new AS (SELECT task, idx // 1000 AS shard, (count(*), {fingerprint_sql("idx", f"({NEW_SEED})")}) AS f
       FROM instances WHERE {NEW_MANIFEST} GROUP BY ALL)
     SELECT task, shard, CASE WHEN new.f IS NULL THEN 'drop' WHEN old.f IS NULL THEN 'write'
       WHEN new.f = old.f THEN 'skip' ELSE 'rewrite' END AS decision
@@ -613,7 +618,7 @@ def l6(spark, folder):
 
 @query(
     "w10_sorted_steps",
-    f"""WITH {b.STEPS} SELECT idx, t // {ds.CHUNK} AS chunk,
+    f"""WITH {b.STEPS} SELECT idx,
       string_agg(CAST(part AS VARCHAR), ',' ORDER BY supp % 3, t) AS parts FROM steps GROUP BY ALL""",
 )
 def w10(spark, folder):
@@ -621,5 +626,5 @@ def w10(spark, folder):
     nested = ds.nest(steps, ["idx"], ["key", "part"], "items")
     ordered = ds.sort_records(F.col("items"), "key")
     return nested.select(
-        "idx", "chunk", F.array_join(F.transform(ordered, lambda s: s["part"].cast("string")), ",").alias("parts")
+        "idx", F.array_join(F.transform(ordered, lambda s: s["part"].cast("string")), ",").alias("parts")
     )

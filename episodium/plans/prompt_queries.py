@@ -13,7 +13,6 @@ from episodium.functions import text as X
 from episodium.functions.keyed import hash_to_int, sql_hash, sql_int
 from episodium.operators import prompts as pr
 from episodium.operators import sequences as sq
-from episodium.operators.datasets import spread
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.workspace import settle
@@ -38,7 +37,7 @@ def requests(spark, folder):
     rows = b.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 17).cast("int").alias("task")
     )
-    return spread(rows, "idx").select(
+    return rows.select(
         "*",
         pick(TEXTURES, "texture-a").alias("texture_a"),
         pick(TEXTURES, "texture-b").alias("texture_b"),

@@ -354,9 +354,6 @@ def j7_position(spark, folder):
     ).select("idx", "t", F.col("target_k").alias("k"))
 
 
-REACH = 0.12
-
-
 @query(
     "j8_overlapping_episodes",
     f"""WITH {b.poses_sql()}, sized AS (SELECT idx, flag, p0x AS x, p0y AS y, qty / 500.0e0 AS w, line / 70.0e0 AS h FROM poses)
@@ -369,7 +366,7 @@ def j8(spark, folder):
         (F.col("qty") / 500.0).alias("w"), (F.col("line") / 70.0).alias("h"),
     )
     first = sized.where("flag = 'R'").drop("flag")
-    return sc.any_overlap(first, sized.where("flag = 'A'").drop("flag"), ["idx"], REACH)
+    return sc.any_overlap(first, sized.where("flag = 'A'").drop("flag"), ["idx"])
 
 
 @query(
@@ -440,6 +437,7 @@ def j12(spark, folder):
 ZONE_COLUMNS = {
     "zx": "0.3e0 + (seed % 5) / 12.5e0 + j * 0.05e0",
     "zy": "(seed % 7) / 10.0e0 - 0.3e0",
+    "zz": "(seed % 3) * 0.05e0",
     "c": "CASE WHEN seed % 2 = 0 THEN 1.0e0 ELSE 0.6e0 END",
     "s": "CASE WHEN seed % 2 = 0 THEN 0.0e0 ELSE 0.8e0 END",
     "w": "0.4e0",
@@ -453,7 +451,7 @@ ZONE_TOP = 0.3
 @query(
     "a15_zone_progress",
     f"""WITH {b.poses_sql()}, {ZONES},
-    local AS (SELECT idx, c * (p0x - zx) + s * (p0y - zy) AS u, c * (p0y - zy) - s * (p0x - zx) AS v, p0z AS z, w, h FROM poses JOIN zones USING (idx)),
+    local AS (SELECT idx, c * (p0x - zx) + s * (p0y - zy) AS u, c * (p0y - zy) - s * (p0x - zx) AS v, p0z - zz AS z, w, h FROM poses JOIN zones USING (idx)),
     p AS (SELECT idx, count(*) FILTER (abs(u) < w / 2 AND abs(v) < h / 2 AND z < {ZONE_TOP}) / count(*) AS progress FROM local GROUP BY idx)
     SELECT idx, progress, abs(1 - progress) < 0.001 AS complete FROM p""",
 )
@@ -660,21 +658,22 @@ RGB = ", ".join(
 @query(
     "m13_palette_frames",
     f"""WITH {b.PIXELS}, wide AS (SELECT frame, y, x, id * 3 AS id FROM pixels)
-    SELECT frame, y, x, id, {RGB} FROM wide WHERE id < 20""",
+    SELECT frame, y, x, id, CASE WHEN bad THEN 'reject' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN r END AS r, CASE WHEN NOT bad THEN g END AS g,
+      CASE WHEN NOT bad THEN b END AS b FROM (SELECT *, {RGB}, max(id) OVER (PARTITION BY frame) >= 20 AS bad FROM wide)""",
 )
 def m13(spark, folder):
     wide = b.pixels(spark, folder).select("frame", "y", "x", (F.col("id") * 3).alias("id"))
-    return sc.palette_colours(wide)
+    return sc.palette_colours(wide, ["frame"])
 
 
 @query(
     "m13_stacked_frames",
-    f"""WITH {b.PIXELS}, coloured AS (SELECT frame, y, x, id * 3 AS id FROM pixels WHERE id * 3 < 20), rgb AS (SELECT frame, y, x, {RGB} FROM coloured)
+    f"""WITH {b.PIXELS}, coloured AS (SELECT frame, y, x, id * 3 AS id FROM pixels QUALIFY max(id * 3) OVER (PARTITION BY frame) < 20), rgb AS (SELECT frame, y, x, {RGB} FROM coloured)
     SELECT frame, string_agg(printf('%d/%d/%d', r, g, b), ' ' ORDER BY y, x) AS stacked FROM rgb GROUP BY frame""",
 )
 def m13_stacked(spark, folder):
     wide = b.pixels(spark, folder).select("frame", "y", "x", (F.col("id") * 3).alias("id"))
-    stacked = sc.stack_frames(sc.palette_colours(wide), ["frame"], ["r", "g", "b"])
+    stacked = sc.stack_frames(sc.palette_colours(wide, ["frame"]).where("status = 'ok'"), ["frame"], ["r", "g", "b"])
     as_text = lambda p: F.array_join(F.transform(p, lambda v: v.cast("string")), "/")
     return stacked.select("frame", F.array_join(F.transform("pixels", as_text), " ").alias("stacked"))
 

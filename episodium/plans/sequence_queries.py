@@ -108,8 +108,8 @@ def m8_nested(spark, folder):
 
 @query(
     "m9_stacked_sequences",
-    f"""WITH {b.STEPS}, a AS (SELECT idx, t // {ds.CHUNK} AS chunk, list(part ORDER BY t) AS parts, list(qty ORDER BY t) AS qtys FROM steps GROUP BY ALL)
-    SELECT idx, chunk, len(parts) + 1 AS concatenated, array_to_string(parts[2:3], ',') AS sliced, CAST(list_sum(qtys) AS BIGINT) AS transposed_sum, 1 AS batch_dim FROM a""",
+    f"""WITH {b.STEPS}, a AS (SELECT idx, list(part ORDER BY t) AS parts, list(qty ORDER BY t) AS qtys FROM steps GROUP BY ALL)
+    SELECT idx, len(parts) + 1 AS concatenated, array_to_string(parts[2:3], ',') AS sliced, CAST(list_sum(qtys) AS BIGINT) AS transposed_sum, 1 AS batch_dim FROM a""",
 )
 def m9(spark, folder):
     nested = ds.nest(b.steps(spark, folder), ["idx"], ["part", "qty"], "items")
@@ -117,7 +117,6 @@ def m9(spark, folder):
     by_field = F.struct(F.col("items.part").alias("part"), F.col("items.qty").alias("qty"))
     return nested.select(
         "idx",
-        "chunk",
         F.size(longer).cast("bigint").alias("concatenated"),
         F.array_join(F.transform(F.slice(by_field["part"], 2, 2), lambda v: v.cast("string")), ",").alias("sliced"),
         F.aggregate(by_field["qty"], F.lit(0.0), lambda acc, q: acc + q).cast("bigint").alias("transposed_sum"),

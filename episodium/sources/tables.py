@@ -21,6 +21,9 @@ EPISODE_SCHEMA = T.StructType(
 )
 
 
+FINGERPRINT_PRIME = (1 << 31) - 1
+
+
 def episode_path(task_name: Column, idx: Column) -> Column:
     """``task/000123``."""
     return F.concat(task_name, F.lit("/"), F.format_string("%06d", idx))
@@ -90,7 +93,7 @@ def assign_shards(rows: DataFrame, split: str, key: str, shards: dict[str, int],
         F.create_map(*[F.lit(x) for item in shards.items() for x in item]), F.col(split)
     )
     return (
-        indexed.join(F.broadcast(totals), split)
+        indexed.join(totals, split)
         .withColumn("shard", contiguous_share(F.col("__i"), F.col("__total"), count))
         .withColumn("slice", F.floor(F.col("__i") / width))
         .withColumn("shards", count)
@@ -99,10 +102,12 @@ def assign_shards(rows: DataFrame, split: str, key: str, shards: dict[str, int],
 
 
 def shard_manifest(rows: DataFrame, digest: Column, by: list[str]) -> DataFrame:
-    """Row count and content fingerprint per shard; partial aggregation does the work."""
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bit_xor(digest).alias("fingerprint")
-    )
+    """Row count and content fingerprint per shard; partial aggregation does the work.
+
+    The fingerprint adds up the digests modulo 2**31 - 1, so that repeated rows do not cancel.
+    """
+    digests = F.sum(digest % F.lit(FINGERPRINT_PRIME)) % F.lit(FINGERPRINT_PRIME)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), digests.alias("fingerprint"))
 
 
 def shard_name(split: Column, shard: Column, shards: Column, fingerprint: Column) -> Column:
@@ -123,8 +128,9 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def shard_decisions(stored: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """What to do with each shard: skip, rewrite (drop the stale file first), write or drop."""
-    old = stored.select(*by, F.col("fingerprint").alias("old"))
-    new = wanted.select(*by, F.col("fingerprint").alias("new"))
+    content = F.struct("n_rows", "fingerprint")
+    old = stored.select(*by, content.alias("old"))
+    new = wanted.select(*by, content.alias("new"))
     decision = (
         F.when(F.col("new").isNull(), F.lit("drop"))
         .when(F.col("old").isNull(), F.lit("write"))

@@ -102,10 +102,21 @@ def test_seeds_repeat_across_tasks(spark):
     assert {r["episode"] for r in planned if r["episodes_with_seed"] == 2} == {0, 2}
 
 
-def test_nest_cuts_long_episodes(spark):
-    rows = spark.range(10).select(F.lit(1).alias("idx"), F.col("id").alias("t"), (F.col("id") * 2).alias("v"))
-    got = ds.nest(rows, ["idx"], ["v"], "items", chunk=4).orderBy("chunk").collect()
-    assert [[i["v"] for i in r["items"]] for r in got] == [[0, 2, 4, 6], [8, 10, 12, 14], [16, 18]]
+def test_an_episode_of_any_length_is_one_row(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("idx"), F.col("id").alias("t"), (5000 - F.col("id")).alias("v"))
+    nested = ds.nest(rows, ["idx"], ["v"], "items")
+    got = nested.select(F.transform(ds.sort_records(F.col("items"), "v"), lambda r: r["v"]).alias("v")).collect()
+    assert [r["v"] for r in got] == [list(range(1, 5001))]
+
+
+def test_repeated_rows_change_a_shard(spark):
+    from episodium.sources import tables as io
+
+    rows = spark.createDataFrame([(1, 10), (2, 20)], "shard int, v int")
+    more = rows.unionByName(rows.where("shard = 1")).unionByName(rows.where("shard = 1"))
+    manifest = lambda r: io.shard_manifest(r, io.row_digest("v"), ["shard"])
+    got = {r["shard"]: r["decision"] for r in io.shard_decisions(manifest(rows), manifest(more), ["shard"]).collect()}
+    assert got == {1: "rewrite", 2: "skip"}
 
 
 def test_parse_rejects_uneven_episodes(spark):
