@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
 import zlib
 
 import numpy as np
@@ -119,6 +120,19 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_of_shared_passages(spark):
+    """Passages that more documents share than the bound on common shingles, against all pairs."""
+    draw = random.Random(5)
+    passages = [" ".join(f"p{draw.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    texts = {}
+    for i in range(200):
+        tail = [f"z{draw.randrange(10**6)}" for _ in range(draw.choice([3, 10, 20, 60]))]
+        texts[i] = " ".join([draw.choice(passages), draw.choice(passages), *tail])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    found = {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(rows).collect()}
+    assert found == brute.components(texts)
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 0, 1), (2, 0, 1), (None, 1, 1), (3, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int"
