@@ -287,3 +287,21 @@ def test_permutations_are_bijections(spark):
     assert digits.distinct().count() == 1000
     numbers = frame.filter("id < 21 * 37").select(pii.feistel_number(F.col("id"), "k", "t", 21, 37).alias("x"))
     assert sorted(r["x"] for r in numbers.collect()) == list(range(21 * 37))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    draw = np.random.default_rng(7)
+    for size, other in [(1, 1), (4, 400), (90, 10), (700, 120), (3000, 2)]:
+        one = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+        two = np.union1d(one[: len(one) * 9 // 10], draw.integers(0, 1 << 63, other).astype(np.uint64))
+        bits = sum(int(x).bit_count() for x in (jaccard_join.sketch(one) ^ jaccard_join.sketch(two)).view(np.uint64))
+        assert bits <= len(np.setxor1d(one, two))
+        assert not (jaccard_join.sketch(one) ^ jaccard_join.sketch(one[::-1])).any()
+
+
+def test_regions_with_the_same_points_are_one(spark):
+    rows = [(r, p, 9) for r in (1, 2, 3) for p in (10, 20)] + [(4, p, 9) for p in (10, 30)] + [(5, 10, 9)]
+    found = jaccard_join.merged(spark.createDataFrame(rows, "region long, point long, n long"))
+    assert sorted(map(tuple, found.select("region", "point", "weight").collect())) == [
+        (1, 10, 3), (1, 20, 3), (4, 10, 1), (4, 30, 1)
+    ]
