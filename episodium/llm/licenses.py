@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules.
 
 A text is cut into sentences, each normalised to lower-case words.  Known sentences become
-identifiers; the document's sequence of identifiers is then matched against ordered rules, longer
+identifiers, also where they are wrapped at a fixed width or stand behind comment marks; the document's sequence of identifiers is then matched against ordered rules, longer
 ones first.  A rule uses up the sentences it matches.  All in one pass without a shuffle.
 """
 
@@ -67,18 +67,39 @@ RULES = [
 
 #: What is neither letter, digit, white space nor a full stop is dropped; "-", "/" and ":" part words.
 _PARTING, _NOISE = "[-/:_]", r"[^\p{L}\p{N}. \t\n\x0b\x0c\r]"
-_END, _GAP = r"[.]+([ \t\n\x0b\x0c\r]|\z)", r"[ \t\n\x0b\x0c\r.]+"
+_END = r"[.]+([ \t\n\x0b\x0c\r]|\z)"
+#: A full stop that ends a sentence; a line end only may, so it stays as it is.
+_STOP = "\x02"
+#: A number or letter before an item of a list.
+_MARK = r"(?:[0-9]{1,2}|[a-d]|i{1,3}|iv)[ \n]"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised, non-empty sentences of a text, in order.
+def normalised(text: Column) -> Column:
+    """The words of a text, parted by blanks, line ends and ``_STOP``, one of them each time.
 
-    A sentence ends at full stops before white space or the end, and at a line end.
+    A sentence ends at full stops before white space or the end; a line end is the end of a sentence
+    or a blank inside one.  Of a line end and full stops in a row the full stops count.
     """
     plain = F.regexp_replace(F.regexp_replace(fold(text), _PARTING, " "), _NOISE, "")
-    parts = F.split(F.regexp_replace(plain, _END, "\n"), "\n", -1)
-    words = F.transform(parts, lambda s: F.btrim(F.regexp_replace(s, _GAP, " ")))
-    return F.filter(words, lambda s: s != "")
+    for pattern, to in (
+        (_END, _STOP),
+        (r"[ \t\x0b\x0c\r.]+", " "),
+        (r" ?\n ?", "\n"),
+        (rf" ?{_STOP} ?", _STOP),
+        (r"\n+", "\n"),
+        (rf"\n?{_STOP}[\n{_STOP}]*", _STOP),
+    ):
+        plain = F.regexp_replace(plain, pattern, to)
+    return F.btrim(plain)
+
+
+def _any_of(known: Mapping[str, str]) -> str:
+    """A pattern of the known sentences, the longest first, on one line or on several in a row."""
+    quoted = [
+        r"[ \n]".join(rf"\Q{word}\E" for word in sentence.split(" "))
+        for sentence in sorted(known, key=len, reverse=True)
+    ]
+    return rf"(?<![^\n{_STOP}])(?:{_MARK})?(?:{'|'.join(quoted)})(?![^\n{_STOP}])"
 
 
 def recognise(
@@ -90,6 +111,10 @@ def recognise(
 ) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, unmatched) for every row of ``docs``.
 
+    ``n_sentences`` counts pieces between line ends or full stops.  A known sentence is looked up in
+    whole pieces, on one line or on several in a row without a full stop between them, the longest
+    from a piece on; on several lines it may follow a list mark.
+
     ``sentence_ids`` is the sequence of identifiers, joined by blanks; sentences that are not known
     have none.  ``licences`` lists each licence found once, in rule order, joined by blanks;
     ``unmatched`` counts identifiers that no rule used.  Null and empty texts have no sentence.
@@ -97,16 +122,27 @@ def recognise(
     """
     known = SENTENCES if known is None else known
     rules = RULES if rules is None else rules
+    known = {sentence: name for sentence, name in known.items() if sentence}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else None
     rows = docs.select(
-        column(docs, id_col).alias("doc_id"), sentences(column(docs, text_col)).alias("sentences")
+        column(docs, id_col).alias("doc_id"), normalised(column(docs, text_col)).alias("words")
     )
+
+    def name_of(run: Column) -> Column:
+        one = F.translate(run, "\n", " ")
+        unmarked = F.when(F.contains(run, F.lit("\n")), F.regexp_replace(one, f"^{_MARK}", ""))
+        return F.coalesce(F.try_element_at(table, one), F.try_element_at(table, unmarked))
+
     ids = (
-        F.filter(F.transform("sentences", lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+        F.filter(
+            F.transform(F.regexp_extract_all("words", F.lit(_any_of(known)), F.lit(0)), name_of),
+            lambda x: x.isNotNull(),
+        )
         if known
         else F.array().cast("array<string>")
     )
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), ids.alias("ids"))
+    pieces = F.filter(F.split("words", f"[\n{_STOP}]"), lambda s: s != "")
+    rows = rows.select("doc_id", F.size(pieces).cast("long").alias("n_sentences"), ids.alias("ids"))
     marked = F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(" "))), " "))
     start = F.struct(marked.alias("left"), F.array().cast("array<string>").alias("found"))
     steps = F.array(
