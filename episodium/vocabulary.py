@@ -7,11 +7,6 @@ take; a slot that is not listed stands for a prompt asset and is carried over un
 from __future__ import annotations
 
 
-def prefixes(parts: list[str]) -> list[str]:
-    """Every non-empty beginning of ``parts``, joined."""
-    return ["".join(parts[: end + 1]) for end in range(len(parts))]
-
-
 # --- fixed values: slot vocabularies ------------------------------------------------------------
 ANGLE_UNITS = ["degrees"]
 LIFTING_VERBS = ["pick up", "take", "lift", "grab"]
@@ -54,9 +49,6 @@ FINALLY_WORDS = ["finally", "last", "then"]
 MOTION_WORDS = ["motion", "movement", "maneuver"]
 BUILD_WORDS = ["build", "create", "construct", "form", "make"]
 
-_FRAMES = prefixes([" {frame1}", " {frame2}", " {frame3}"])
-_BLICKER = "{demo_blicker_obj_%d} is {novel_adj} than {demo_blicker_obj_%d}."
-
 # --- fixed values: rewording templates per task ---------------------------------------------------
 TEMPLATES: dict[str, list[str]] = {
     "visual_manipulation": [
@@ -90,22 +82,17 @@ TEMPLATES: dict[str, list[str]] = {
         "{rearrange_verb} {plural_noun} {preposition} this {scene_word} {scene} and then {restore_word}",
         "{rearrange_verb} {plural_noun} {preposition} this {scene_word} {scene} and {restore_word}",
     ],
-    # one to three comparisons, listed or summed up, with and without an adverb
     "novel_adj": [
-        text
-        for adverb in ("", "{adv} ")
-        for text in (
-            " ".join([_BLICKER % (1, 2), _BLICKER % (3, 4), _BLICKER % (5, 6)])
-            + " {placing_verb} the " + adverb + "{novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
-            " ".join([_BLICKER % (1, 2), _BLICKER % (3, 4)])
-            + " {placing_verb} the " + adverb + "{novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
-            _BLICKER % (1, 2)
-            + " {placing_verb} the " + adverb + "{novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
-            "{object1} {object3} and {object5} are all {novel_adj} than {plural_noun} {object2} {object4} and {object6} respectively."
-            + " {placing_verb} the " + adverb + "{novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
-            "{object1} and {object3} are both {novel_adj} than {plural_noun} {object2} and {object4} respectively."
-            + " {placing_verb} the " + adverb + "{novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
-        )
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {demo_blicker_obj_3} is {novel_adj} than {demo_blicker_obj_4}. {demo_blicker_obj_5} is {novel_adj} than {demo_blicker_obj_6}. {placing_verb} the {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {demo_blicker_obj_3} is {novel_adj} than {demo_blicker_obj_4}. {placing_verb} the {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {placing_verb} the {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{object1} {object3} and {object5} are all {novel_adj} than {plural_noun} {object2} {object4} and {object6} respectively. {placing_verb} the {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
+        "{object1} and {object3} are both {novel_adj} than {plural_noun} {object2} and {object4} respectively. {placing_verb} the {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {demo_blicker_obj_3} is {novel_adj} than {demo_blicker_obj_4}. {demo_blicker_obj_5} is {novel_adj} than {demo_blicker_obj_6}. {placing_verb} the {adv} {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {demo_blicker_obj_3} is {novel_adj} than {demo_blicker_obj_4}. {placing_verb} the {adv} {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{demo_blicker_obj_1} is {novel_adj} than {demo_blicker_obj_2}. {placing_verb} the {adv} {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}.",
+        "{object1} {object3} and {object5} are all {novel_adj} than {plural_noun} {object2} {object4} and {object6} respectively. {placing_verb} the {adv} {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
+        "{object1} and {object3} are both {novel_adj} than {plural_noun} {object2} and {object4} respectively. {placing_verb} the {adv} {novel_adj} {dragged_obj} {contain_preposition} the {base_obj}",
     ],
     "novel_noun": [
         "This is a {novel_noun1} {object1}. This is a {novel_noun2} {object2}. {placing_verb} the {novel_noun1} {contain_preposition} the {novel_noun2}.",
@@ -114,23 +101,29 @@ TEMPLATES: dict[str, list[str]] = {
         "This is a {novel_noun2} {object2} and this is a {novel_noun1} {object1}. {placing_verb} the {novel_noun1} {contain_preposition} the {novel_noun2}.",
     ],
     "follow_motion": [
-        start + frames
-        for start in (
-            "{moving_verb} the {object1} like this:",
-            "{moving_verb} the {object1} in this {way_word}:",
-            "{follow_verb} this {motion_word} for {object1}:",
-        )
-        for frames in _FRAMES
+        "{moving_verb} the {object1} like this: {frame1}",
+        "{moving_verb} the {object1} like this: {frame1} {frame2}",
+        "{moving_verb} the {object1} like this: {frame1} {frame2} {frame3}",
+        "{moving_verb} the {object1} in this {way_word}: {frame1}",
+        "{moving_verb} the {object1} in this {way_word}: {frame1} {frame2}",
+        "{moving_verb} the {object1} in this {way_word}: {frame1} {frame2} {frame3}",
+        "{follow_verb} this {motion_word} for {object1}: {frame1}",
+        "{follow_verb} this {motion_word} for {object1}: {frame1} {frame2}",
+        "{follow_verb} this {motion_word} for {object1}: {frame1} {frame2} {frame3}",
     ],
     "follow_order": [
-        start + frames
-        for start in (
-            "{stack_verb} {plural_noun} in this {order_word}:",
-            "{build_noun} a {stack_noun} of {plural_noun} in this {order_word}:",
-            "Follow this sequence to {build_noun} a {stack_noun} of {plural_noun}:",
-            "Follow this sequence to {stack_verb} {plural_noun}:",
-        )
-        for frames in _FRAMES
+        "{stack_verb} {plural_noun} in this {order_word}: {frame1}",
+        "{stack_verb} {plural_noun} in this {order_word}: {frame1} {frame2}",
+        "{stack_verb} {plural_noun} in this {order_word}: {frame1} {frame2} {frame3}",
+        "{build_noun} a {stack_noun} of {plural_noun} in this {order_word}: {frame1}",
+        "{build_noun} a {stack_noun} of {plural_noun} in this {order_word}: {frame1} {frame2}",
+        "{build_noun} a {stack_noun} of {plural_noun} in this {order_word}: {frame1} {frame2} {frame3}",
+        "Follow this sequence to {build_noun} a {stack_noun} of {plural_noun}: {frame1}",
+        "Follow this sequence to {build_noun} a {stack_noun} of {plural_noun}: {frame1} {frame2}",
+        "Follow this sequence to {build_noun} a {stack_noun} of {plural_noun}: {frame1} {frame2} {frame3}",
+        "Follow this sequence to {stack_verb} {plural_noun}: {frame1}",
+        "Follow this sequence to {stack_verb} {plural_noun}: {frame1} {frame2}",
+        "Follow this sequence to {stack_verb} {plural_noun}: {frame1} {frame2} {frame3}",
     ],
     "sweep_without_exceeding": [
         "{sweep_verb} {quantity} {object1} {preposition} {bounds} without {exceeding_constraint} {constraint}",
@@ -166,47 +159,43 @@ TEMPLATES: dict[str, list[str]] = {
         "{placing_verb} {object1} {contain_preposition} {object2} and then {restore_word}",
         "{placing_verb} {object1} {contain_preposition} {object2} and {object3} and then {restore_word}",
     ],
+    "novel_adj_and_noun": [
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} {object5} and {object7} are all {novel_adj} than {plural_noun} {object4} {object6} and {object8} respectively. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} {object5} and {object7} are all {novel_adj} than {plural_noun} {object4} {object6} and {object8} respectively. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {adv} {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} {object5} and {object7} are all {novel_adj} than {plural_noun} {object4} {object6} and {object8} respectively. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} {object5} and {object7} are all {novel_adj} than {plural_noun} {object4} {object6} and {object8} respectively. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}. {object3} is {novel_adj} than {object4}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {object3} is {novel_adj} than {object4}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+        "{object3} is {novel_adj} than {object4}. {this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}. {placing_verb} the {novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}.",
+    ],
+    "twist": [
+        '"Twist" is defined as {rotating_word} some {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} some {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. From {before_twist3} to {after_twist3}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} some {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. From {before_twist3} to {after_twist3}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {singular_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {plural_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {plural_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. From {before_twist2} to {after_twist2}. From {before_twist3} to {after_twist3}. Now twist all {texture} objects.',
+        '"Twist" is defined as {rotating_word} {plural_noun} a specific {angle_word}. For examples: From {before_twist1} to {after_twist1}. Now twist all {texture} objects.',
+    ],
 }
 
-# adjective-and-noun prompts: definitions and comparisons in either order, one to three comparisons,
-# each with and without an adverb
-_DEFINE_12 = "{this} is a {novel_noun1} {object1}. {this} is a {novel_noun2} {object2}."
-_DEFINE_21 = "{this} is a {novel_noun2} {object2}. {this} is a {novel_noun1} {object1}."
-_COMPARE = {
-    1: "{object3} is {novel_adj} than {object4}.",
-    2: "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}.",
-    3: "{object3} is {novel_adj} than {object4}. {object5} is {novel_adj} than {object6}. {object7} is {novel_adj} than {object8}.",
-}
-_COMPARE_ALL = "{object3} {object5} and {object7} are all {novel_adj} than {plural_noun} {object4} {object6} and {object8} respectively."
-_ASK = "{placing_verb} the %s{novel_adj} {novel_noun1} {contain_preposition} the {novel_noun2}."
-TEMPLATES["novel_adj_and_noun"] = [
-    f"{first} {second} {_ASK % adverb}"
-    for adverb in ("{adv} ", "")
-    for first, second in (
-        (_DEFINE_12, _COMPARE[3]),
-        (_DEFINE_12, _COMPARE_ALL),
-        (_DEFINE_21, _COMPARE[3]),
-        (_COMPARE[3], _DEFINE_21),
-        (_COMPARE_ALL, _DEFINE_21),
-        (_DEFINE_12, _COMPARE[2]),
-        (_DEFINE_21, _COMPARE[2]),
-        (_COMPARE[2], _DEFINE_21),
-        (_DEFINE_12, _COMPARE[1]),
-        (_DEFINE_21, _COMPARE[1]),
-        (_COMPARE[1], _DEFINE_21),
-    )
-]
-# twist prompts: three wordings of the definition, one to three examples
-_EXAMPLES = {
-    count: " ".join(f"From {{before_twist{n}}} to {{after_twist{n}}}." for n in range(1, count + 1))
-    for count in (1, 2, 3)
-}
-TEMPLATES["twist"] = [
-    f'"Twist" is defined as {{rotating_word}} {noun} a specific {{angle_word}}. For examples: {_EXAMPLES[count]} Now twist all {{texture}} objects.'
-    for noun in ("some {singular_noun}", "{singular_noun}", "{plural_noun}")
-    for count in (2, 3, 1)
-]
-
 _NOVEL_SLOTS = {
     "rearrange_verb": REARRANGE_VERBS,
     "preposition": REARRANGE_PREPOSITIONS,
@@ -321,7 +310,6 @@ SLOTS: dict[str, dict[str, list[str]]] = {
 }
 
 # --- fixed values: word-order templates used when placeholders become text -----------------------
-_SWEEP_TOUCHING = TEMPLATES["sweep_without_touching"][:2]
 TEXTUAL_TEMPLATES: dict[str, list[str]] = {
     "pick_in_order_then_restore": [
         "{placing_verb} {object1} {contain_preposition} {container1}. {finally_alternative} {restore_word} it {contain_preposition2} {article1} {starting_alternative} {container_noun}",
@@ -334,21 +322,29 @@ TEXTUAL_TEMPLATES: dict[str, list[str]] = {
         "A {novel_noun1} is a {object1}. A {novel_noun2} is a {object2}. {placing_verb} a {novel_noun1} {contain_preposition} a {novel_noun2}.",
         "A {novel_noun1} is a {object1}. A {novel_noun2} is a {object2}. {placing_verb} the {novel_noun1} {contain_preposition} the {novel_noun2}.",
     ],
-    "sweep_without_exceeding": TEMPLATES["sweep_without_exceeding"],
-    "sweep_without_touching": _SWEEP_TOUCHING,
+    "sweep_without_exceeding": [
+        "{sweep_verb} {quantity} {object1} {preposition} {bounds} without {exceeding_constraint} {constraint}",
+        "{sweep_verb} {quantity} {object1} {preposition} the {bounds} without {exceeding_constraint} the {constraint}",
+    ],
+    "sweep_without_touching": [
+        "{sweep_verb} {quantity} {object1} {preposition} {bounds} without {touching_constraint} {constraint}",
+        "{sweep_verb} {quantity} {object1} {preposition} the {bounds} without {touching_constraint} the {constraint}",
+    ],
     "manipulate_old_neighbor": [
-        TEMPLATES["manipulate_old_neighbor"][0],
+        "{preceeding_adjective} {placing_verb} {object1} {contain_preposition} {object2} then {placing_verb2} {article1} {singular_noun} that was previously at its {direction} into the same {object2}",
         "{preceeding_adjective} {placing_verb} the {object1} {contain_preposition} the {object2} and then {placing_verb2} {article1} {singular_noun} that was previously at its {direction} into the same {object2}",
     ],
     "same_shape": [
-        text
-        for target in ("{object1}", "the {object1}")
-        for text in (t.replace("{object1}", target) for t in TEMPLATES["same_shape"])
+        "{placing_verb} {quantity} {plural_noun} {association_preposition} {article1} {same} {profile} as {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {article2} {plural_noun} {association_preposition} {article1} {same} {profile} as {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {plural_noun} {association_preposition} {article1} {same} {profile} as the {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {article2} {plural_noun} {association_preposition} {article1} {same} {profile} as the {object1} {contain_preposition} it",
     ],
     "same_texture": [
-        text
-        for target in ("{object1}", "the {object1}")
-        for text in (t.replace("{object1}", target) for t in TEMPLATES["same_texture"])
+        "{placing_verb} {quantity} {plural_noun} {association_preposition} {article1} {same} {texture} as {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {article2} {plural_noun} {association_preposition} {article1} {same} {texture} as {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {plural_noun} {association_preposition} {article1} {same} {texture} as the {object1} {contain_preposition} it",
+        "{placing_verb} {quantity} {article2} {plural_noun} {association_preposition} {article1} {same} {texture} as the {object1} {contain_preposition} it",
     ],
 }
 
