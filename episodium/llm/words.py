@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1), by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     done, factor = 1, base
@@ -64,10 +64,10 @@ def hash_words(
         before[0], before[1:] = True, gap[:-1]
         starts = np.flatnonzero(~gap & before)
         stops = np.flatnonzero(gap & ~before)
-        up = _powers(_BASE, len(data))
+        up = powers(_BASE, len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        down = _powers(_INVERSE, len(data))
+        down = powers(_INVERSE, len(data))
 
         def span(to: np.ndarray) -> np.ndarray:
             return mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64))
