@@ -80,17 +80,8 @@ def x2(spark, folder):
     # files are cut across episodes, so steps of one episode arrive in different batches
     step_log(spark, folder).repartition(4, "t", "idx").write.parquet(source)
     stream = jobs.file_stream(spark, source, jobs.STEP_SCHEMA, files=2)
-    closed = jobs.buffer_episodes(
-        stream, MAX_STEPS, buckets=8 * spark.sparkContext.defaultParallelism
-    )
-    job = (
-        closed.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
+    ended = jobs.buffer_episodes(stream, MAX_STEPS)
+    jobs.start_buffer(ended, target, checkpoint).awaitTermination()
     return spark.read.schema(jobs.CLOSED_SCHEMA).parquet(target)
 
 

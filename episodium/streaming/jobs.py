@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from episodium.operators.evaluation import metric_rows
 
@@ -80,86 +80,152 @@ def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 STEP_SCHEMA = "idx bigint, t bigint, success boolean, reason string, is_last boolean, arrived timestamp"
 CLOSED_SCHEMA = "idx bigint, steps_taken bigint, recorded string, final_success boolean, reason string"
-_HELD = ["idx", "t", "success", "reason", "is_last", "arrived"]
-STATE_SCHEMA = (
-    "idx array<bigint>, t array<bigint>, success array<boolean>, reason array<string>, "
-    "is_last array<boolean>, arrived array<bigint>, closed array<bigint>, closed_at array<bigint>"
-)
+HELD_SCHEMA = "t bigint, success boolean, reason string, is_last boolean"
+#: State that is keyed and has timers needs this store.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def leading_steps(held: Iterable[tuple]) -> list[tuple]:
+    """The steps (t, success, reason, is_last) from 0 on without a gap, each once."""
+    by_time = {}
+    for step in held:
+        by_time.setdefault(step[0], step)
+    steps = []
+    while len(steps) in by_time:
+        steps.append(by_time[len(steps)])
+    return steps
+
+
+def end_of(steps: list[tuple], max_steps: int) -> tuple[int, str] | None:
+    """(number of steps, reason) at which gapless steps end: a stop reason, the end mark or the limit."""
+    for t, _, reason, is_last in steps:
+        if reason is not None or is_last or t == max_steps - 1:
+            return t + 1, reason or ("end" if is_last else "limit")
+    return None
+
+
+def outcome(idx: int, steps: list[tuple], reason: str) -> Row:
+    """The row of an ended episode: a pointless step is not recorded, a failed one is no success."""
+    seen = [success and why != "failed" for _, success, why, _ in steps if why != "pointless"]
+    return Row(
+        idx=idx,
+        steps_taken=len(steps),
+        recorded="".join("1" if won else "0" for won in seen),
+        final_success=bool(seen and seen[-1]),
+        reason=reason,
+    )
 
 
-def close_episodes(rows: pd.DataFrame, max_steps: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Finished episodes, and the steps of those that still wait for earlier steps or their end.
+class EpisodeBuffer(StatefulProcessor):
+    """One state per episode: its steps so far, whether it is closed, and a timer.
 
-    Finished means that every step from the start up to a stop reason, the end mark or the limit
-    has arrived.
-    """
-    rows = rows.drop_duplicates(["idx", "t"]).sort_values(["idx", "t"])
-    gapless = rows["t"] == rows.groupby("idx").cumcount()
-    ends = rows["reason"].notna() | rows["is_last"] | (rows["t"] == max_steps - 1)
-    stops = rows[gapless & ends].drop_duplicates("idx").set_index("idx")
-    stop_t = rows["idx"].map(stops["t"])
-    taken = rows[rows["t"] <= stop_t]
-    seen = taken[taken["reason"] != "pointless"]
-    wins = seen["success"] & (seen["reason"] != "failed")
-    recorded = wins.map({True: "1", False: "0"}).groupby(seen["idx"]).agg("".join)
-    closed = pd.DataFrame({"steps_taken": stops["t"] + 1})
-    closed["recorded"] = recorded.reindex(closed.index).fillna("")
-    closed["final_success"] = closed["recorded"].str.endswith("1")
-    other = stops["is_last"].map({True: "end", False: "limit"})
-    closed["reason"] = stops["reason"].where(stops["reason"].notna(), other)
-    return closed.reset_index(), rows[stop_t.isna()]
-
-
-def buffer_episodes(steps: DataFrame, max_steps: int, buckets: int, keep_minutes: int = 60) -> DataFrame:
-    """Closed episodes from a stream of steps that may arrive in any order, and more than once.
-
-    Steps at or beyond the limit are dropped before the shuffle: an episode cannot use them, so none
-    brings more than ``max_steps`` rows, however long it goes on.  Episodes are spread evenly over
-    ``buckets`` state keys (take some times the number of cores), which handle theirs together.
-    A key holds the steps of its open episodes and the numbers of recently closed ones; both go away
-    ``keep_minutes`` of arrival time (``arrived``) later.
+    The timer is set ``keep_ms`` after the newest step that was new.  When it fires, an open episode
+    comes out with the steps it has without a gap and the reason ``timeout``, and a closed one is
+    forgotten; until then repeated and later steps of a closed episode are dropped.
     """
-    keep = keep_minutes * 60_000
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip([*_HELD, "closed", "closed_at"], state.get, strict=True)) if state.exists else {}
-        now = state.getCurrentWatermarkMs()
-        frames = [pd.DataFrame({c: held.get(c, []) for c in _HELD})]
-        if not state.hasTimedOut:
-            for frame in batches:
-                millis = frame["arrived"].astype("datetime64[ms]").astype("int64")
-                frames.append(frame[_HELD[:-1]].assign(arrived=millis))
-        rows = pd.concat([f for f in frames if len(f)] or frames).astype(
-            {"idx": "int64", "t": "int64", "success": "bool", "is_last": "bool", "arrived": "int64"}
-        )
-        done = pd.Series(held.get("closed_at", []), index=held.get("closed", []), dtype="int64")
-        rows = rows[~rows["idx"].isin(done.index)]
-        newest = int(rows["arrived"].max()) if len(rows) else 0
-        closed, waiting = close_episodes(rows, max_steps)
-        waiting = waiting[waiting["arrived"] + keep >= now]
-        done = pd.concat([done, pd.Series(newest, index=closed["idx"], dtype="int64")])
-        done = done[done + keep >= now]
-        if len(waiting) or len(done):
-            reasons = [r if isinstance(r, str) else None for r in waiting["reason"]]
-            columns = [reasons if c == "reason" else waiting[c].tolist() for c in _HELD]
-            state.update((*columns, done.index.tolist(), done.tolist()))
-            state.setTimeoutTimestamp(max(newest, now) + keep)
-        elif state.exists:
-            state.remove()
-        if len(closed):
-            yield closed
 
+    def __init__(self, max_steps: int, keep_ms: int) -> None:
+        self.max_steps, self.keep_ms = max_steps, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getListState("steps", HELD_SCHEMA)
+        self.timer = handle.getValueState("timer", "expires bigint, closed boolean")
+
+    def _set_timer(self, expires: int, closed: bool) -> None:
+        known = self.timer.get()
+        if known is not None and known[0] != expires:
+            self.handle.deleteTimer(known[0])
+        if known is None or known[0] != expires:
+            self.handle.registerTimer(expires)
+        self.timer.update((expires, closed))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.timer.get()
+        if known is not None and known[1]:
+            return
+        held = list(self.steps.get()) if known is not None else []
+        times = {step[0] for step in held}
+        fresh, newest = [], 0
+        for row in rows:
+            if row["t"] not in times:
+                times.add(row["t"])
+                fresh.append((row["t"], row["success"], row["reason"], row["is_last"]))
+                newest = max(newest, int(row["arrived"].timestamp() * 1000))
+        if not fresh:
+            return
+        steps = leading_steps(held + fresh)
+        end = end_of(steps, self.max_steps)
+        expires = max(newest, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
+        if end is None:
+            self.steps.appendList(fresh)
+            self._set_timer(max(expires, known[0] if known is not None else 0), False)
+            return
+        if held:
+            self.steps.clear()
+        self._set_timer(expires, True)
+        yield outcome(key[0], steps[: end[0]], end[1])
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[Row]:
+        known = self.timer.get()
+        if known is None or known[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        if not known[1]:
+            yield outcome(key[0], leading_steps(self.steps.get()), "timeout")
+            self.steps.clear()
+        self.timer.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def buffer_episodes(steps: DataFrame, max_steps: int, keep_minutes: int = 60) -> DataFrame:
+    """Ended episodes from a stream of steps that may arrive in any order, and more than once.
+
+    An episode ends when every step from the start up to a stop reason, the end mark or the limit
+    has arrived; one that waits ``keep_minutes`` of arrival time (``arrived``) for more comes out
+    with the reason ``timeout``, so that none is lost.  Steps at or beyond the limit are dropped
+    before the shuffle, since an episode cannot use them; none holds more than ``max_steps``.  Each
+    episode is a key of its own, whose state is read and written alone; see :func:`start_buffer`.
+    """
     return (
-        steps.withWatermark("arrived", f"{keep_minutes} minutes")
-        .where(F.col("t") < max_steps)
-        .withColumn("bucket", F.pmod(F.xxhash64("idx"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandasWithState(
-            update, CLOSED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        steps.where(F.col("t") < max_steps)
+        .withWatermark("arrived", "0 seconds")
+        .groupBy("idx")
+        .transformWithState(EpisodeBuffer(max_steps, keep_minutes * 60_000), CLOSED_SCHEMA, "Append", "EventTime")
     )
 
 
+def start_buffer(ended: DataFrame, path: str, checkpoint: str, **trigger):
+    """Append the rows of :func:`buffer_episodes` to a Parquet table.
+
+    The state store is set for this stream only.  A restart from ``checkpoint`` goes on with the open
+    episodes, also on other numbers of cores or executors.
+    """
+    conf = ended.sparkSession.conf
+    before = {key: conf.get(key, None) for key in _STORE}
+    for key, value in _STORE.items():
+        conf.set(key, value)
+    try:
+        return (
+            ended.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
+
+
 def log_stream(rows: DataFrame, path: str, checkpoint: str):
     """Append a stream to a Parquet log, one folder per batch; a retried batch replaces its folder.
 

@@ -1,45 +1,77 @@
-"""Closing rules of the episode buffer, and repeated deliveries."""
+"""Closing rules of the episode buffer, its timers and restarts, and repeated deliveries."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from episodium.streaming import jobs
 
 
 def close(steps, max_steps=5):
-    """Closed episode 1 and the time indices still waiting, from {t: (success, reason, is_last)}."""
-    rows = pd.DataFrame(
-        [(1, t, s, r, e, 0) for t, (s, r, e) in steps.items()],
-        columns=["idx", "t", "success", "reason", "is_last", "arrived"],
-    )
-    closed, waiting = jobs.close_episodes(rows, max_steps)
-    return closed.drop(columns="idx").to_dict("records"), waiting["t"].tolist()
+    """Outcome of an episode as a dict, None while it waits, from {t: (success, reason, is_last)}."""
+    leading = jobs.leading_steps([(t, *values) for t, values in steps.items()])
+    end = jobs.end_of(leading, max_steps)
+    if end is None:
+        return None
+    found = jobs.outcome(1, leading[: end[0]], end[1]).asDict()
+    return {k: v for k, v in found.items() if k != "idx"}
 
 
 def test_close_waits_for_earlier_steps():
     late = {1: (True, "success", False)}
-    assert close(late) == ([], [1])
+    assert close(late) is None
     done = {"steps_taken": 2, "recorded": "01", "final_success": True, "reason": "success"}
-    assert close({**late, 0: (False, None, False), 3: (True, None, True)}) == ([done], [])
+    assert close({**late, 0: (False, None, False), 3: (True, None, True)}) == done
 
 
 def test_pointless_step_is_not_recorded():
     done = {"steps_taken": 1, "recorded": "", "final_success": False, "reason": "pointless"}
-    assert close({0: (False, "pointless", False)}) == ([done], [])
+    assert close({0: (False, "pointless", False)}) == done
 
 
 def test_failed_step_never_succeeds():
-    assert close({0: (True, "failed", False)})[0][0]["recorded"] == "0"
+    assert close({0: (True, "failed", False)})["recorded"] == "0"
 
 
 def test_limit_and_end():
     steps = {t: (False, None, t == 2) for t in range(3)}
-    assert close(steps, 3)[0][0]["reason"] == "end"
-    assert close({t: steps[t] for t in (0, 1)}, 2)[0][0]["reason"] == "limit"
+    assert close(steps, 3)["reason"] == "end"
+    assert close({t: steps[t] for t in (0, 1)}, 2)["reason"] == "limit"
 
 
 def test_no_steps():
-    assert close({}) == ([], [])
+    assert close({}) is None
+
+
+def test_buffer_times_out_restarts_and_drops_late_steps(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    deliveries = {
+        "00:00": [(1, 0, False, None, False), (1, 1, True, "success", False), (2, 0, True, None, False),
+                  (2, 2, False, None, False), (3, 0, False, None, False), (6, 0, True, None, False), (6, 1, True, None, False)],
+        # a late step and a repeated one for closed and waiting episodes, and an episode of one step
+        "00:10": [(1, 2, False, None, False), (1, 0, False, None, False), (2, 2, False, None, False),
+                  (4, 0, False, None, True), (6, 2, False, None, False), (6, 3, False, None, False), (6, 4, True, None, False)],
+        # long after, everything that waits has timed out
+        "05:00": [(5, 0, True, "success", False), (6, 5, True, None, False)],
+    }
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    seen = []
+    try:
+        for cores, (clock, rows) in zip((8, 3, 5), deliveries.items()):
+            spark.conf.set("spark.sql.shuffle.partitions", cores)  # a restart elsewhere
+            frame = spark.createDataFrame(rows, "idx bigint, t bigint, success boolean, reason string, is_last boolean")
+            at = F.lit(f"2024-01-01 {clock}:00").cast("timestamp")
+            frame.withColumn("arrived", at).coalesce(1).write.mode("append").parquet(source)
+            stream = jobs.file_stream(spark, source, jobs.STEP_SCHEMA)
+            jobs.start_buffer(jobs.buffer_episodes(stream, 4), target, checkpoint).awaitTermination(120)
+            seen.append({tuple(r) for r in spark.read.schema(jobs.CLOSED_SCHEMA).parquet(target).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    assert seen[0] == {(1, 2, "01", True, "success")}
+    # the endless episode ends at the limit
+    assert seen[1] - seen[0] == {(4, 1, "0", False, "end"), (6, 4, "1100", False, "limit")}
+    late = {(5, 1, "1", True, "success"), (2, 1, "1", True, "timeout"), (3, 1, "0", False, "timeout")}
+    assert seen[2] - seen[1] == late
 
 
 def test_repeated_deliveries_count_once(spark, tmp_path):
