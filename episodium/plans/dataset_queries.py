@@ -11,6 +11,7 @@ from episodium.operators import datasets as ds
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.sources import tables as io
+from episodium.sources.shards import publish_shards, read_shards
 from episodium.workspace import new_folder, settle
 
 ALIASES = {}
@@ -29,7 +30,7 @@ def digest_sql(*columns: str) -> str:
 
 def fingerprint_sql(*columns: str) -> str:
     """The fingerprint of a shard manifest as SQL text."""
-    return f"CAST(sum({digest_sql(*columns)} % {io.FINGERPRINT_PRIME}) % {io.FINGERPRINT_PRIME} AS BIGINT)"
+    return f"CAST(sum({digest_sql(*columns)}) % {io.FINGERPRINT_PRIME} AS BIGINT)"
 
 
 @query(
@@ -174,6 +175,22 @@ def s7_replace(spark, folder):
     )
 
 
+@query(
+    "s7_replaced_partitions",
+    """WITH i AS (SELECT o_orderkey AS idx, o_orderkey % 8 AS bucket, o_custkey AS seed, o_orderkey % 8 IN (1, 5) AND o_orderkey % 3 = 0 AS changed FROM orders)
+    SELECT bucket, count(*) AS n, CAST(sum(CASE WHEN changed THEN seed + 7 ELSE seed END) AS BIGINT) AS seeds FROM i GROUP BY bucket""",
+)
+def s7_partitions(spark, folder):
+    rows = b.instances(spark, folder).select("idx", (F.col("idx") % 8).alias("bucket"), "seed")
+    path = new_folder(spark, "replaced")
+    io.replace_rows(rows, path, ["idx"], ["bucket"])
+    changed = rows.where("bucket IN (1, 5) AND idx % 3 = 0").withColumn("seed", F.col("seed") + 7)
+    io.replace_rows(changed, path, ["idx"], ["bucket"])  # the other buckets are not written again
+    return spark.read.parquet(path).groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds")
+    )
+
+
 VALID_TOTAL = 600
 SPLIT = f"""{b.INSTANCES}, sizes AS (SELECT task, count(*) AS n, sum(count(*)) OVER () AS total FROM instances GROUP BY task),
 quotas AS (SELECT task, n, CAST(floor({VALID_TOTAL} * (CAST(n AS DOUBLE) / CAST(total AS DOUBLE))) AS BIGINT) AS quota FROM sizes),
@@ -263,6 +280,28 @@ def s10(spark, folder):
     return io.shard_decisions(old, new, by)
 
 
+CHANGED_SEED = "CASE WHEN idx < 100 THEN seed + 1 ELSE seed END"
+
+
+@query(
+    "s10_published_shards",
+    f"""WITH {SHARDED}, f AS (SELECT split, shard, any_value(shards) AS shards, count(*) AS n_rows,
+      {fingerprint_sql("idx", "task", "seed")} AS old, {fingerprint_sql("idx", "task", f"({CHANGED_SEED})")} AS new,
+      CAST(sum({CHANGED_SEED}) AS BIGINT) AS seeds FROM sharded GROUP BY split, shard)
+    SELECT split, shard, CASE WHEN old = new THEN 'skip' ELSE 'rewrite' END AS decision, n_rows, seeds,
+      printf('%s-%05d-of-%05d-%d.parquet', split, shard, shards, new) AS file FROM f""",
+)
+def s10_published(spark, folder):
+    rows = split_instances(spark, folder).select("idx", "task", "seed", "split")
+    path, digest = new_folder(spark, "published"), ["idx", "task", "seed"]
+    publish_shards(rows, path, "idx", dims.SHARDS_PER_SPLIT, digest)
+    changed = rows.withColumn("seed", F.expr(CHANGED_SEED))
+    done = publish_shards(changed, path, "idx", dims.SHARDS_PER_SPLIT, digest)
+    stored = read_shards(spark, path).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+    sums = stored.groupBy("split", "file").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seed").alias("seeds"))
+    return done.join(sums, ["split", "file"], "left").select("split", "shard", "decision", "n_rows", "seeds", "file")
+
+
 @query(
     "s11_load_all_splits",
     f"""WITH {SPLIT} SELECT split, task, count(*) AS n, count(seed) AS n_seeds FROM (

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from episodium.functions.keyed import hash_to_int
 from episodium.functions.ranking import contiguous_share, sliced_index
+from episodium.workspace import settle
 
 EPISODE_SCHEMA = T.StructType(
     [
@@ -21,7 +22,7 @@ EPISODE_SCHEMA = T.StructType(
 )
 
 
-FINGERPRINT_PRIME = (1 << 31) - 1
+FINGERPRINT_PRIME = (1 << 61) - 1
 
 
 def episode_path(task_name: Column, idx: Column) -> Column:
@@ -57,11 +58,33 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def replace_rows(rows: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
+    """Add rows to a table partitioned by small columns; they win over stored rows with the same key.
+
+    Only partitions that ``rows`` has rows of are read and written again; ``partition_by`` must
+    follow from the keys, so that a key does not move.
+    """
+    stored = read_or_none(rows.sparkSession, path)
+    rows = rows.dropDuplicates(keys)
+    if stored is not None:
+        touched = rows.select(*partition_by).distinct()
+        others = stored.join(touched, partition_by, "left_semi").join(rows.select(*keys), keys, "left_anti")
+        rows = settle(rows.unionByName(others, allowMissingColumns=True), "replaced")
+    (
+        rows.hint("rebalance", *partition_by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
 def ingest(rows: DataFrame, path: str, keys: list[str], replaced_path: str | None = None) -> str:
     """Add rows that are not there yet and return where the table is.
 
     Running it twice changes nothing.  With ``replaced_path`` the new rows win over stored rows
-    with the same key and the merged table is written there.
+    with the same key and the merged table is written there; see :func:`replace_rows` for tables
+    with partitions.
     """
     stored = read_or_none(rows.sparkSession, path)
     if replaced_path is not None:
@@ -104,9 +127,9 @@ def assign_shards(rows: DataFrame, split: str, key: str, shards: dict[str, int],
 def shard_manifest(rows: DataFrame, digest: Column, by: list[str]) -> DataFrame:
     """Row count and content fingerprint per shard; partial aggregation does the work.
 
-    The fingerprint adds up the digests modulo 2**31 - 1, so that repeated rows do not cancel.
+    The fingerprint adds up the 60-bit digests, modulo 2**61 - 1, so that repeated rows do not cancel.
     """
-    digests = F.sum(digest % F.lit(FINGERPRINT_PRIME)) % F.lit(FINGERPRINT_PRIME)
+    digests = (F.sum(digest.cast("decimal(20,0)")) % F.lit(FINGERPRINT_PRIME)).cast("long")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), digests.alias("fingerprint"))
 
 

@@ -42,3 +42,9 @@ def settle(rows: DataFrame, purpose: str = "settled") -> DataFrame:
     path = new_folder(rows.sparkSession, purpose)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, in whatever store Spark can reach; nothing happens if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
