@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+from episodium.workspace import settle
 
 
 def _names(prefix: str, count: int) -> list[str]:
@@ -54,34 +54,14 @@ def sliced_index(
     )
 
 
-def running_index(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    slices: list[Column],
-    name: str = "t",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """0-based position in a group that is normally small, such as the steps of an episode.
+def running_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "t") -> DataFrame:
+    """0-based position in a group that is small by nature, such as the steps of an episode.
 
-    Small groups take a plain window (one shuffle).  Groups above ``hot_rows`` rows (a million unless
-    told otherwise) are ranked slice by slice.  The broadcast list of such groups has at most ``rows / hot_rows`` keys, and
-    the hot branch costs nothing when the list is empty.
+    One window, one shuffle; a large group spills while it is sorted.  Groups that grow with the data
+    (a task, a split, a table) take :func:`sliced_index` or :func:`dense_index`.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows))
-        .select(*keys)
-    )
-    plain = df.join(F.broadcast(hot), keys, "left_anti").withColumn(
-        name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint")
-    )
-    large = sliced_index(
-        df.join(F.broadcast(hot), keys, "left_semi"), keys, order, slices, name
-    )
-    columns = [*df.columns, name]
-    return plain.select(*columns).unionByName(large.select(*columns))
+    position = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    return df.withColumn(name, position.cast("bigint"))
 
 
 def hash_index(
@@ -102,34 +82,37 @@ def hash_index(
     )
 
 
-def dense_index(df: DataFrame, key: str, name: str = "i", width: int = 1 << 14) -> DataFrame:
-    """0-based position over the whole table by a unique integer ``key``, without a global sort.
+def dense_index(df: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """0-based position over the whole table by a ``key`` of any kind and distribution.
 
-    A cell of ``width`` neighbouring keys holds at most ``width`` rows because keys are unique.
-    Cells are summed in blocks of 4096, blocks once more, so no step sees more than a sliver.
+    Ranges between sampled quantiles of the key give even partitions, each sorted on its own.  They
+    are written once, so that the rows that are counted and those that are numbered are the same; a
+    partition's start is the sum over those before it, one row per partition.  Rows with equal keys
+    get different positions, in no stated order.
     """
-    cells = df.select("*", F.expr(f"`{key}` div {width}").alias("__cell"))
-    counts = (
-        cells.groupBy("__cell")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__block", F.expr("__cell div 4096"))
-    )
-    blocks = counts.groupBy("__block").agg(F.sum("__n").alias("__total"))
-    earlier = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "__block", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__base")
+    ranged = (
+        df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__row", F.monotonically_increasing_id())
     )
-    in_block = W.partitionBy("__block").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    ranged = settle(ranged, "ranged")
+    part = F.shiftrightunsigned("__row", 33)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    # groups of partitions, then the partitions of a group: no window sees more than some hundreds of rows
+    group = F.shiftright("__part", 9)
+    groups = counts.groupBy(group.alias("__group")).agg(F.sum("__n").alias("__total"))
+    earlier = W.orderBy("__group").rowsBetween(W.unboundedPreceding, -1)
+    bases = groups.select("__group", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__base"))
+    inside = W.partitionBy("__group").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        counts.withColumn("__start", F.coalesce(F.sum("__n").over(in_block), F.lit(0)))
-        .join(blocks, "__block")
-        .select("__cell", (F.col("__base") + F.col("__start")).alias("__start"))
+        counts.withColumn("__group", group)
+        .withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+        .join(bases, "__group")
+        .select("__part", (F.col("__base") + F.col("__before")).alias("__start"))
     )
-    inside = F.row_number().over(W.partitionBy("__cell").orderBy(key))
+    position = F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        cells.withColumn("__inside", inside)
-        .join(starts, "__cell")
-        .select(*df.columns, (F.col("__start") + F.col("__inside") - 1).cast("bigint").alias(name))
+        ranged.withColumn("__part", part)
+        .join(starts, "__part")
+        .select(*df.columns, position.cast("bigint").alias(name))
     )
 
 

@@ -106,12 +106,7 @@ def steps(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     items = table(spark, folder, "lineitem").select(
         "l_orderkey", *STEP_ORDER, "l_returnflag", *extra
     )
-    indexed = running_index(
-        items,
-        ["l_orderkey"],
-        [F.col(c) for c in STEP_ORDER],
-        [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024)],
-    )
+    indexed = running_index(items, ["l_orderkey"], [F.col(c) for c in STEP_ORDER])
     return indexed.select(
         F.col("l_orderkey").alias("idx"),
         "t",

@@ -32,12 +32,9 @@ def test_sliced_index_equals_window(spark):
     assert found(got) == expected(frame)
 
 
-def test_running_index_with_and_without_hot_groups(spark):
+def test_running_index(spark):
     frame = rows(spark)
-    order = [F.col("v"), F.col("id")]
-    for hot_rows in (1, 50, 10_000):
-        got = ranking.running_index(frame, ["g"], order, [F.floor(F.col("v") / 10)], hot_rows=hot_rows)
-        assert found(got) == expected(frame)
+    assert found(ranking.running_index(frame, ["g"], [F.col("v"), F.col("id")])) == expected(frame)
 
 
 def test_sliced_index_keeps_null_groups(spark):
@@ -48,8 +45,15 @@ def test_sliced_index_keeps_null_groups(spark):
 
 def test_dense_index_over_gaps(spark):
     frame = spark.range(300).select((F.col("id") * F.col("id")).alias("id"))
-    got = found(ranking.dense_index(frame, "id", width=64), "i")
-    assert got == {i * i: i for i in range(300)}
+    assert found(ranking.dense_index(frame, "id"), "i") == {i * i: i for i in range(300)}
+
+
+def test_dense_index_of_hashed_and_text_keys(spark):
+    frame = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    for key in ("id", "s"):
+        got = sorted((r[key], r["i"]) for r in ranking.dense_index(frame.repartition(5), key).collect())
+        assert [i for _, i in got] == list(range(20_000))
+    assert ranking.dense_index(frame.limit(0), "id").count() == 0
 
 
 def test_hash_index_is_a_permutation(spark):
