@@ -2,38 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodium import dims
 from episodium.functions import pose as P
 from episodium.functions.ranking import running_index
-from episodium.operators.scene import pose_matches
-from episodium.workspace import settle
+from episodium.operators.scene import allowed_matches, pose_matches
+
+
+def matched_pairs(objects: DataFrame, targets: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(idx, t, k) of objects and targets whose poses match; of the ``allowed`` pairs (idx, t, k) only."""
+    if allowed is not None:
+        return allowed_matches(objects, targets, allowed)
+    return pose_matches(objects, targets, ["idx"]).select("idx", "t", F.col("target_k").alias("k"))
+
+
+def assign_in_order(pairs: DataFrame) -> DataFrame:
+    """At most one target for each object and one object for each target, from pairs (idx, t, k).
+
+    Objects choose in order of ``t``, each the first target, in order of ``k``, that is still free.
+    An episode's pairs are walked once, in that order; what is held is its taken targets.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        episode, chooser, taken = None, None, set()
+        for batch in batches:
+            kept = []
+            for row, (idx, t, k) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if idx != episode:
+                    episode, chooser, taken = idx, None, set()
+                if t != chooser and k not in taken:
+                    chooser = t
+                    taken.add(k)
+                    kept.append(row)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = pairs.select("idx", "t", "k").distinct().repartition("idx").sortWithinPartitions("idx", "t", "k")
+    return ordered.mapInArrow(walk, ordered.schema)
 
 
-def nearest_open_target(objects: DataFrame, targets: DataFrame) -> DataFrame:
+def nearest_open_target(objects: DataFrame, targets: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Nearest free target of each object that still has to move, farthest objects first.
 
     A target is taken by the first object (by ``t``) that matches it.  Objects that took a target
     stay, and objects without a free target are left out.  Objects carry idx, t and a pose; targets
-    idx, k and a pose.
+    idx, k and a pose.  With ``allowed`` pairs (idx, t, k) an object matches, and may move to, these
+    targets only.
     """
-    pairs = pose_matches(objects, targets, ["idx"]).select("idx", "t", F.col("target_k").alias("k"))
+    pairs = matched_pairs(objects, targets, allowed)
     takers = pairs.groupBy("idx", "k").agg(F.min("t").alias("t"))
     waiting = objects.join(takers.select("idx", "t").distinct(), ["idx", "t"], "left_anti")
     free = targets.join(takers.select("idx", "k"), ["idx", "k"], "left_anti").select(
         "idx", "k", F.col("x").alias("tx"), F.col("y").alias("ty")
     )
+    if allowed is None:
+        possible = waiting.join(free, "idx")
+    else:
+        possible = allowed.select("idx", "t", "k").join(waiting, ["idx", "t"]).join(free, ["idx", "k"])
     away = P.distance((F.col("x"), F.col("tx")), (F.col("y"), F.col("ty")))
     nearest = (
-        waiting.join(free, "idx")
-        .groupBy("idx", "t")
+        possible.groupBy("idx", "t")
         .agg(F.min(F.struct(away.alias("d"), "k")).alias("best"))
         .select("idx", "t", F.col("best.k").alias("k"), F.col("best.d").alias("distance"))
     )
-    far_first = [-F.col("distance"), F.col("t")]
-    return running_index(settle(nearest, "nearest"), ["idx"], far_first, [F.floor(-F.col("distance") * 1000)], "rank")
+    return running_index(nearest, ["idx"], [-F.col("distance"), F.col("t")], "rank")
 
 
 def distractor_conflicts(distractors: DataFrame, targets: DataFrame, objects: DataFrame) -> DataFrame:
@@ -43,13 +79,25 @@ def distractor_conflicts(distractors: DataFrame, targets: DataFrame, objects: Da
     return on_target.union(on_distractor).distinct()
 
 
-def pose_progress(objects: DataFrame, targets: DataFrame, max_progress: float = 1.0) -> DataFrame:
-    """Share of an episode's objects that match some target, and whether that completes the goal."""
-    done = (
-        pose_matches(objects, targets, ["idx"], "left_semi")
-        .groupBy("idx")
-        .agg(F.count(F.lit(1)).alias("done"))
-    )
+def pose_progress(
+    objects: DataFrame,
+    targets: DataFrame,
+    max_progress: float = 1.0,
+    allowed: DataFrame | None = None,
+    exclusive: bool = False,
+) -> DataFrame:
+    """Share of an episode's objects that match a target, and whether that completes the goal.
+
+    With ``allowed`` pairs (idx, t, k) an object counts for these targets only.  Objects on the same
+    target count each, unless the goal is ``exclusive``: then a target counts once, for the first
+    object on it, see :func:`assign_in_order`.
+    """
+    if allowed is None and not exclusive:
+        on_target = pose_matches(objects, targets, ["idx"], "left_semi")
+    else:
+        pairs = matched_pairs(objects, targets, allowed)
+        on_target = assign_in_order(pairs) if exclusive else pairs.select("idx", "t").distinct()
+    done = on_target.groupBy("idx").agg(F.count(F.lit(1)).alias("done"))
     total = objects.groupBy("idx").agg(F.count(F.lit(1)).alias("objects"))
     progress = F.lit(max_progress) * F.coalesce("done", F.lit(0)) / F.col("objects")
     return total.join(done, "idx", "left").select(
@@ -153,24 +201,85 @@ def order_violations(goals: DataFrame) -> DataFrame:
     )
 
 
-def pop_goals(steps: DataFrame, goals: list[Column], skipped: list[bool] | None = None) -> DataFrame:
-    """When each goal is completed if goals are checked strictly in order, one per step.
+#: Steps of an episode are folded in slices of so many, which bounds the arrays.
+SLICE_STEPS = 4096
+
 
-    ``goals[k]`` tells from a step whether goal k holds.  Skipped goals are the oracle's only.
-    Each round is one aggregate over steps after the previous completion, so an episode never has
-    to be walked in one task.
+def _popped(marks: Column, goals: int, start: Column) -> Column:
+    """The state after steps (t, mask) in order: goals popped so far, their times, the first violation.
+
+    A step pops the current goal if its bit is set.  If it is not, the bit of a later goal but the
+    last is a violation; goals popped before do not count any more.
     """
-    rounds = [g for k, g in enumerate(goals) if not (skipped and skipped[k])]
-    reached = steps.select("idx").distinct().withColumn("t0", F.lit(-1).cast("bigint"))
-    for k, holds in enumerate(rounds, start=1):
-        later = (
-            steps.where(holds)
-            .select("idx", "t")
-            .join(reached.select("idx", F.col(f"t{k - 1}").alias("before")), "idx")
-            .where(F.col("t") > F.col("before"))
-            .groupBy("idx")
-            .agg(F.min("t").alias(f"t{k}"))
+    between = lambda state: F.lit((1 << max(goals - 1, 0)) - 1) - (F.call_function("shiftleft", F.lit(2), state["done"]) - 1)
+
+    def step(state: Column, mark: Column) -> Column:
+        open_ = state["done"] < goals
+        hit = open_ & (F.getbit(mark["mask"], state["done"]) == 1)
+        early = open_ & ~hit & (between(state) > 0) & (mark["mask"].bitwiseAND(between(state)) != 0)
+        return F.struct(
+            (state["done"] + hit.cast("int")).alias("done"),
+            F.when(hit, F.concat(state["times"], F.array(mark["t"]))).otherwise(state["times"]).alias("times"),
+            F.coalesce(state["early"], F.when(early, mark["t"])).alias("early"),
         )
-        reached = reached.join(later, "idx", "left")
-    done = sum((F.col(f"t{k}").isNotNull().cast("int") for k in range(1, len(rounds) + 1)), F.lit(0))
-    return reached.drop("t0").withColumn("goals_done", done)
+
+    kind = "struct<done:int,times:array<bigint>,early:bigint>"
+    first = F.struct(
+        start.cast("int").alias("done"),
+        F.array().cast("array<bigint>").alias("times"),
+        F.lit(None).cast("bigint").alias("early"),
+    ).cast(kind)
+    return F.aggregate(marks, first, lambda state, mark: step(state, mark).cast(kind))
+
+
+def follow_goals(steps: DataFrame, goals: list[Column], skipped: list[bool] | None = None) -> DataFrame:
+    """(idx, times, goals_done, violated_at): an episode's goals, checked strictly in order, one per step.
+
+    ``goals[k]`` tells from a step whether goal k holds; skipped goals are the oracle's only.
+    ``times`` are the steps at which goals were popped; a popped goal that no longer holds stays
+    popped.  ``violated_at`` is the first step at which a later goal (the last one, which restores
+    the start, does not count) holds while the current one does not.
+
+    One pass: slices of steps are folded from every state they may start in, next to the data, and
+    an episode joins its slices, so no array holds more than ``SLICE_STEPS`` steps or one entry per
+    slice.
+    """
+    rounds = [g for k, g in enumerate(goals) if not (skipped and skipped[k])]
+    m = len(rounds)
+    mask = sum((F.when(holds, F.lit(1 << k)).otherwise(0) for k, holds in enumerate(rounds)), F.lit(0))
+    marked = F.when(F.col("mask") != 0, F.struct(F.col("t").cast("bigint").alias("t"), F.col("mask").cast("int").alias("mask")))
+    slices = (
+        steps.select("idx", "t", mask.alias("mask"))
+        .groupBy("idx", F.floor(F.col("t") / SLICE_STEPS).alias("slice"))
+        .agg(F.sort_array(F.collect_list(marked)).alias("marks"))
+    )
+    starts = F.sequence(F.lit(0), F.lit(m))
+    folded = slices.select("idx", "slice", F.transform(starts, lambda s: _popped(F.col("marks"), m, s)).alias("ends"))
+    episodes = folded.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("slice", "ends"))).alias("slices"))
+    kind = "struct<done:int,times:array<bigint>,early:bigint>"
+    first = F.struct(
+        F.lit(0).alias("done"), F.array().cast("array<bigint>").alias("times"), F.lit(None).cast("bigint").alias("early")
+    ).cast(kind)
+
+    def join(state: Column, part: Column) -> Column:
+        end = F.get(part["ends"], state["done"])
+        return F.struct(
+            end["done"].alias("done"),
+            F.concat(state["times"], end["times"]).alias("times"),
+            F.coalesce(state["early"], end["early"]).alias("early"),
+        ).cast(kind)
+
+    whole = episodes.select("idx", F.aggregate("slices", first, join).alias("state"))
+    return whole.select(
+        "idx",
+        F.col("state.times").alias("times"),
+        F.col("state.done").alias("goals_done"),
+        F.col("state.early").alias("violated_at"),
+    )
+
+
+def pop_goals(steps: DataFrame, goals: list[Column], skipped: list[bool] | None = None) -> DataFrame:
+    """(idx, t1, t2, ..., goals_done): when each goal is completed, see :func:`follow_goals`."""
+    rounds = len(goals) - sum(skipped or [])
+    times = [F.get("times", F.lit(k)).alias(f"t{k + 1}") for k in range(rounds)]
+    return follow_goals(steps, goals, skipped).select("idx", *times, "goals_done")

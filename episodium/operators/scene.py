@@ -107,6 +107,28 @@ def pose_matches(
     return joined.drop("__cx", "__cy", *["r_" + k for k in equal])
 
 
+def allowed_matches(objects: DataFrame, targets: DataFrame, allowed: DataFrame, position_only: bool = False) -> DataFrame:
+    """(idx, t, k) of the allowed pairs of an object and a target whose poses match.
+
+    Objects carry idx, t, a pose and symmetry; targets idx, k and a pose; ``allowed`` the pairs
+    (idx, t, k) that may match.  Both joins are on an object or a target, so an episode with many of
+    both builds no pairs beyond the allowed ones.
+    """
+    place = ["x", "y", "angle"]
+    pairs = (
+        allowed.select("idx", "t", "k")
+        .distinct()
+        .join(objects.select("idx", "t", *place, "symmetry"), ["idx", "t"])
+        .join(_renamed(targets.select("idx", "k", *place), place, "target_"), ["idx", "k"])
+    )
+    matching = P.poses_match(
+        F.col("x"), F.col("y"), F.col("angle"),
+        F.col("target_x"), F.col("target_y"), F.col("target_angle"),
+        F.col("symmetry"), position_only,
+    )
+    return pairs.where(matching).select("idx", "t", "k")
+
+
 def any_overlap(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Groups in which some object of one set overlaps one of the other set.
 

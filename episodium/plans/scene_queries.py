@@ -476,6 +476,75 @@ def a16(spark, folder):
     return go.pose_progress(objects(spark, folder), targets(spark, folder))
 
 
+# --- goals that allow certain pairs ----------------------------------------------------------------
+
+#: On a coarse grid several objects stand on one target.  A pair is forbidden in one case of three.
+GRID = f"""{b.STEPS}, objects AS (SELECT idx, t, 0.3e0 + (qty % 5) / 10.0e0 AS x, (line % 2) / 10.0e0 AS y FROM steps),
+targets AS (SELECT idx, k, 0.3e0 + ((seed + k) % 5) / 10.0e0 AS x, (k % 2) / 10.0e0 AS y
+  FROM (SELECT o_orderkey AS idx, o_custkey AS seed, unnest(range(0, {TARGETS_PER_EPISODE})) AS k FROM orders)),
+allowed AS (SELECT o.idx, o.t, g.k, o.x, o.y, g.x AS gx, g.y AS gy FROM objects o JOIN targets g ON o.idx = g.idx AND (o.t + g.k + o.idx) % 3 <> 0),
+pairs AS (SELECT idx, t, k FROM allowed WHERE sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) < 0.01)"""
+
+
+def grid(spark, folder):
+    """Objects, targets and allowed pairs on the grid."""
+    still = [F.lit(0.0).alias("angle"), F.lit(0.0).alias("symmetry")]
+    stored = b.steps(spark, folder).select(
+        "idx", "t", (F.lit(0.3) + F.col("qty") % 5 / 10.0).alias("x"), (F.col("line") % 2 / 10.0).alias("y"), *still
+    )
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(TARGETS_PER_EPISODE - 1)))
+    places = b.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("seed"), numbers.alias("k")
+    )
+    places = places.select(
+        "idx", "k", (F.lit(0.3) + (F.col("seed") + F.col("k")) % 5 / 10.0).alias("x"), (F.col("k") % 2 / 10.0).alias("y"), still[0]
+    )
+    stored = settle(stored, "objects")
+    allowed = stored.select("idx", "t", numbers.alias("k")).where("(t + k + idx) % 3 <> 0")
+    return stored, places, allowed
+
+
+@query("j7_allowed_matches", f"WITH {GRID} SELECT idx, t, CAST(k AS INTEGER) AS k FROM pairs")
+def j7_allowed(spark, folder):
+    return sc.allowed_matches(*grid(spark, folder))
+
+
+@query(
+    "j9_allowed_targets",
+    f"""WITH {GRID}, takers AS (SELECT idx, k, min(t) AS t FROM pairs GROUP BY idx, k),
+    away AS (SELECT idx, t, k, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) AS d FROM allowed a
+      WHERE NOT EXISTS (SELECT 1 FROM takers x WHERE x.idx = a.idx AND (x.t = a.t OR x.k = a.k))),
+    best AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY idx, t ORDER BY d, k) = 1)
+    SELECT idx, t, CAST(k AS INTEGER) AS k, d AS distance, row_number() OVER (PARTITION BY idx ORDER BY d DESC, t) - 1 AS rank FROM best""",
+)
+def j9_allowed(spark, folder):
+    return go.nearest_open_target(*grid(spark, folder))
+
+
+PROGRESS = """SELECT idx, coalesce(any_value(d), 0) / count(*) AS progress, abs(1 - coalesce(any_value(d), 0) / count(*)) < 0.001 AS complete
+  FROM objects LEFT JOIN done USING (idx) GROUP BY idx"""
+
+
+@query("a16_allowed_progress", f"WITH {GRID}, done AS (SELECT idx, count(DISTINCT t) AS d FROM pairs GROUP BY idx) {PROGRESS}")
+def a16_allowed(spark, folder):
+    stored, places, allowed = grid(spark, folder)
+    return go.pose_progress(stored, places, allowed=allowed)
+
+
+@query(
+    "a16_exclusive_progress",
+    f"""WITH RECURSIVE {GRID}, numbered AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY t, k) AS n FROM pairs),
+    walk AS (SELECT idx, 0::BIGINT AS n, []::BIGINT[] AS ts, []::BIGINT[] AS ks FROM (SELECT DISTINCT idx FROM pairs) UNION ALL
+      SELECT w.idx, p.n, CASE WHEN list_contains(ts, t) OR list_contains(ks, k) THEN ts ELSE list_append(ts, t) END,
+        CASE WHEN list_contains(ts, t) OR list_contains(ks, k) THEN ks ELSE list_append(ks, k) END
+      FROM walk w JOIN numbered p ON p.idx = w.idx AND p.n = w.n + 1),
+    done AS (SELECT idx, len(arg_max(ts, n)) AS d FROM walk GROUP BY idx) {PROGRESS}""",
+)
+def a16_exclusive(spark, folder):
+    stored, places, allowed = grid(spark, folder)
+    return go.pose_progress(stored, places, allowed=allowed, exclusive=True)
+
+
 GOALS = f"""{CONFLICTS}, goals AS (SELECT o.idx, o.t AS k, o.flag = 'N' AS oracle_only, o.p1x * 1.02e0 AS x, o.p1y AS y, g.x AS base_x, g.y AS base_y,
   EXISTS (SELECT 1 FROM pairs p WHERE p.idx = o.idx AND p.t = o.t) AS done
   FROM objects o JOIN targets g ON g.idx = o.idx AND g.k = o.t)"""
@@ -560,10 +629,25 @@ def w8(spark, folder):
 )
 def w9(spark, folder):
     rounds = [F.col("flag") == "R", F.lit(True), F.col("flag") == "A", F.col("qty") > 20]
-    steps = settle(b.steps(spark, folder).select("idx", "t", "flag", "qty"), "steps")
+    steps = b.steps(spark, folder).select("idx", "t", "flag", "qty")
     return go.pop_goals(steps, rounds, skipped=[False, True, False, False])
 
 
+@query(
+    "w8_violations_over_time",
+    f"""WITH {b.STEPS}, m AS (SELECT idx, t, flag = 'R' AS g0, qty > 30 AS g1, flag = 'A' AS g2, qty < 10 AS g3 FROM steps),
+    a AS (SELECT idx, min(t) AS t1 FROM m WHERE g0 GROUP BY idx),
+    c AS (SELECT m.idx, min(t) AS t2 FROM m JOIN a ON a.idx = m.idx AND t > t1 WHERE g1 GROUP BY m.idx),
+    early AS (SELECT m.idx, t FROM m LEFT JOIN a USING (idx) LEFT JOIN c USING (idx)
+      WHERE (t < coalesce(t1, 1000000000) AND (g1 OR g2)) OR (t > t1 AND t < coalesce(t2, 1000000000) AND g2))
+    SELECT idx, (SELECT min(t) FROM early e WHERE e.idx = s.idx) AS violated_at FROM (SELECT DISTINCT idx FROM steps) s""",
+)
+def w8_over_time(spark, folder):
+    rounds = [F.col("flag") == "R", F.col("qty") > 30, F.col("flag") == "A", F.col("qty") < 10]
+    steps = b.steps(spark, folder).select("idx", "t", "flag", "qty")
+    return go.follow_goals(steps, rounds).select("idx", "violated_at")
+
+
 # --- pixels, frames and maps -------------------------------------------------------------------------
 
 BOUNDS = {"x": (0.25, 0.75), "y": (-0.5, 0.5), "z": (0.0, 0.28)}
