@@ -43,14 +43,16 @@ def chain(*transforms: Transform) -> Transform:
 
 _PIECE = "struct<before:string,slot:string,words:array<string>,keep:boolean,again:int>"
 _SLOT = "struct<at:int,slot:string,words:array<string>>"
-_TEMPLATE = f"struct<no:int,text:string,n_words:int,slots:array<{_SLOT}>,pieces:array<{_PIECE}>,tail:string>"
+_TEMPLATE = (
+    f"struct<no:int,text:string,n_words:int,slots:array<{_SLOT}>,assets:array<string>,pieces:array<{_PIECE}>,tail:string>"
+)
 
 
 def template_parts(number: int, text: str, vocabulary: dict[str, list[str]]) -> dict:
     """A template cut up once, so that rows need no parsing.
 
-    ``slots`` tells at which word a slot (its last mention) stands.  ``pieces`` are the texts before
-    each mention.  A slot that draws a word and is mentioned again sets ``keep`` at its first
+    ``slots`` tells at which word a slot (its last mention) stands, ``assets`` which of the slots
+    draw no word.  ``pieces`` are the texts before each mention.  A slot that draws a word and is mentioned again sets ``keep`` at its first
     mention; later ones say in ``again`` which kept word they repeat.
     """
     slots = {}
@@ -77,6 +79,7 @@ def template_parts(number: int, text: str, vocabulary: dict[str, list[str]]) ->
         "text": text,
         "n_words": len(text.split(" ")),
         "slots": [{"at": at, "slot": slot, "words": vocabulary.get(slot)} for slot, at in slots.items()],
+        "assets": [slot for slot in dict.fromkeys(names) if slot not in vocabulary],
         "pieces": pieces,
         "tail": tail,
     }
@@ -92,11 +95,9 @@ def template_sets(templates: dict[str, list[str]], slots: dict[str, dict[str, li
 
 
 def keyed_number(templates: Column, seed: object, *key: Column) -> Column:
-    """Number of the template whose keyed digest is smallest; NULL if there is none."""
-    drawn = F.transform(
-        templates, lambda t: F.struct(keyed_hash(seed, *key, t["no"]).alias("h"), t["no"].alias("no"))
-    )
-    return F.array_min(drawn)["no"]
+    """Number of a keyed one of the templates; NULL if there is none."""
+    place = lambda t: keyed_int(F.greatest(F.size(t), F.lit(1)), seed, *key).cast("int")
+    return X.let(templates, lambda t: F.get(t, place(t)))["no"]
 
 
 def picked_word(piece: Column, seed: object, *key: Column) -> Column:
@@ -216,30 +217,38 @@ def required_slots(prompt: Column) -> Column:
     return F.array_distinct(X.slots_in(prompt))
 
 
-def keeps(template: Column, required: Column, value) -> Column:
-    """Whether every required placeholder is in some slot of a template.
+def carriers(required: Column, values: Column) -> Column:
+    """For each required placeholder the slots that bring it in: by their value, or by being open.
 
-    Vocabulary words and the text between slots hold no placeholders, so slots decide.
+    Vocabulary words and the text between slots hold no placeholders, so a template keeps them all
+    if its asset slots meet each of these lists; they are made once for all templates of a row.
     """
-    marks = F.transform(template["pieces"], lambda p: F.lower(value(p)))
-    return X.let(
-        marks,
-        lambda m: F.forall(
-            required,
-            lambda r: F.exists(m, lambda v: F.contains(v, F.concat(F.lit("{"), r, F.lit("}")))),
-        ),
-    )
 
+    def bringing(name: Column) -> Column:
+        mark = F.concat(F.lit("{"), name, F.lit("}"))
+        return X.let(
+            mark,
+            lambda m: F.concat(
+                F.map_keys(F.map_filter(values, lambda _, v: F.contains(F.lower(v), m))),
+                F.when(F.map_contains_key(values, name), F.array().cast("array<string>")).otherwise(F.array(name)),
+            ),
+        )
 
-def _choose(known: DataFrame, sets: Column, seed: object, value, mark, allow_original: bool) -> DataFrame:
-    """Draw a template among the valid ones and write it.
+    return F.transform(required, bringing)
 
-    ``value(piece, values)`` fills a slot; ``mark(piece, values)`` is its part that may hold a
-    placeholder.
-    """
 
-    def valid(values: Column, required: Column, original: Column) -> Column:
-        kept = F.filter(sets, lambda t: keeps(t, required, lambda p: mark(p, values)))
+def keeps(template: Column, carried: Column) -> Column:
+    """Whether every required placeholder is in some slot of a template, see :func:`carriers`."""
+    return F.forall(carried, lambda slots: F.arrays_overlap(template["assets"], slots))
+
+
+def _choose(
+    known: DataFrame, sets: Column, seed: object, value, allow_original: bool, required: Column | None = None
+) -> DataFrame:
+    """Draw a template among the valid ones and write it; ``value(piece, values)`` fills a slot."""
+
+    def valid(values: Column, carried: Column, original: Column) -> Column:
+        kept = F.filter(sets, lambda t: keeps(t, carried))
         if allow_original:
             return kept
         same = lambda t: F.lower(X.sentence(written(t, lambda p: value(p, values)))) == original
@@ -248,10 +257,10 @@ def _choose(known: DataFrame, sets: Column, seed: object, value, mark, allow_ori
     numbers = X.let(
         F.col("values"),
         lambda v: X.let(
-            required_slots(F.col("prompt")),
-            lambda r: X.let(
+            carriers(required_slots(F.col("prompt")) if required is None else required, v),
+            lambda c: X.let(
                 F.lower("prompt"),
-                lambda o: keyed_number(valid(v, r, o), f"{seed}-template", F.col("idx")),
+                lambda o: keyed_number(valid(v, c, o), f"{seed}-template", F.col("idx")),
             ),
         ),
     )
@@ -277,22 +286,25 @@ def _kept(piece: Column, values: Column) -> Column:
 
 
 def reword(
-    rows: DataFrame, sets: Column, seed: object, textures: Column | None = None, allow_original: bool = True
+    rows: DataFrame,
+    sets: Column,
+    seed: object,
+    textures: Column | None = None,
+    allow_original: bool = True,
+    required: Column | None = None,
 ) -> DataFrame:
     """New wording for each prompt; ``prompt`` is NULL and ``status`` tells why when there is none.
 
     Slot words are drawn anew, asset values are kept, and the template is drawn among those that
-    keep every required placeholder.
+    keep every ``required`` placeholder: the names of the prompt's assets, or if not given those the
+    prompt mentions.
     """
     known = slot_values(rows, sets, seed, textures)
 
     def value(piece: Column, values: Column) -> Column:
         return F.coalesce(picked_word(piece, f"{seed}-words", F.col("idx")), _kept(piece, values))
 
-    def mark(piece: Column, values: Column) -> Column:
-        return F.when(piece["words"].isNotNull(), F.lit("")).otherwise(_kept(piece, values))
-
-    return _choose(known, sets, seed, value, mark, allow_original)
+    return _choose(known, sets, seed, value, allow_original, required)
 
 
 def most_choices(templates: dict[str, list[str]], slots: dict[str, dict[str, list[str]]]) -> int:
@@ -305,18 +317,24 @@ def most_choices(templates: dict[str, list[str]], slots: dict[str, dict[str, lis
 
 
 def all_wordings(
-    rows: DataFrame, sets: Column, seed: object, mentions: int, textures: Column | None = None
+    rows: DataFrame,
+    sets: Column,
+    seed: object,
+    mentions: int,
+    textures: Column | None = None,
+    required: Column | None = None,
 ) -> DataFrame:
     """Every distinct valid wording per task.
 
     Each template grows piece by piece, so only the slots it uses multiply, once per distinct set
     of asset values.  ``mentions`` is the most mentions of drawn slots in any template.
     """
+    required = required_slots(F.col("prompt")) if required is None else required
     known = slot_values(rows, sets, seed, textures).where(F.col("matched").isNotNull())
     scenes = known.select(
         "task",
         F.array_sort(F.map_entries("values")).alias("found"),
-        F.array_sort(required_slots(F.col("prompt"))).alias("required"),
+        F.array_sort(required).alias("required"),
     ).distinct()
     one_each = (
         scenes.withColumn("values", F.map_from_entries("found"))
@@ -538,7 +556,7 @@ def textual(sets: Column, seed: object, mode: str | None = None) -> Transform:
             F.try_element_at(values, p["slot"]), picked_word(p, f"{seed}-words", F.col("idx")), left_open(p)
         )
         ordered = known.withColumn("__fixed_order", sets.isNotNull())
-        chosen = _choose(ordered, sets, seed, value, value, allow_original=False)
+        chosen = _choose(ordered, sets, seed, value, allow_original=False)
         base = F.when(F.col("__fixed_order"), F.col("prompt")).otherwise(F.col("original"))
         text = X.substitute(base, describe(F.col("assets"), mode, seed, F.col("idx")))
         return chosen.select(

@@ -12,6 +12,7 @@ from episodium import vocabulary as V
 from episodium.functions import text as X
 from episodium.functions.keyed import hash_to_int, sql_hash, sql_int
 from episodium.operators import prompts as pr
+from episodium.operators import registry
 from episodium.operators import sequences as sq
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
@@ -31,13 +32,21 @@ def pick_sql(options: list, seed: str, *key: str) -> str:
     return f"([{items}])[1 + {sql_int(len(options), seed, *key)}]"
 
 
+def chosen_sql(value: str, seed: str, key: str) -> str:
+    """A keyed one of a group's values, in order of ``no``, as SQL text."""
+    return f"list({value} ORDER BY no)[1 + {sql_int('count(*)', seed, key)}]"
+
+
 def requests(spark, folder):
-    """One prompt request per order: task, textures of its objects, values of its assets."""
+    """One prompt request per order: task, textures of its objects, values of its assets.
+
+    Writing prompts costs far more than moving two numbers, so rows are dealt out evenly first.
+    """
     pick = lambda options, seed: X.pick_from(F.array(*[F.lit(str(o)) for o in options]), seed, F.col("idx"))
     rows = b.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 17).cast("int").alias("task")
     )
-    return rows.select(
+    return rows.repartition("idx").select(
         "*",
         pick(TEXTURES, "texture-a").alias("texture_a"),
         pick(TEXTURES, "texture-b").alias("texture_b"),
@@ -98,8 +107,7 @@ FIXED_PAIRS = "[" + ", ".join(b.sql_text(f"{k}={v}") for k, v in ASSETS.items())
 TEMPLATE_TABLES = f"{templates_cte('templates', V.TEMPLATES)}, {words_cte('slot_words', V.SLOTS)}"
 PROMPT_STEPS = f"""requests AS (SELECT o_orderkey AS idx, CAST(o_custkey % 17 AS INTEGER) AS task, {pick_sql(TEXTURES, "texture-a", "o_orderkey")} AS texture_a,
   {pick_sql(TEXTURES, "texture-b", "o_orderkey")} AS texture_b, {pick_sql(DEGREES, "degrees", "o_orderkey")} AS degrees FROM orders),
-drawn AS (SELECT r.idx, t.template FROM requests r JOIN templates t USING (task)
-  QUALIFY row_number() OVER (PARTITION BY r.idx ORDER BY {sql_hash("prompt", "r.idx", "t.no")}, t.no) = 1),
+drawn AS (SELECT r.idx, {chosen_sql("t.template", "prompt", "r.idx")} AS template FROM requests r JOIN templates t USING (task) GROUP BY r.idx),
 picked AS (SELECT r.idx, list(slot || '=' || words[1 + ('0x' || substr({sql_hash("prompt", "r.idx", "slot")}, 1, 8))::BIGINT % len(words)]) AS kv,
   list(slot) AS known FROM requests r JOIN slot_words USING (task) GROUP BY r.idx),
 asked AS (SELECT r.*, d.template, list_concat(kv, list_filter(list_concat({FIXED_PAIRS}, ['dragged_texture=' || texture_a, 'base_texture=' || texture_b,
@@ -145,8 +153,8 @@ aligned AS (SELECT c.idx, c.task, c.no, c.pos, {BARE % "trim(lower(string_split(
 slots AS (SELECT idx, task, no, pos, substr(slot, 2, length(slot) - 2) AS slot, word FROM aligned WHERE starts_with(slot, '{{') AND ends_with(slot, '}}')
   QUALIFY row_number() OVER (PARTITION BY idx, no, slot ORDER BY pos DESC) = 1),
 broken AS (SELECT DISTINCT s.idx, s.no FROM slots s JOIN slot_words w ON w.task = s.task AND w.slot = s.slot WHERE NOT list_contains(w.words, s.word)),
-matched AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM broken x WHERE x.idx = c.idx AND x.no = c.no)
-  QUALIFY row_number() OVER (PARTITION BY c.idx ORDER BY {sql_hash("match", "c.idx", "c.no")}, c.no) = 1),
+matched AS (SELECT c.idx, any_value(c.task) AS task, {chosen_sql("c.no", "match", "c.idx")} AS no FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM broken x WHERE x.idx = c.idx AND x.no = c.no) GROUP BY c.idx),
 last_words AS (SELECT s.idx, s.task, s.slot, s.word FROM slots s JOIN matched USING (idx, no) QUALIFY row_number() OVER (PARTITION BY s.idx, s.slot ORDER BY s.pos DESC) = 1),
 extracted AS (SELECT l.idx, l.task, l.slot, CASE WHEN found1 = 1 AND found2 = 1 THEN replace(replace(l.word, '{{texture_0}}', n1), '{{texture_1}}', n2)
     WHEN found1 = 1 THEN replace(l.word, '{{texture_0}}', n1) WHEN found2 = 1 THEN replace(l.word, '{{texture_0}}', n2) ELSE l.word END AS word
@@ -238,8 +246,7 @@ written AS (SELECT n.idx, t.no, {filled_sql("t.template", "pairs")} AS text FROM
 finished AS (SELECT idx, no, {sentence_sql("text")} AS text FROM written),
 valid AS (SELECT f.idx, f.no, f.text FROM finished f JOIN needed USING (idx) JOIN prompts p ON p.idx = f.idx
   WHERE len(list_filter(req, lambda r: NOT contains(f.text, '{{' || r || '}}'))) = 0 {extra}),
-reworded AS (SELECT idx, replace(replace(text, '{{adv}}', ''), '  ', ' ') AS new FROM valid
-  QUALIFY row_number() OVER (PARTITION BY idx ORDER BY {sql_hash("match-template", "idx", "no")}, no) = 1)"""
+reworded AS (SELECT idx, replace(replace({chosen_sql("text", "match-template", "idx")}, '{{adv}}', ''), '  ', ' ') AS new FROM valid GROUP BY idx)"""
 
 
 REWORD_SELECT = """SELECT p.idx, r.new AS prompt, CASE WHEN m.idx IS NULL THEN 'no template fits' WHEN r.new IS NULL THEN 'no valid wording' ELSE 'ok' END AS status
@@ -341,6 +348,15 @@ def t2(spark, folder):
     return prompts(spark, folder).select("idx", "prompt").transform(pr.nonsense_words("gdg"))
 
 
+@query(
+    "u1_configured_transforms",
+    f"""WITH {NONSENSE} SELECT idx, prompt FROM nonsense""",
+)
+def u1(spark, folder):
+    config = [{"name": "noop"}, {"name": "nonsense_words", "seed": "gdg"}]
+    return registry.apply(prompts(spark, folder).select("idx", "prompt"), config)
+
+
 @query("t1_chained_transforms", f"WITH {NONSENSE} SELECT idx, 'textual' AS label, lower(prompt) AS prompt FROM nonsense")
 def t1(spark, folder):
     lower = lambda rows: rows.withColumn("prompt", F.lower("prompt"))
@@ -487,8 +503,8 @@ aligned AS (SELECT c.idx, c.task, c.no, c.pos, {BARE % "trim(lower(string_split(
 slots AS (SELECT idx, task, no, pos, substr(slot, 2, length(slot) - 2) AS slot, word FROM aligned WHERE starts_with(slot, '{{') AND ends_with(slot, '}}')
   QUALIFY row_number() OVER (PARTITION BY idx, no, slot ORDER BY pos DESC) = 1),
 broken AS (SELECT DISTINCT s.idx, s.no FROM slots s JOIN slot_words2 w ON w.task = s.task AND w.slot = s.slot WHERE NOT list_contains(w.words, s.word)),
-matched AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM broken x WHERE x.idx = c.idx AND x.no = c.no)
-  QUALIFY row_number() OVER (PARTITION BY c.idx ORDER BY {sql_hash("txt", "c.idx", "c.no")}, c.no) = 1),
+matched AS (SELECT c.idx, any_value(c.task) AS task, {chosen_sql("c.no", "txt", "c.idx")} AS no FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM broken x WHERE x.idx = c.idx AND x.no = c.no) GROUP BY c.idx),
 extracted AS (SELECT s.idx, s.slot, s.word FROM slots s JOIN matched USING (idx, no) QUALIFY row_number() OVER (PARTITION BY s.idx, s.slot ORDER BY s.pos DESC) = 1),
 have AS (SELECT idx, list(slot || '=' || word) AS kv, list(slot) AS known FROM extracted GROUP BY idx),
 fresh AS (SELECT m.idx, list(w.slot || '=' || words[1 + ('0x' || substr({sql_hash("txt-words", "m.idx", "w.slot")}, 1, 8))::BIGINT % len(words)]) AS kv
@@ -499,8 +515,7 @@ written AS (SELECT n.idx, t.no, {filled_sql("t.template", "pairs")} AS text FROM
 finished AS (SELECT idx, no, {sentence_sql("text")} AS text FROM written),
 valid AS (SELECT f.idx, f.no, f.text FROM finished f JOIN needed USING (idx) JOIN prompts p ON p.idx = f.idx
   WHERE len(list_filter(req, lambda r: NOT contains(f.text, '{{' || r || '}}'))) = 0 AND lower(f.text) <> lower(p.prompt)),
-ordered AS (SELECT idx, replace(replace(text, '{{adv}}', ''), '  ', ' ') AS new FROM valid
-  QUALIFY row_number() OVER (PARTITION BY idx ORDER BY {sql_hash("txt-template", "idx", "no")}, no) = 1),
+ordered AS (SELECT idx, replace(replace({chosen_sql("text", "txt-template", "idx")}, '{{adv}}', ''), '  ', ' ') AS new FROM valid GROUP BY idx),
 base AS (SELECT p.idx, p.task, p.prompt, p.texture_a, p.texture_b, {NOUN.replace("idx", "p.idx")} AS noun, p.task IN (SELECT task FROM templates2) AS fixed, m.idx IS NULL AS unmatched, o.new
   FROM prompts p LEFT JOIN matched m ON m.idx = p.idx LEFT JOIN ordered o ON o.idx = p.idx)"""
 
