@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from episodium import dims
 from episodium.operators import actions as ac
+from episodium.operators import metric_state
 from episodium.operators import datasets as ds
 from episodium.operators import evaluation as ev
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
+from episodium.workspace import new_folder
 
 AXES = b.POSE_AXIS
 NAMES = list(AXES)
@@ -153,6 +155,20 @@ def a12_exact(spark, folder):
     return ac.exact_match(ac.fine_grained_loss(b.logits(spark, folder)))
 
 
+@query(
+    "u3_merged_losses",
+    f"""WITH {LOSS} SELECT {b.sql_lookup(LABELS, "axis")} AS axis, count(*) FILTER (target <> -100) AS targets,
+      round(avg(loss), 9) AS loss, count(*) FILTER (target <> -100 AND predicted = target) / nullif(count(*) FILTER (target <> -100), 0) AS accuracy
+    FROM losses GROUP BY losses.axis""",
+)
+def u3_losses(spark, folder):
+    losses = ac.fine_grained_loss(b.logits(spark, folder))
+    state = metric_state.offline_state(spark, new_folder(spark, "metric-state"))
+    for part in (0, 1, 0):  # the first batch is replayed
+        state.update(losses.where(F.col("step") % 2 == part), f"part-{part}")
+    return metric_state.offline_rows(state).withColumn("loss", F.round("loss", 9))
+
+
 # --- checks ------------------------------------------------------------------------------------
 
 TOKEN_CHECK = " AND ".join(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from episodium import dims
 from episodium.functions.keyed import keyed_int, sql_int
 from episodium.operators import evaluation as ev
+from episodium.operators import metric_state
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
+from episodium.workspace import new_folder
 
 PERFORMANCE = f"""{b.EPISODES}, performance AS (
   SELECT partition, task, CAST(sum(is_successful_at_end::INT) AS BIGINT) AS num_successful,
@@ -360,3 +362,14 @@ def l12(spark, folder):
         (F.col("l_returnflag") == "R").alias("success"),
     )
     return ev.first_successful_attempt(attempts, ["idx"])
+
+
+@query("u3_merged_metrics", ONLINE)
+def u3(spark, folder):
+    episodes = b.outcomes(spark, folder).select("idx", "partition", "task", "is_successful_at_end", "steps_taken")
+    state = metric_state.online_state(spark, new_folder(spark, "metric-state"))
+    state.update(episodes, "all")
+    state.reset()
+    for part in (0, 1, 2, 1):  # the second batch is replayed
+        state.update(episodes.where(F.col("idx") % 3 == part), f"part-{part}")
+    return metric_state.online_rows(state)

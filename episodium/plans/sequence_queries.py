@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodium import dims
+from episodium.functions import nested
 from episodium.functions.arrays import pad_to
 from episodium.operators import datasets as ds
 from episodium.operators import sequences as sq
@@ -106,16 +107,85 @@ def m8_nested(spark, folder):
     )
 
 
+# two ragged axes: the turns of a conversation and the words of a turn; the longest batch member decides both
+RAGGED = """w AS (SELECT conv_id // 8 AS batch, conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS lens FROM conversations),
+sizes AS (SELECT batch, max(n) AS turns, max(longest) AS words FROM (SELECT batch, conv_id, count(*) AS n, max(len(lens)) AS longest FROM w GROUP BY ALL) GROUP BY batch),
+lists AS (SELECT batch, conv_id, list(lens ORDER BY turn) AS l FROM w GROUP BY ALL)"""
+
+
+def filled_sql(filler: str) -> str:
+    """The nested list ``l`` filled up to (turns, words), as text."""
+    words = f"list_concat(coalesce(l[i], []), list_transform(range(0, words - len(coalesce(l[i], []))), lambda x: {filler}))"
+    return f"array_to_string(list_transform(range(1, turns + 1), lambda i: array_to_string({words}, ',')), ';')"
+
+
+def joined(nested):
+    """A list of lists as text."""
+    return F.array_join(F.transform(nested, lambda r: F.array_join(F.transform(r, lambda v: v.cast("bigint").cast("string")), ",")), ";")
+
+
+@query(
+    "m8_ragged_batches",
+    f"""WITH {RAGGED} SELECT batch, conv_id, {filled_sql("0")} AS words, {filled_sql("-100")} AS actions, {filled_sql("-1000000000")} AS logits,
+      array_to_string(list_concat(list_transform(l, lambda r: len(r) > 5), list_transform(range(0, turns - len(l)), lambda i: false)), ',') AS mask
+    FROM lists JOIN sizes USING (batch)""",
+)
+def m8_ragged(spark, folder):
+    rows = b.table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.transform(F.split("text", " "), F.length).alias("lens")
+    )
+    stacked = nested.stack(rows, ["conv_id"], ["turn"], ["lens"])
+    members = stacked.select(
+        F.floor(F.col("conv_id") / 8).alias("batch"), "conv_id", F.col("lens").alias("words"), F.col("lens").alias("actions"),
+        F.struct(
+            F.transform("lens", lambda r: F.transform(r, lambda v: v.cast("double"))).alias("logits"),
+            F.transform("lens", lambda r: F.size(r) > 5).alias("mask"),
+        ).alias("decoded"),
+    )
+    fillers = {"actions": dims.IGNORED_TARGET, "decoded.logits": dims.MASKED_LOGIT}
+    batches_ = nested.collate(members, "batch", ["words", "actions", "decoded"], fillers)
+    return batches_.select(
+        "batch", "conv_id", joined("words").alias("words"), joined("actions").alias("actions"),
+        joined("decoded.logits").alias("logits"),
+        F.array_join(F.transform("decoded.mask", lambda v: v.cast("string")), ",").alias("mask"),
+    )
+
+
+@query(
+    "m9_nested_operators",
+    f"""WITH {b.STEPS}, a AS (SELECT idx, list(part ORDER BY t) AS parts, list(CAST(qty AS BIGINT) ORDER BY t) AS qtys, list([part, supp] ORDER BY t) AS pairs FROM steps GROUP BY ALL)
+    SELECT idx, array_to_string(list_concat(parts, parts[1:1]), ',') AS longer, array_to_string(qtys[2:3], ',') AS middle,
+      array_to_string(list_transform(pairs, lambda p: p[1]), ',') || ';' || array_to_string(list_transform(pairs, lambda p: p[2]), ',') AS turned, 1 AS batch_dim FROM a""",
+)
+def m9_operators(spark, folder):
+    steps = b.steps(spark, folder).select(
+        "idx", "t", F.struct("part", F.struct(F.col("qty").cast("bigint").alias("qty"), F.array("part", "supp").alias("pair")).alias("in")).alias("item")
+    )
+    stacked = nested.stack(steps, ["idx"], ["t"], ["item"])
+    kind = stacked.schema["item"].dataType
+    first = nested.cut(F.col("item"), kind, 0, 1)
+    pairs = F.struct(F.col("item.in.pair").alias("pair"))
+    pairs_kind = stacked.select(pairs.alias("p")).schema["p"].dataType
+    text = lambda column: F.array_join(F.transform(column, lambda v: v.cast("string")), ",")
+    return stacked.select(
+        "idx",
+        text(nested.concat(F.col("item"), first, kind)["part"]).alias("longer"),
+        text(nested.cut(F.col("item"), kind, 1, 2)["in"]["qty"]).alias("middle"),
+        joined(nested.transpose(pairs, pairs_kind)["pair"]).alias("turned"),
+        F.size(nested.add_batch_dim(F.col("item"), kind)["in"]["pair"]).alias("batch_dim"),
+    )
+
+
 @query(
     "m9_stacked_sequences",
     f"""WITH {b.STEPS}, a AS (SELECT idx, list(part ORDER BY t) AS parts, list(qty ORDER BY t) AS qtys FROM steps GROUP BY ALL)
     SELECT idx, len(parts) + 1 AS concatenated, array_to_string(parts[2:3], ',') AS sliced, CAST(list_sum(qtys) AS BIGINT) AS transposed_sum, 1 AS batch_dim FROM a""",
 )
 def m9(spark, folder):
-    nested = ds.nest(b.steps(spark, folder), ["idx"], ["part", "qty"], "items")
+    sequences = ds.nest(b.steps(spark, folder), ["idx"], ["part", "qty"], "items")
     longer = F.concat("items", F.slice("items", 1, 1))
     by_field = F.struct(F.col("items.part").alias("part"), F.col("items.qty").alias("qty"))
-    return nested.select(
+    return sequences.select(
         "idx",
         F.size(longer).cast("bigint").alias("concatenated"),
         F.array_join(F.transform(F.slice(by_field["part"], 2, 2), lambda v: v.cast("string")), ",").alias("sliced"),

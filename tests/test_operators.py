@@ -374,3 +374,139 @@ def test_run_names(spark):
     assert got["ftwoyjb1"] == ("X+ObjShuf / Orig - ObjText + No VisRef [Dstr] [ObjTime]", "ok")
     assert got["drmm3ugl"] == ("X+Obj / Origw/Null - ShufObj", "ok")
     assert got["nobody"] == (None, "unknown model")
+
+
+# --- goals -----------------------------------------------------------------------------------------
+
+
+def on_places(spark, places, name):
+    """Objects or targets of episode 1 at the given x."""
+    rows = [(1, i, float(x), 0.0, 0.0, 0.0) for i, x in places]
+    return spark.createDataFrame(rows, f"idx bigint, {name} bigint, x double, y double, angle double, symmetry double")
+
+
+def test_forbidden_pairs_and_two_objects_on_one_target(spark):
+    objects = on_places(spark, [(0, 0.1), (1, 0.1), (2, 0.5)], "t")
+    targets = on_places(spark, [(0, 0.1), (1, 0.5)], "k").drop("symmetry")
+    allowed = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 0)], "idx bigint, t bigint, k bigint")
+
+    def progress(**options):
+        return go.pose_progress(objects, targets, **options).first()["progress"]
+
+    assert progress() == pytest.approx(1)
+    assert progress(allowed=allowed) == pytest.approx(2 / 3)  # object 2 stands on a forbidden target
+    assert progress(exclusive=True) == pytest.approx(2 / 3)  # objects 0 and 1 share a target
+    assert progress(allowed=allowed, exclusive=True) == pytest.approx(1 / 3)
+    free = go.nearest_open_target(objects, targets, allowed.union(spark.createDataFrame([(1, 1, 1)], allowed.schema)))
+    assert [tuple(r) for r in free.select("t", "k", "rank").collect()] == [(1, 1, 0)]
+
+
+def test_assignment_in_order_equals_a_plain_loop(spark):
+    import random
+
+    draw = random.Random(4)
+    pairs = {(draw.randrange(40), draw.randrange(8), draw.randrange(8)) for _ in range(2000)}
+    want, used = set(), set()
+    for idx, t, k in sorted(pairs):
+        if (idx, "t", t) not in used and (idx, "k", k) not in used:
+            used |= {(idx, "t", t), (idx, "k", k)}
+            want.add((idx, t, k))
+    frame = spark.createDataFrame(sorted(pairs, key=lambda _: draw.random()), "idx bigint, t bigint, k bigint")
+    assert {tuple(r) for r in go.assign_in_order(frame.repartition(5)).collect()} == want
+
+
+def test_goals_popped_in_order_over_slices(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(go, "SLICE_STEPS", 16)
+    draw = random.Random(5)
+    rows = [(i, t, draw.choice("abcdx")) for i in range(30) for t in range(draw.choice([1, 5, 200]))]
+    goals = [F.col("v").isin("a", "b"), F.col("v") == "b", F.col("v") == "c", F.col("v") == "d"]
+    holds = ["ab", "b", "c", "d"]
+    want = {}
+    for idx in range(30):
+        times, early = [], None
+        for _, t, v in [r for r in rows if r[0] == idx]:
+            k = len(times)
+            if k < 4 and v in holds[k]:
+                times.append(t)
+            elif early is None and any(v in holds[j] for j in range(k + 1, 3)):
+                early = t
+        want[idx] = (times, len(times), early)
+    frame = spark.createDataFrame(rows, "idx bigint, t bigint, v string").repartition(6)
+    got = {r["idx"]: (r["times"], r["goals_done"], r["violated_at"]) for r in go.follow_goals(frame, goals).collect()}
+    assert got == want
+
+
+# --- transforms by name, metric state, nested values -------------------------------------------------
+
+
+def test_configured_transforms_are_checked_before_a_job(spark):
+    from episodium.operators import registry
+
+    rows = spark.createDataFrame([(1, "Put {a} here")], "idx bigint, prompt string")
+    chained = registry.apply(rows, [{"name": "noop"}, {"name": "nonsense_words", "seed": 3}])
+    assert chained.first()["prompt"] == rows.transform(pr.nonsense_words(3)).first()["prompt"]
+    for config, message in (
+        ([{"name": "nothing"}], "not one of"),
+        ([{"name": "nonsense_words"}], "seed"),
+        ([{"name": "noop", "seed": 3}], "seed"),
+        ([{"name": "noop"}, {"name": "reword", "seed": 3}], "no column task"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            registry.apply(rows, config)
+    assert {"noop", "reword", "textual", "other_instruction"} <= set(registry.names())
+
+
+def test_required_placeholders_may_come_from_the_assets(spark):
+    rows = spark.createDataFrame([(i, 0, "Put the {dragged_obj_1} on the {base_obj_1}.") for i in range(20)], "idx bigint, task int, prompt string")
+    sets = pr.template_sets(V.TEMPLATES, V.SLOTS)
+    required = F.array(F.lit("dragged_obj_1"), F.lit("hidden_asset"))
+    assert {r["status"] for r in pr.reword(rows, sets, 1).collect()} == {"ok"}
+    assert {r["status"] for r in pr.reword(rows, sets, 1, required=required).collect()} == {"no valid wording"}
+
+
+def test_metric_state_merges_replays_and_resets(spark, tmp_path):
+    from episodium.operators import metric_state
+
+    rows = [(p, t, s % 2 == 0, s) for p in (1, 2) for t in (0, 5) for s in range(7)]
+    frame = spark.createDataFrame(rows, "partition int, task int, is_successful_at_end boolean, steps_taken bigint")
+    state = metric_state.online_state(spark, str(tmp_path / "state"))
+    assert state.merged() is None and metric_state.online_rows(state) is None
+    for name in ("a", "b", "a"):
+        state.update(frame.where(F.col("steps_taken") < 3 if name == "a" else F.col("steps_taken") >= 3), name)
+    assert sorted(metric_state.online_rows(state).collect()) == sorted(ev.online_metrics(frame).collect())
+    state.reset()
+    assert state.merged() is None
+    with pytest.raises(ValueError, match="name"):
+        state.update(frame, "a/b")
+
+
+def test_nested_collation_at_every_depth(spark):
+    from episodium.functions import nested
+
+    rows = [
+        (0, {"a": [[1], [2, 3, 4]], "b": {"m": [True], "s": 5}}, [1.0]),
+        (0, {"a": None, "b": {"m": None, "s": 6}}, [1.0, 2.0]),
+        (0, {"a": [None, []], "b": None}, None),
+        (1, {"a": [], "b": {"m": [], "s": 7}}, []),
+    ]
+    schema = "batch int, v struct<a:array<array<int>>,b:struct<m:array<boolean>,s:int>>, w array<double>"
+    got = nested.collate(spark.createDataFrame(rows, schema), "batch", ["v", "w"], {"v.a": -100, "w": -1e9}).collect()
+    found = sorted((r["batch"], r["v"]["a"], r["w"]) for r in got)
+    pad = [-100] * 3
+    assert found == sorted([
+        (0, [[1, -100, -100], [2, 3, 4]], [1.0, -1e9]), (0, [pad, pad], [1.0, 2.0]), (0, [pad, pad], [-1e9, -1e9]), (1, [], []),
+    ])
+    assert sorted(str(r["v"]["b"]) for r in got) == sorted(
+        ["Row(m=[True], s=5)", "Row(m=[False], s=6)", "None", "Row(m=[], s=7)"]
+    )
+    frame = spark.createDataFrame([([[1, 2, 3], [4, 5, 6]],)], "x array<array<int>>")
+    kind = frame.schema["x"].dataType
+    r = frame.select(
+        nested.transpose(F.col("x"), kind).alias("t"), nested.cut(F.col("x"), kind, 1, 5).alias("c"),
+        nested.concat(F.col("x"), F.col("x"), kind).alias("j"), nested.add_batch_dim(F.col("x"), kind).alias("b"),
+    ).first()
+    assert r["t"] == [[1, 4], [2, 5], [3, 6]] and r["c"] == [[4, 5, 6]] and len(r["j"]) == 4 and len(r["b"]) == 1
+    with pytest.raises(ValueError, match="two axes"):
+        nested.transpose(F.array(F.lit(1)), frame.select(F.array(F.lit(1)).alias("y")).schema["y"].dataType)

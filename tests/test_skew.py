@@ -3,14 +3,13 @@
 import duckdb
 import pytest
 
-from episodium.functions import ranking
 from episodium.plans import catalogue
 from tests.oracle import TABLES, compare, connect
 
 NAMES = [
     "w1_hesitance", "w2_flailing", "w3_final_success", "w4_termination", "w9_goal_popping", "s2_parse_episodes",
     "s4_indexed_actions", "s5_null_action", "s6_success_tracker", "p1_instance_metadata", "p9_placeholder_class",
-    "j7_pose_matches", "j8_overlapping_episodes", "j9_nearest_open_target", "j10_distractor_conflicts",
+    "j7_pose_matches", "j7_allowed_matches", "j9_allowed_targets", "a16_exclusive_progress", "j8_overlapping_episodes", "j9_nearest_open_target", "j10_distractor_conflicts",
     "a15_zone_progress", "a17_rearrangement_outcome", "m8_collated_batches", "w6_stitched_tokens",
     "w7_assembled_prompts", "t9_encoded_text", "x2_episode_buffer",
 ]
@@ -30,8 +29,7 @@ def skewed(folder, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_hot_group(spark, skewed, monkeypatch, name):
-    monkeypatch.setattr(ranking, "HOT_ROWS", 100)
+def test_hot_group(spark, skewed, name):
     problem, rows, _, _ = compare(
         spark, connect(skewed), skewed, catalogue.QUERIES[name], catalogue.ORACLES[name]
     )
