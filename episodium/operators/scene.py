@@ -233,7 +233,7 @@ def fill_slots(frames: DataFrame, objects: list[int], found: DataFrame, by: list
 
 
 def pad_slots(slots: DataFrame, by: list[str]) -> DataFrame:
-    """Visible objects first, zero boxes after; frames without a visible object are left out.
+    """Visible objects first, zero boxes after; ``status`` tells frames without a visible object.
 
     A frame has as many rows as the object list has entries, so the window is small.
     """
@@ -242,10 +242,9 @@ def pad_slots(slots: DataFrame, by: list[str]) -> DataFrame:
     frame = W.partitionBy(*by)
     order = frame.orderBy(~F.col("mask"), "place")
     return (
-        slots.withColumn("visible", F.sum(F.col("mask").cast("int")).over(frame))
-        .where("visible > 0")
+        slots.withColumn("status", F.when(F.max("mask").over(frame), F.lit("ok")).otherwise(F.lit("nothing visible")))
         .withColumn("slot", (F.row_number().over(order) - 1).cast("bigint"))
-        .drop("visible", "place")
+        .drop("place")
     )
 
 

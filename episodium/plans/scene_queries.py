@@ -14,6 +14,7 @@ from episodium.operators import datasets as ds
 from episodium.operators import goals as go
 from episodium.operators import scene as sc
 from episodium.operators import sequences as sq
+from episodium.operators.crops import object_crops
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.workspace import settle
@@ -724,10 +725,95 @@ def a20_crops(spark, folder):
     return crops.withColumn("grey", F.round("grey", 9))
 
 
+def packed_frames(spark, folder):
+    """Frames as bytes, in two views: the top view is the front view turned, its colours differ by channel."""
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    packed = lambda values: F.unhex(F.array_join(F.transform(values, byte), ""))
+    channel = lambda grey, c: F.transform(grey, lambda g: F.floor(g * (100 + 50 * c)) % 256)
+    turned = lambda a: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(a, (i % 8 * 8 + F.floor(i / 8)).cast("int")))
+    stored = b.frames(spark, folder)
+    views = stored.select("frame", F.lit("front").alias("view"), "ids", "grey").unionByName(
+        stored.select("frame", F.lit("top").alias("view"), turned(F.col("ids")).alias("ids"), turned(F.col("grey")).alias("grey"))
+    )
+    return views.select(
+        "frame", "view", F.lit(8).alias("height"), F.lit(8).alias("width"),
+        F.concat(*[packed(channel(F.col("grey"), c)) for c in range(3)]).alias("colours"), packed(F.col("ids")).alias("segments"),
+        F.array(*[F.lit(i) for i in LISTED]).alias("objects"),
+    )
+
+
+def crops_sql(size: int) -> str:
+    """The crops of both views as SQL text: one weighted sum per object and channel."""
+    s = f"{size}.0e0"
+    part = lambda axis: (
+        f"CASE WHEN side >= {size} THEN (least({axis}.p + 1, (cell + 1) * side / {s}) - greatest({axis}.p, cell * side / {s})) * {s} / side"
+        f" WHEN {axis}.p = least(cell * side // {size}, side - 1) THEN 1 - {axis}.f WHEN {axis}.p = cell * side // {size} + 1 THEN {axis}.f ELSE 0 END"
+    )
+    fraction = (
+        f"CASE WHEN cell * side // {size} >= side - 1 THEN 0 ELSE"
+        f" greatest((cell + 1) - (cell * side // {size} + 1) * {s} / side, 0) - floor(greatest((cell + 1) - (cell * side // {size} + 1) * {s} / side, 0)) END"
+    )
+    return f"""WITH {b.PIXELS}, seen AS (SELECT frame, 'front' AS view, y, x, id, grey FROM pixels UNION ALL SELECT frame, 'top', x, y, id, grey FROM pixels),
+boxes AS (SELECT frame, view, id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM seen
+  WHERE id IN ({', '.join(map(str, LISTED))}) GROUP BY ALL HAVING count(*) >= 2),
+inside AS (SELECT q.frame, q.view, q.id, p.grey, greatest(y1 - y0, x1 - x0) + 1 AS side, y1 - y0 AS bh, x1 - x0 AS bw, (x0 + x1) // 2 AS xc, (y0 + y1) // 2 AS yc,
+  p.y - y0 + (greatest(y1 - y0, x1 - x0) - (y1 - y0)) // 2 AS sy, p.x - x0 + (greatest(y1 - y0, x1 - x0) - (x1 - x0)) // 2 AS sx
+  FROM seen p JOIN boxes q ON p.frame = q.frame AND p.view = q.view AND p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1),
+sides AS (SELECT DISTINCT side FROM inside),
+cells AS (SELECT side, cell, {fraction} AS f FROM sides, (SELECT unnest(range(0, {size})) AS cell)),
+weights AS (SELECT side, cell, p, {part("w")} AS share FROM (SELECT c.*, p FROM cells c JOIN (SELECT side, unnest(range(0, side)) AS p FROM sides) q USING (side)) w),
+kept AS (SELECT * FROM weights WHERE share > 1e-12),
+-- the sum over all target pixels of value * place splits into sums along the two axes
+along AS (SELECT side, p, sum(share) AS one, sum(share * cell) AS place FROM kept GROUP BY ALL)
+SELECT i.frame, i.view, i.id, c AS channel, any_value(xc) AS xc, any_value(yc) AS yc, any_value(bh) AS h, any_value(bw) AS w,
+  round(sum(floor(grey * (100 + 50 * c)) % 256 * v.one * h.one), 3) AS total, round(sum(floor(grey * (100 + 50 * c)) % 256 * v.place * h.place), 3) AS placed
+FROM inside i JOIN along v ON v.side = i.side AND v.p = sy JOIN along h ON h.side = i.side AND h.p = sx, (SELECT unnest(range(0, 3)) AS c)
+GROUP BY ALL"""
+
+
+def crop_sums(spark, folder, size):
+    """Each visible object's box and, by channel, the sum of its crop and the sum weighted by place."""
+
+    def summed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            data = np.array([np.frombuffer(c, "<f8").reshape(3, size, size) for c in batch.column("crop").to_pylist()]).astype(float)
+            data = data.reshape(-1, 3, size, size)
+            place = np.arange(size)
+            for c in range(3):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns[:-1], pa.array(np.full(batch.num_rows, c)),
+                        pa.array(data[:, c].sum((1, 2))), pa.array((data[:, c] * place[:, None] * place).sum((1, 2))),
+                    ],
+                    names=["frame", "view", "id", "bbox", "channel", "total", "placed"],
+                )
+
+    found = object_crops(packed_frames(spark, folder), ["frame", "view"], size, number="<f8").where("status = 'ok'")
+    objects_ = found.select("frame", "view", F.inline(F.arrays_zip("ids", "bbox", "mask", "crops"))).where("mask")
+    rows = objects_.select("frame", "view", F.col("ids").alias("id"), "bbox", F.col("crops").alias("crop"))
+    sums = rows.mapInArrow(summed, "frame bigint, view string, id int, bbox array<int>, channel bigint, total double, placed double")
+    box = [F.get("bbox", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(["xc", "yc", "h", "w"])]
+    return sums.select("frame", "view", "id", "channel", *box, F.round("total", 3).alias("total"), F.round("placed", 3).alias("placed"))
+
+
+@query("a20_packed_crops", crops_sql(32))
+def a20_packed(spark, folder):
+    return crop_sums(spark, folder, 32)
+
+
+@query("a20_shrunk_crops", crops_sql(4))
+def a20_shrunk(spark, folder):
+    return crop_sums(spark, folder, 4)
+
+
 @query(
     "m12_padded_slots",
     f"""WITH {SLOTS}, n AS (SELECT *, count(*) FILTER (mask) OVER (PARTITION BY frame) AS visible FROM slots)
-    SELECT frame, id, xc, yc, h, w, mask, row_number() OVER (PARTITION BY frame ORDER BY NOT mask, id) - 1 AS slot FROM n WHERE visible > 0""",
+    SELECT frame, id, xc, yc, h, w, mask, row_number() OVER (PARTITION BY frame ORDER BY NOT mask, id) - 1 AS slot,
+      CASE WHEN visible > 0 THEN 'ok' ELSE 'nothing visible' END AS status FROM n""",
 )
 def m12(spark, folder):
     return sc.pad_slots(slots(spark, folder), ["frame"])
