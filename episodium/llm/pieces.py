@@ -1,15 +1,15 @@
 """SentencePiece ids by a table of distinct marked words, and texts from ids.
 
 When no piece has a blank's mark after another character, no piece crosses the start of a marked
-word (blanks with what follows up to the next blank).  So each distinct marked word is segmented
-once, and a text's ids are those of its words in order.
-
-Texts are cut into words in blocks of bounded size.  A block numbers its own distinct words; its
-word table (word, place) is shuffled by word and sorted, so that equal words of all blocks stand
-together and are segmented once; the ids go back to the blocks, where each document's word
-numbers pick them by position.  What is shuffled is one row per distinct word of a block, and each
-document's numbers, compressed; no row's number of places grows with a word's frequency beyond one
-per block.
+word (blanks with what follows up to the next blank).  Nor does one cross two characters that no
+piece has side by side, so a marked word is cut there into parts.  Each distinct part is segmented
+once, and a text's ids are those of its parts in order.
+
+Texts are cut in blocks of bounded size.  A block numbers its own distinct parts; its part table
+(part, place) is shuffled by part and sorted, so that equal parts of all blocks stand together and
+are segmented once; the ids go back to the blocks, where each document's part numbers pick them by
+position.  What is shuffled is one row per distinct part of a block, and the documents' numbers,
+compressed; a part has one place per block, however frequent it is.
 """
 
 from __future__ import annotations
@@ -31,14 +31,23 @@ from episodium.llm.common import column, free_names
 MARK = "▁"
 #: A character in no piece; nothing merges with it, so what follows is segmented on its own.
 GUARD = "\n"
-#: Texts are cut into words in blocks of so many characters; a longer text is a block of its own.
+#: Texts are cut in blocks of so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 25
-#: A longer word is cut further, between characters that no piece has next to each other.
-LONG_WORD = 256
-#: A place is a block's number (partition and count) and a word's number within the block.
-BLOCK_BITS, WORD_BITS = 10, 30
+#: Part numbers are compressed and joined in runs of about so many words.
+RUN_WORDS = 1 << 18
+#: A place is a block's number (partition and count) and a part's number within the block.
+BLOCK_BITS, PART_BITS = 10, 30
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+_SUM = 0x7FFFFFFFFFFFFFFF
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class Model:
@@ -55,32 +64,40 @@ class Model:
             raise ValueError(f"{path} has pieces that cross the start of a marked word")
         if self.processor.normalize(" ﬁ  x ") != MARK.join(["", "", "ﬁ", "", "x", ""]):
             raise ValueError(f"{path} changes texts before it cuts them")
-        self.neighbours = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.guard_ids = len(self.processor.encode(GUARD))
-
-    def words(self, text: str) -> list[str]:
-        """The marked words of a text, in order; long ones in parts."""
+        # characters that are next to others in pieces, and which of them are next to which
+        pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        known = sorted({ord(c) for pair in pairs for c in pair})
+        self._class = np.zeros(0x110000, np.uint16)
+        self._class[known] = np.arange(1, len(known) + 1)
+        self._next = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for one, two in pairs:
+            self._next[self._class[ord(one)], self._class[ord(two)]] = True
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The marked words of a text, in order, each without its first mark."""
         if not text:
             return []
-        words = _WORDS.findall(MARK + text.replace(" ", MARK))
-        if len(text) > LONG_WORD and max(map(len, words)) > LONG_WORD:
-            words = [part for word in words for part in self.parts(word)]
-        return words
-
-    def parts(self, word: str) -> list[str]:
-        """A long word cut where no piece can reach across; others whole."""
-        if len(word) <= LONG_WORD:
-            return [word]
-        near, parts, start = self.neighbours, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in near:
-                parts.append(word[start:i])
-                start = i
-        return [*parts, word[start:]]
-
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
-        found = self.processor.encode([GUARD + w for w in words], num_threads=1)
+        if MARK in text or "  " in text or text[0] == " ":
+            return [word[1:] for word in _WORDS.findall(MARK + text.replace(" ", MARK))]
+        return text.split(" ")
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(parts of all words, number of parts of each word), words being without their first mark."""
+        joined = MARK + MARK.join(words)
+        kinds = self._class[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        cut = ~self._next[kinds[:-1], kinds[1:]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cut[ends[:-1] - 1] = True
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(kinds)]])
+        counts = np.diff(np.searchsorted(edges, ends), prepend=0)
+        places = edges.tolist()
+        return [joined[a:b] for a, b in zip(places, places[1:])], counts
+
+    def segment(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each part."""
+        found = self.processor.encode([GUARD + p for p in parts], num_threads=1)
         return [ids[self.guard_ids :] for ids in found]
 
 
@@ -90,66 +107,130 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def checksum(words: list[str], numbers: np.ndarray) -> int:
-    """A sum over a block's words and their numbers, in any order."""
-    marks = np.fromiter((crc32(w.encode()) for w in words), np.uint64, len(words))
-    return int((marks * (2 * numbers.astype(np.uint64) + np.uint64(1))).sum() & np.uint64(0x7FFFFFFFFFFFFFFF))
+def picked(which: np.ndarray, sizes: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that ``which`` names, one after the other; run i ends at ``ends[i]``."""
+    held = sizes[which]
+    starts = np.repeat(ends[which] - np.cumsum(held), held)
+    return flat[starts + np.arange(len(starts))]
+
+
+def checksum(parts: list[str], numbers: np.ndarray) -> int:
+    """A sum over parts and their numbers, in any order."""
+    return int((_marks(parts) * (2 * numbers.astype(np.uint64) + np.uint64(1))).sum()) & _SUM
+
+
+def _marks(parts: list[str]) -> np.ndarray:
+    return np.fromiter((crc32(p.encode()) for p in parts), np.uint64, len(parts))
 
 
-def _blocks(
-    batches: Iterator[pa.RecordBatch], cut: Model, block_chars: int
-) -> Iterator[tuple[int, dict[str, int], list, list[np.ndarray]]]:
-    """(block, number of each word, document ids, word numbers of each document), block by block."""
-    block, words, ids, numbers, held = TaskContext.get().partitionId() << BLOCK_BITS, {}, [], [], 0
-    beyond = block + (1 << BLOCK_BITS)
+class _Block:
+    """The documents of a block, as numbers of its words."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.held = number, 0
+        self.words, self.docs, self.numbers = Numbers(), [], []
+
+    def add(self, doc: int | None, text: str) -> None:
+        words = Model.words(text)
+        self.docs.append(doc)
+        self.numbers.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
+        self.held += len(text)
+
+    def cut(self, model_: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct parts, part numbers of all words, number of parts of each word)."""
+        if not self.words:
+            return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts, counts = model_.parts(list(self.words))
+        numbers = Numbers()
+        flat = np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts))
+        return list(numbers), flat, counts
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[_Block]:
+    first = TaskContext.get().partitionId() << BLOCK_BITS
+    block = _Block(first)
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py() or ""
-            if held and held + len(text) > block_chars:
-                yield block, words, ids, numbers
-                block, words, ids, numbers, held = block + 1, {}, [], [], 0
-                if block == beyond:
+            if block.held and block.held + len(text) > block_chars:
+                yield block
+                block = _Block(block.number + 1)
+                if block.number == first + (1 << BLOCK_BITS):
                     raise ValueError("one partition of docs holds too much text; repartition it")
-            number = words.setdefault
-            ids.append(doc)
-            numbers.append(np.array([number(w, len(words)) for w in cut.words(text)], np.uint32))
-            held += len(text)
-    if ids:
-        yield block, words, ids, numbers
+            block.add(doc, text)
+    if block.docs:
+        yield block
 
 
-def _word_table(path: str, block_chars: int):
+def _part_table(path: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, _, _ in _blocks(batches, model(path), block_chars):
-            names, first = list(words), block << WORD_BITS
-            for at in range(0, len(names), 1 << 16):
-                part = names[at : at + (1 << 16)]
-                places = np.arange(first + at, first + at + len(part), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(places)], names=["word", "place"])
+        for block in _blocks(batches, block_chars):
+            parts, first = block.cut(model(path))[0], block.number << PART_BITS
+            for at in range(0, len(parts), 1 << 16):
+                some = parts[at : at + (1 << 16)]
+                places = np.arange(first + at, first + at + len(some), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(places)], names=["part", "place"])
 
     return run
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by the planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+_NUMBERS = pa.schema(
+    [
+        ("block", pa.int64()), ("check", pa.int64()), ("docs", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int64())), ("numbers", pa.binary()),
+    ]
+)
+
+
 def _number_table(path: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, ids, numbers in _blocks(batches, model(path), block_chars):
-            check = checksum(list(words), np.arange(len(words)))
-            packed = [pa.compress(n.tobytes(), codec="zstd", asbytes=True) for n in numbers]
-            columns = {
-                "block": pa.array([block] * len(ids), pa.int64()),
-                "words": pa.array([check] * len(ids), pa.int64()),
-                "doc": pa.array(ids, pa.int64()),
-                "size": pa.array([len(n) for n in numbers], pa.int64()),
-                "numbers": pa.array(packed, pa.binary()),
-            }
-            for part in pa.table(columns).to_batches(max_chunksize=4096):
-                yield part
+        for block in _blocks(batches, block_chars):
+            parts, flat, counts = block.cut(model(path))
+            check, ends = checksum(parts, np.arange(len(parts))), np.cumsum(counts)
+            del parts
+            at = 0
+            while at < len(block.docs):
+                last, words = at, 0
+                while last < len(block.docs) and (last == at or words + len(block.numbers[last]) <= RUN_WORDS):
+                    words += len(block.numbers[last])
+                    last += 1
+                chosen = block.numbers[at:last]
+                sizes = [int(counts[n].sum()) for n in chosen]
+                numbers = picked(np.concatenate(chosen), counts, ends, flat)
+                row = [[block.number], [check], [block.docs[at:last]], [sizes], [_packed(numbers)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _NUMBERS)], schema=_NUMBERS)
+                at = last
 
     return run
 
 
+_SEGMENTED = pa.schema(
+    [("block", pa.int64()), ("check", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]
+)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Small numbers as bytes, in 16 bits each if they fit, else in 32."""
+    return values.astype("<u2" if not len(values) or values.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(packed, "<u2" if len(packed) == 2 * size else "<u4")
+
+
 def _segmented(path: str):
-    """Sorted (word, place) rows to (block, words, numbers, sizes, ids), each distinct word segmented once."""
+    """Sorted (part, place) rows to the ids of a block's parts, each distinct part segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, last, last_ids = model(path), None, []
@@ -157,72 +238,60 @@ def _segmented(path: str):
             if not batch.num_rows:
                 continue
             runs = pc.run_end_encode(batch.column(0), run_end_type=pa.int32())
-            names = runs.values.to_pylist()
-            known = names[0] == last
-            found = [last_ids] * known + cut.segment(names[1:] if known else names)
-            last, last_ids = names[-1], found[-1]
-            counts = np.diff(np.array(runs.run_ends), prepend=0)
-            of_row = np.repeat(np.arange(len(names)), counts)
-            marks = np.fromiter((crc32(w.encode()) for w in names), np.uint64, len(names))[of_row]
+            parts = runs.values.to_pylist()
+            known = parts[0] == last
+            found = [last_ids] * known + cut.segment(parts[1:] if known else parts)
+            last, last_ids = parts[-1], found[-1]
+            of_row = np.repeat(np.arange(len(parts)), np.diff(np.array(runs.run_ends), prepend=0))
             places = batch.column(1).to_numpy()
-            blocks, numbers = places >> WORD_BITS, places & ((1 << WORD_BITS) - 1)
-            checks = marks * (2 * numbers.astype(np.uint64) + np.uint64(1))
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            blocks, numbers = places >> PART_BITS, places & ((1 << PART_BITS) - 1)
+            checks = _marks(parts)[of_row] * (2 * numbers.astype(np.uint64) + np.uint64(1))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
             ends = np.cumsum(sizes)
             order = np.argsort(blocks, kind="stable")
-            cuts = np.flatnonzero(np.diff(blocks[order])) + 1
-            columns: list[list] = [[], [], [], [], []]
-            for rows in np.split(order, cuts):
+            columns: list[list] = [[] for _ in _SEGMENTED]
+            for rows in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
                 of = of_row[rows]
-                held = sizes[of]
-                starts = np.repeat(ends[of] - held - (np.cumsum(held) - held), held)
-                ids = flat[starts + np.arange(len(starts))]
                 values = (
                     int(blocks[rows[0]]),
-                    int(checks[rows].sum() & np.uint64(0x7FFFFFFFFFFFFFFF)),
-                    numbers[rows].astype(np.uint32).tobytes(),
-                    held.tobytes(),
-                    ids.tobytes(),
+                    int(checks[rows].sum()) & _SUM,
+                    numbers[rows].astype("<u4").tobytes(),
+                    _narrow(sizes[of]),
+                    _narrow(picked(of, sizes, ends, flat)),
                 )
-                for held_column, value in zip(columns, values):
-                    held_column.append(value)
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=["block", "words", "numbers", "sizes", "ids"]
-            )
+                for held, value in zip(columns, values):
+                    held.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTED)], schema=_SEGMENTED)
 
     return run
 
 
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
 def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The ids of a block's documents: ``left`` has their word numbers, ``right`` the words' ids."""
-
-    def whole(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not left.num_rows:
-        if right.num_rows:
-            raise RuntimeError("the rows of docs came in another order when they were read again; write them first")
-        return schema.empty_table()
-    numbers, sizes, flat = whole("numbers", np.uint32), whole("sizes", np.int32), whole("ids", np.int32)
-    check = sum(right.column("words").to_pylist()) & 0x7FFFFFFFFFFFFFFF
-    if set(left.column("words").to_pylist()) != {check}:
+    """The ids of a block's documents: ``left`` has their part numbers, ``right`` the parts' ids."""
+    check = sum(right.column("check").to_pylist()) & _SUM
+    if set(left.column("check").to_pylist()) != {check}:
         raise RuntimeError("the rows of docs came in another order when they were read again; write them first")
-    ends = np.cumsum(sizes, dtype=np.int64)
-    size_of, start_of = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
-    size_of[numbers], start_of[numbers] = sizes, ends - sizes
-    parts, totals = [], []
-    for n, packed in zip(left.column("size").to_pylist(), left.column("numbers").to_pylist()):
-        words = np.frombuffer(pa.decompress(packed, n * 4, codec="zstd"), np.uint32)
-        held = size_of[words]
-        starts = np.repeat(start_of[words] - (np.cumsum(held) - held), held)
-        parts.append(flat[starts + np.arange(len(starts))])
-        totals.append(len(starts))
-    offsets = np.concatenate([[0], np.cumsum(totals)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
-    return pa.table([left.column("doc").combine_chunks(), lists], schema=schema)
+    n = sum(map(len, right.column("numbers").to_pylist())) // 4
+    size_of, end_of, ids, held = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+    for numbers, counts, found in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))):
+        numbers = np.frombuffer(numbers, "<u4")
+        size_of[numbers] = sizes = _wide(counts, len(numbers)).astype(np.int64)
+        end_of[numbers] = held + np.cumsum(sizes)
+        held += int(sizes.sum())
+        ids.append(_wide(found, int(sizes.sum())).astype(np.int32))
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    batches = []
+    for docs, counts, packed in zip(*(left.column(c).to_pylist() for c in ("docs", "sizes", "numbers"))):
+        parts = _unpacked(packed, sum(counts))
+        lengths = np.concatenate([[0], np.cumsum(size_of[parts])])
+        offsets = lengths[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(picked(parts, size_of, end_of, flat)))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], schema=_ENCODED))
+    return pa.Table.from_batches(batches, schema=_ENCODED)
 
 
 def encode(
@@ -231,21 +300,23 @@ def encode(
     """(doc_id, ids array<int>) for every row: the ids that the model of the file gives its text.
 
     They are those of the library's ``encode`` without begin and end ids.  Null and empty texts have
-    none.  Repeated rows are encoded each; other columns are not read.  Texts of any length are cut
-    whole; a word longer than ``LONG_WORD`` is cut between characters that no piece has side by side.
-    The model must not change texts before it cuts them, and its pieces must not cross blanks.
+    none.  Repeated rows are encoded each; other columns are not read.  The model must not change
+    texts before it cuts them, and its pieces must not cross blanks.
 
     ``docs`` is read twice and must give its rows in the same order each time, as files and written
     tables do; else the job fails with a message, it does not mix up ids.
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc"), column(docs, text_col).alias("text"))
-    words = rows.mapInArrow(_word_table(path, block_chars), "word string, place long")
+    parts = rows.mapInArrow(_part_table(path, block_chars), "part string, place long")
     segmented = (
-        words.repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_segmented(path), "block long, words long, numbers binary, sizes binary, ids binary")
+        parts.repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_segmented(path), "block long, check long, numbers binary, sizes binary, ids binary")
+    )
+    numbers = rows.mapInArrow(
+        _number_table(path, block_chars), "block long, check long, docs array<long>, sizes array<long>, numbers binary"
     )
-    numbers = rows.mapInArrow(_number_table(path, block_chars), "block long, words long, doc long, size long, numbers binary")
+
     return (
         numbers.groupBy("block").cogroup(segmented.groupBy("block")).applyInArrow(_joined, "doc_id long, ids array<int>")
     )

@@ -146,9 +146,12 @@ def test_words_are_cut_where_no_piece_reaches():
     for size in (1, 5, 20, 300, 2000):
         for _ in range(200):
             text = "".join(draw.choice(letters) for _ in range(size))
-            assert [i for ids in cut.segment(cut.words(text)) for i in ids] == cut.processor.encode(text)
+            found, counts = cut.parts(cut.words(text))
+            assert "".join(found).replace(pieces.MARK, " ") == " " + text.replace(pieces.MARK, " ")
+            assert sum(counts) == len(found) and len(counts) == len(cut.words(text))
+            assert [i for ids in cut.segment(found) for i in ids] == cut.processor.encode(text)
     long_word = "".join(draw.choice("0123456789abcdef") for _ in range(100_000))
-    assert max(map(len, cut.words(long_word))) < 1000
+    assert max(map(len, cut.parts(cut.words(long_word))[0])) < 1000
 
 
 def test_pieces_in_many_blocks(spark):
