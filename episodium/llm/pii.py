@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodium.functions.text import let
 from episodium.llm.common import column
 
 ROUNDS = 8
@@ -23,8 +24,10 @@ LATIN_LOWER, LATIN_UPPER = "àáâãäåæçèéêëìíîïðñòóôõöøùú
 #: 400 years of the calendar are 146,097 days = 189 x 773; the first of them.
 DAYS_A, DAYS_B, FIRST_DAY = 189, 773, "1800-01-01"
 
-# The forms that are looked for; the first that fits at a place counts.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
+# The forms that are looked for; the first that fits at a place counts.  Each starts at
+# the beginning of a run of its characters only, and no group is repeated, so that a run of any
+# length is walked once and without recursion.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE_ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
 DATE_DOT = r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
@@ -58,18 +61,12 @@ def feistel_string(value: Column, key: str, kind: str, classes: list[str]) -> Co
     half = F.floor(F.length(value) / 2).cast("int")
 
     def turned(part: Column, other: Column, turn: Column) -> Column:
-        digest = _digest(key, kind, turn, other)
-        return F.array_join(
-            F.transform(
-                F.split(part, ""),
-                lambda c, i: _shifted(
-                    c,
-                    F.conv(F.substring(digest, ((i % 32) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int"),
-                    classes,
-                ),
-            ),
-            "",
-        )
+        def shifted(digest: Column) -> Column:
+            by = lambda i: F.conv(F.substring(digest, ((i % 32) * 4 + 1).cast("int"), F.lit(4)), 16, 10)
+            return F.array_join(F.transform(F.split(part, ""), lambda c, i: _shifted(c, by(i).cast("int"), classes)), "")
+
+        # one digest for a half, not one for each of its characters
+        return let(_digest(key, kind, turn, other), shifted)
 
     start = F.struct(
         F.substring(value, F.lit(1), half).alias("a"),
@@ -178,8 +175,11 @@ def pseudonym(found: Column, key: str) -> Column:
         return F.regexp_like(found, F.lit(f"^(?:{pattern})$"))
 
     at = F.call_function("locate", F.lit("@"), found)
-    local = F.substring(found, F.lit(1), at - 1)
+    # marks before the first letter or digit belong to the text, not to the address
+    lead = F.length(F.regexp_extract(found, "^[._%+-]*", 0))
+    local = F.substring(found, lead + 1, at - 1 - lead)
     email = F.concat(
+        F.substring(found, F.lit(1), lead),
         feistel_string(local, key, "email", [DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER]),
         F.substring(found, at, F.length(found)),
     )

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -27,7 +28,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the operators use inside, or return.
 CLASHES = (
     "key hit _hit _row _key point region label n id copy word bits shingle keep _keep kept n_lines "
-    "_quality _toxic _e_quality _host _path canonical found rule line pos"
+    "_quality _toxic _e_quality _host _path canonical found rule line pos n_dropped kept_text _lost "
+    "_rate_n_host _rate_n_path _rate_s_host__quality quality toxic"
 ).split()
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 8000
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
@@ -85,7 +87,10 @@ def test_exact_dedup(docs, empty):
 
 
 def test_line_dedup(docs, empty):
-    rows = line_dedup.drop_lines(docs.drop("n_lines")).collect()
+    whole = line_dedup.drop_lines(docs)
+    assert whole.columns == [*docs.columns, "_n_lines", "_n_dropped", "_kept_text"]
+    rows = whole.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                        F.col("_kept_text").alias("kept_text")).collect()
     assert len(rows) == len(TEXTS)
     by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
     assert (by_id[1]["n_dropped"], by_id[2]["n_dropped"], by_id[2]["kept_text"]) == (0, 1, "")
@@ -281,6 +286,55 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty, "key").count() == 0
 
 
+def test_judgement_equals_plain_posteriors(spark):
+    """The hierarchy over all documents, recomputed in plain Python from the same evidence."""
+    draw = random.Random(6)
+    texts = {i: " ".join(draw.choice(["good", "fine", "bad", "vile", "the", "of", f"w{i}"]) for _ in range(draw.choice([0, 3, 30]))) for i in range(400)}
+    sites = {i: (draw.choice(["a", "a", "a", "b", "c", None, f"s{i % 50}"]), draw.choice(["x", "y", None])) for i in texts}
+    docs = spark.createDataFrame([(i, t, *sites[i]) for i, t in texts.items()], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(
+        [(i, int("good" in t), int("vile" in t)) for i, t in texts.items() if i % 2], "doc_id long, quality int, toxic int"
+    )
+    evidence = quality.train(docs, labels).evidence(list(texts.values()))
+    assert np.abs(evidence).max() > 1
+    want = brute.posteriors([(*sites[i], *e) for i, e in zip(texts, evidence.tolist())])
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    for i, (good, bad) in zip(texts, want):
+        assert (got[i]["quality"], got[i]["toxic"]) == pytest.approx((good, bad), abs=2e-6)
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if r["keep"]} and 0 < len(kept) < len(texts)
+
+
+def test_pseudonyms_of_endless_runs(spark):
+    """Runs of a million characters or labels are walked once, and without recursion."""
+    n = 1_000_000
+    texts = [
+        "x@" + "a." * (n // 2), "a" * n, "x@" + "b" * n, "1" * n, "a." * (n // 2) + "@x.org", "f" * n, "x@y." * (n // 4),
+        "-" * n + "@", "+1 " * (n // 3), "joe@" + "label." * 3000 + "org, and ..joe@a.org.",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.pseudonymise(frame, "k").collect()}
+    assert time.monotonic() - start < 60
+    assert all(len(got[i]["text"]) == len(t) for i, t in enumerate(texts))
+    assert [got[i]["text"] == t for i, t in enumerate(texts[:4])] == [True] * 4
+    new = got[9]["text"]
+    joe = brute.feistel_string("joe", "k", "email", [pii.DIGITS, pii.LOWER, pii.UPPER, pii.LATIN_LOWER, pii.LATIN_UPPER])
+    assert new == f"{joe}@" + "label." * 3000 + f"org, and ..{joe}@a.org."
+
+
+def test_permutations_equal_plain_ones(spark):
+    draw = random.Random(8)
+    letters = pii.DIGITS + pii.LOWER + pii.UPPER + "àé-._"
+    values = ["".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 2, 7, 20, 70]))) for _ in range(60)]
+    classes = [pii.DIGITS, pii.LOWER, pii.UPPER, pii.LATIN_LOWER]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    got = frame.select("v", pii.feistel_string(F.col("v"), "k", "t", classes).alias("x")).collect()
+    assert all(r["x"] == brute.feistel_string(r["v"], "k", "t", classes) for r in got)
+    numbers = spark.range(300).select("id", pii.feistel_number(F.col("id"), "k", "t", 20, 15).alias("x")).collect()
+    assert all(r["x"] == brute.feistel_number(r["id"], "k", "t", 20, 15) for r in numbers)
+
+
 def test_permutations_are_bijections(spark):
     frame = spark.range(1000)
     digits = frame.select(pii.feistel_string(F.lpad("id", 3, "0"), "k", "t", [pii.DIGITS]).alias("x"))
