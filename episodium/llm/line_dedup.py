@@ -96,12 +96,16 @@ def keep_bitmaps(
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the columns n_lines, n_dropped and kept_text added.
 
+    A new column whose name ``docs`` has already gets an underscore in front.
+
     A key is a line without white space at its ends, A-Z in lower case.  Keys of at least
     ``MIN_LENGTH`` code points that two or more documents hold stay in the document with the
     smallest id only, there with all their lines.  Null and empty texts are one empty line.  A row
     without an id belongs to a document after all others; repeated rows of one id are one document.
     """
-    keep, lost, b_id, b_hash = free_names(docs, "_keep", "_lost", "_bid", "_bhash")
+    keep, lost, b_id, b_hash, *added = free_names(
+        docs, "_keep", "_lost", "_bid", "_bhash", "n_lines", "n_dropped", "kept_text"
+    )
     maps = keep_bitmaps(docs, id_col, text_col).select(
         F.col("id").alias(b_id),
         F.col("text_hash").alias(b_hash),
@@ -122,7 +126,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = F.coalesce(text, F.lit(""))
     return joined.select(
         *[column(docs, c) for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.col(lost), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col(lost).isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.size(lines).cast("long").alias(added[0]),
+        F.coalesce(F.col(lost), F.lit(0)).cast("long").alias(added[1]),
+        F.when(F.col(lost).isNull(), whole).otherwise(F.array_join(kept, "\n")).alias(added[2]),
     )

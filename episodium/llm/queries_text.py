@@ -120,7 +120,7 @@ FROM marked GROUP BY doc_id
 """,
 )
 def line_duplicates(spark, sf_dir):
-    rows = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    rows = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
