@@ -294,8 +294,8 @@ def judge(
     kept = list(docs.columns) if whole else [id_col]
     read = list(dict.fromkeys([*kept, text_col, host_col, path_col]))
     scored = with_evidence(docs.select(*[column(docs, c) for c in read]), text_col, classifier, evidence)
-    if not whole:
-        scored = settle(scored.drop(text_col), "evidence")
+    # texts are scored once; what follows reads the written scores
+    scored = settle(scored if whole else scored.drop(text_col), "evidence")
 
     def probability(e: str) -> Column:
         return 1 / (1 + F.exp(-F.col(e)))
@@ -306,10 +306,12 @@ def judge(
         *[probability(e).alias(h) for e, h in zip(evidence, heads)],
     )
     rates, strengths = site_rates(chances, heads)
+    sums = [c for c in rates.columns if c not in ("host", "path")]
+    rate = {c: F.col(n) for c, n in zip(sums, free_names(scored, *["_rate_" + c for c in sums]))}
     renamed = rates.select(
         F.col("host").alias(keys[0]),
         F.col("path").alias(keys[1]),
-        *[F.col(c).alias("_rate_" + c) for c in rates.columns if c not in ("host", "path")],
+        *[F.col(c).alias(n) for c, n in zip(sums, free_names(scored, *["_rate_" + c for c in sums]))],
     )
     joined = scored.join(
         renamed,
@@ -319,12 +321,8 @@ def judge(
     for e, h in zip(evidence, heads):
         mean, host_strength, path_strength = strengths[h]
         own = probability(e)
-        host = (F.col(f"_rate_s_host_{h}") - own + host_strength * mean) / (
-            F.col("_rate_n_host") - 1 + host_strength
-        )
-        path = (F.col(f"_rate_s_path_{h}") - own + path_strength * host) / (
-            F.col("_rate_n_path") - 1 + path_strength
-        )
+        host = (rate[f"s_host_{h}"] - own + host_strength * mean) / (rate["n_host"] - 1 + host_strength)
+        path = (rate[f"s_path_{h}"] - own + path_strength * host) / (rate["n_path"] - 1 + path_strength)
         posteriors.append(F.round(1 / (1 + F.exp(-(F.col(e) + _logit(path)))), 6))
     good, bad = posteriors
     return joined.select(
