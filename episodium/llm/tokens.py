@@ -47,15 +47,15 @@ def _slow_encoder(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ids(text: str, path: str) -> list[int]:
+def _ids(text: str, path: str) -> np.ndarray:
     try:
-        return encoder(path).encode(text, allowed_special="all")
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
     except ValueError:
         # a run of blanks too long for the pattern's stack
-        return _slow_encoder(path).encode(text, add_special_tokens=False).ids
+        return np.array(_slow_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encode(texts: Sequence[str | None], path: str, end_id: int | None) -> list[np.ndarray]:
     """The ids of each text as unsigned 32-bit numbers, followed by ``end_id``; null is empty."""
-    tail = [] if end_id is None else [end_id]
-    return [np.array(_ids(text or "", path) + tail, np.uint32) for text in texts]
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
+    return [np.concatenate([_ids(text or "", path), tail]) for text in texts]
