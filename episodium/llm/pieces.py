@@ -335,7 +335,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", name: str = "dec
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                texts = [processor.decode(ids or []) if ids else "" for ids in part.column(at).to_pylist()]
+                ids = part.column(at).flatten().to_numpy().tolist()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(at)), 0)).tolist()
+                spans = zip([0, *ends], ends)
+                texts = [processor.decode(ids[a:b]) if a < b else "" for a, b in spans]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name]
                 )
