@@ -11,11 +11,14 @@ from episodium import dims
 from episodium import vocabulary as V
 from episodium.functions import text as X
 from episodium.functions.keyed import hash_to_int, sql_hash, sql_int
+from episodium.operators import preprocess
 from episodium.operators import prompts as pr
 from episodium.operators import registry
 from episodium.operators import sequences as sq
+from episodium.operators.crops import object_crops
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
+from episodium.plans.scene_queries import LISTED, packed_frames
 from episodium.workspace import settle
 
 TEXTURES = ["red", "dark red", "blue", "dark blue stripe", "green and purple polka dot", "wooden"]
@@ -671,6 +674,69 @@ def m11(spark, folder):
     )
 
 
+# a step sees the frame of its supplier number, a prompt image that of its episode and place
+SEEN_FRAMES = f"""seen AS (SELECT frame, 'front' AS view, y, x, id FROM pixels UNION ALL SELECT frame, 'top', x, y, id FROM pixels),
+boxes AS (SELECT frame, view, id, (min(x) + max(x)) // 2 AS xc, (min(y) + max(y)) // 2 AS yc, max(y) - min(y) AS h, max(x) - min(x) AS w FROM seen
+  WHERE id IN ({", ".join(map(str, LISTED))}) GROUP BY ALL HAVING count(*) >= 2),
+frames AS (SELECT vec_id AS frame, coalesce(n, 0) AS visible, coalesce(sums, 0) AS sums, coalesce(views, 0) < 2 AS blind FROM embeddings
+  LEFT JOIN (SELECT frame, count(*) AS n, sum(xc + 2 * yc + 3 * h + 5 * w) AS sums, count(DISTINCT view) AS views FROM boxes GROUP BY frame) ON frame = vec_id)"""
+
+
+def _seen_sums(views, field):
+    """Over the views of a list of frames: how many objects are visible, or a weighted sum of their boxes."""
+    value = lambda v: F.aggregate(v["mask"], F.lit(0), lambda n, m: n + m.cast("int"))
+    if field == "bbox":
+        value = lambda v: F.aggregate(
+            v["bbox"], F.lit(0), lambda n, q: n + F.get(q, F.lit(0)) + F.get(q, F.lit(1)) * 2 + F.get(q, F.lit(2)) * 3 + F.get(q, F.lit(3)) * 5
+        )
+    one = lambda item: F.aggregate(F.transform(item["views"], value), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return F.aggregate(F.transform(views, one), F.lit(0), lambda n, x: n + x).cast("bigint")
+
+
+@query(
+    "m11_whole_instances",
+    f"""WITH {TYPES}, {b.STEPS}, {b.PIXELS}, {SEEN_FRAMES},
+    vocab AS (SELECT w, row_number() OVER (ORDER BY md5(w), w) - 1 AS word_id FROM types WHERE type = 0 GROUP BY w),
+    lined AS (SELECT idx, any_value(task) AS task, string_agg(CAST(type AS VARCHAR), '' ORDER BY pos) AS token_types,
+      string_agg(CAST(word_id AS VARCHAR), ',' ORDER BY pos) FILTER (type = 0) AS word_ids FROM types LEFT JOIN vocab USING (w) GROUP BY idx),
+    images AS (SELECT idx, count(*) AS n_images, sum(visible) AS image_objects, sum(sums) AS image_sums, bool_or(blind) AS blind
+      FROM types t JOIN frames f ON f.frame = (t.idx + t.pos) % 100 WHERE type = 1 GROUP BY idx),
+    obs AS (SELECT idx, count(*) AS n_obs, sum(visible) AS objects, sum(sums) AS sums, bool_or(blind) AS blind FROM steps JOIN frames ON frame = supp GROUP BY idx),
+    moves AS (SELECT idx, count(*) AS n_actions, round(sum((t + 1) * (0.25 + qty / 100.0e0)), 6) AS moved FROM steps GROUP BY idx)
+    SELECT l.idx, CAST(l.task AS INTEGER) AS task, token_types, coalesce(word_ids, '') AS word_ids, coalesce(n_images, 0) AS n_images, CAST(coalesce(image_objects, 0) AS BIGINT) AS image_objects,
+      CAST(coalesce(image_sums, 0) AS BIGINT) AS image_sums, coalesce(n_obs, 0) AS n_obs, CAST(coalesce(objects, 0) AS BIGINT) AS objects, CAST(coalesce(sums, 0) AS BIGINT) AS box_sums,
+      CASE WHEN n_obs > 0 THEN repeat(CASE WHEN l.task = 11 THEN '1' ELSE '0' END, CAST(n_obs AS INTEGER)) ELSE '' END AS effectors, coalesce(moved, 0) AS moved,
+      CASE WHEN coalesce(i.blind, false) OR coalesce(o.blind, false) THEN 'nothing visible' ELSE 'ok' END AS status
+    FROM lined l LEFT JOIN images i USING (idx) LEFT JOIN obs o USING (idx) LEFT JOIN moves m USING (idx)""",
+)
+def m11_whole(spark, folder):
+    types = prompt_types(spark, folder)
+    encoded = pr.encode(types, sq.vocabulary(types.where("type = 0").select("token")))
+    views = ["front", "top"]
+    crops = settle(object_crops(packed_frames(spark, folder), ["frame", "view"], 4), "crops")
+    steps = b.poses(spark, folder)
+    images = types.where("type = 1").select("idx", "pos", ((F.col("idx") + F.col("pos")) % 100).alias("frame"))
+    headers = prompts(spark, folder).select("idx", "task", F.when(F.col("task") == 11, "spatula").otherwise("suction").alias("end_effector"))
+    whole = preprocess.preprocess(
+        headers,
+        encoded,
+        preprocess.with_views(images, ["idx", "pos"], crops, views),
+        preprocess.with_views(steps.select("idx", "t", F.col("supp").alias("frame")), ["idx", "t"], crops, views),
+        steps,
+    )
+    text = lambda column, between: F.array_join(F.transform(column, lambda v: v.cast("string")), between)
+    moved = F.aggregate(
+        F.transform("actions.pose0_position", lambda p, i: F.get(p, F.lit(0)) * (i + 1)), F.lit(0.0), lambda n, x: n + x
+    )
+    return whole.select(
+        "idx", "task", text("token_types", "").alias("token_types"), text("word_ids", ",").alias("word_ids"),
+        F.size("images").cast("bigint").alias("n_images"), _seen_sums(F.col("images"), "mask").alias("image_objects"),
+        _seen_sums(F.col("images"), "bbox").alias("image_sums"), F.size("observations").cast("bigint").alias("n_obs"),
+        _seen_sums(F.col("observations"), "mask").alias("objects"), _seen_sums(F.col("observations"), "bbox").alias("box_sums"),
+        text(F.col("observations.ee"), "").alias("effectors"), F.round(moved, 6).alias("moved"), "status",
+    )
+
+
 @query(
     "w12_frame_prefixes",
     """SELECT o_orderkey AS idx, CASE o_custkey % 3 WHEN 0 THEN ' {frame1}' WHEN 1 THEN ' {frame1}| {frame1} {frame2}'
