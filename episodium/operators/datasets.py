@@ -311,3 +311,24 @@ def names_for_id(number: Column, ids: dict[str, int]) -> Column:
     for value, names in per_id.items():
         pairs += [F.lit(value), F.array(*[F.lit(n) for n in names])]
     return F.try_element_at(F.create_map(*pairs), number)
+
+
+# --- lookups by task ---------------------------------------------------------------------------------
+
+
+def task_group(task: Column) -> Column:
+    """The group of a task; NULL for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for item in dims.GROUP_OF_TASK.items() for x in item]), task)
+
+
+def evaluation_filter(rows: DataFrame, partitions: list[int] | None = None, tasks: list[int] | None = None) -> DataFrame:
+    """Rows of the given partitions and tasks; None stands for all."""
+    for name, wanted in (("partition", partitions), ("task", tasks)):
+        if wanted is not None:
+            rows = rows.where(F.col(name).isin(wanted))
+    return rows
+
+
+def task_parameters(asked: DataFrame, parameters: DataFrame, value: str) -> DataFrame:
+    """Rows with the parameters of their (partition, task), and ``missing`` where there are none."""
+    return asked.join(parameters, ["partition", "task"], "left").withColumn("missing", F.col(value).isNull())

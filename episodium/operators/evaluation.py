@@ -311,7 +311,7 @@ def worker_chunks(definitions: DataFrame, workers: int) -> DataFrame:
     before = W.orderBy("position").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("position", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     size = definitions.agg(F.ceil(F.count(F.lit(1)) / workers)).scalar()
-    return inside.join(F.broadcast(starts), "position").select(
+    return inside.join(starts, "position").select(
         *definitions.columns,
         F.floor((F.col("__start") + F.col("__in_task")) / size).alias("chunk"),
     )
@@ -352,3 +352,45 @@ def baseline_delta(values: DataFrame, runs: DataFrame, baselines: dict[str, str]
         .otherwise(F.lit("ok"))
         .alias("status"),
     )
+
+
+# --- summaries and evaluation sets ------------------------------------------------------------------------
+
+
+def max_seeds(rows: DataFrame) -> DataFrame:
+    """Largest seed per (task, split), per task, and of all rows."""
+    return rows.rollup("task", "split").agg(F.max("seed").alias("max_seed"))
+
+
+def generation_summary(episodes: DataFrame) -> DataFrame:
+    """Per task the number of episodes, their steps and seeds."""
+    return episodes.groupBy("task").agg(
+        F.count(F.lit(1)).alias("episodes"),
+        F.min("steps_taken").alias("min_steps"),
+        F.max("steps_taken").alias("max_steps"),
+        (F.sum("steps_taken") / F.count(F.lit(1))).alias("mean_steps"),
+        F.min("seed").alias("min_seed"),
+        F.max("seed").alias("max_seed"),
+    )
+
+
+def evaluation_set(pairs: DataFrame, instances: DataFrame) -> DataFrame:
+    """Every (partition, task) of the specification with its number of episodes, 0 included."""
+    counts = instances.groupBy("partition", "task").agg(F.count("idx").alias("episodes"))
+    return pairs.join(counts, ["partition", "task"], "left").select(
+        "partition", "task", F.coalesce("episodes", F.lit(0)).alias("episodes")
+    )
+
+
+def availability(asked: DataFrame, pairs: DataFrame, levels: list[int]) -> DataFrame:
+    """Per task the number of rows that ask for each level, and of those whose pair is not in ``pairs``."""
+    counts = asked.groupBy("task", "partition").agg(F.count(F.lit(1)).alias("n"))
+    checked = counts.join(pairs.withColumn("valid", F.lit(True)), ["partition", "task"], "left")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return checked.groupBy("task").agg(
+        *[total(F.col("partition") == level).alias(f"l{level}") for level in levels],
+        total(F.col("valid").isNull()).alias("invalid"),
+    )

@@ -41,7 +41,7 @@ def enrich(runs: DataFrame, models: DataFrame) -> DataFrame:
     model = F.when(trimmed == "", F.lit("Given")).otherwise(trimmed)
     return (
         runs.withColumn("model_id", model)
-        .join(F.broadcast(models), "model_id", "left")
+        .join(models, "model_id", "left")
         .withColumn("known", F.col("training_data").isNotNull())
     )
 
@@ -211,3 +211,8 @@ def pending_experiments(models: DataFrame, grid: dict[str, list[str]], done: Dat
     for name, values in grid.items():
         planned = planned.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return planned.join(done, [*models.columns, *grid], "left_anti")
+
+
+def hidden(mask: Column, off: Column) -> Column:
+    """A mask with all of it off where a modality is disabled."""
+    return F.transform(mask, lambda m: m & ~off)

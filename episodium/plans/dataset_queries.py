@@ -8,6 +8,7 @@ from episodium import dims
 from episodium.functions.arrays import lists_to_records
 from episodium.functions.keyed import sql_hash
 from episodium.operators import datasets as ds
+from episodium.operators.assets import object_metadata
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.sources import tables as io
@@ -39,11 +40,7 @@ def fingerprint_sql(*columns: str) -> str:
     FROM instances WHERE task_name IN ({QUOTED_NAMES})""",
 )
 def s1(spark, folder):
-    return (
-        b.instances(spark, folder)
-        .where(F.col("task_name").isin(WANTED_NAMES))
-        .select("idx", io.episode_path(F.col("task_name"), F.col("idx")).alias("path"))
-    )
+    return io.list_episodes(b.instances(spark, folder), WANTED_TASKS).select("idx", "path")
 
 
 @query(
@@ -75,15 +72,7 @@ def s3(spark, folder):
         "part",
         F.create_map(F.col("part"), info("noun"), -1 - F.col("part"), info("kind")).alias("objects"),
     )
-    as_list = F.transform(
-        F.map_entries("objects"),
-        lambda e: F.struct(
-            e["key"].alias("obj_id"),
-            e["value"]["obj_name"].alias("obj_name"),
-            e["value"]["brand"].alias("obj_asset_name"),
-            e["value"]["texture"].alias("texture_name"),
-        ),
-    )
+    as_list = object_metadata(F.col("objects"))
     return with_map.select(F.col("part").alias("idx"), F.explode(as_list).alias("o")).select("idx", "o.*")
 
 
@@ -571,11 +560,7 @@ def p2(spark, folder):
     f"WITH {b.INSTANCES} SELECT idx, partition, task FROM instances WHERE partition IN (1, 3) AND task IN (0, 11)",
 )
 def p5(spark, folder):
-    return (
-        b.instances(spark, folder)
-        .where(F.col("partition").isin(1, 3) & F.col("task").isin(0, 11))
-        .select("idx", "partition", "task")
-    )
+    return ds.evaluation_filter(b.instances(spark, folder), [1, 3], [0, 11]).select("idx", "partition", "task")
 
 
 @query(

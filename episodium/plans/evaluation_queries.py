@@ -91,12 +91,7 @@ def a6(spark, folder):
 )
 def a7(spark, folder):
     split = F.when(keyed_int(10, "split", "idx") == 0, "valid").otherwise("train")
-    return (
-        b.instances(spark, folder)
-        .withColumn("split", split)
-        .rollup("task", "split")
-        .agg(F.max("seed").alias("max_seed"))
-    )
+    return b.instances(spark, folder).withColumn("split", split).transform(ev.max_seeds)
 
 
 @query(
@@ -106,18 +101,7 @@ def a7(spark, folder):
       min(seed) AS min_seed, max(seed) AS max_seed FROM outcomes GROUP BY task""",
 )
 def a8(spark, folder):
-    return (
-        b.outcomes(spark, folder)
-        .groupBy("task")
-        .agg(
-            F.count(F.lit(1)).alias("episodes"),
-            F.min("steps_taken").alias("min_steps"),
-            F.max("steps_taken").alias("max_steps"),
-            (F.sum("steps_taken") / F.count(F.lit(1))).alias("mean_steps"),
-            F.min("seed").alias("min_seed"),
-            F.max("seed").alias("max_seed"),
-        )
-    )
+    return b.outcomes(spark, folder).transform(ev.generation_summary)
 
 
 @query(
@@ -281,13 +265,7 @@ def evaluation_pairs(spark):
     FROM pairs p LEFT JOIN instances i ON i.partition = p.partition AND i.task = p.task GROUP BY ALL""",
 )
 def l7(spark, folder):
-    counts = b.instances(spark, folder).groupBy("partition", "task").agg(
-        F.count("idx").alias("episodes")
-    )
-    pairs = evaluation_pairs(spark)
-    return pairs.join(counts, ["partition", "task"], "left").select(
-        "partition", "task", F.coalesce("episodes", F.lit(0)).alias("episodes")
-    )
+    return ev.evaluation_set(evaluation_pairs(spark), b.instances(spark, folder))
 
 
 # an episode with an even seed asks for level 4, which its task is not part of
@@ -305,18 +283,7 @@ _ASKED = "CASE WHEN seed % 2 = 0 THEN 4 ELSE partition END"
 )
 def l8(spark, folder):
     asked = b.instances(spark, folder).select("task", F.expr(_ASKED).alias("partition"))
-    counts = asked.groupBy("task", "partition").agg(F.count(F.lit(1)).alias("n"))
-    valid = evaluation_pairs(spark).withColumn("valid", F.lit(True))
-    checked = counts.join(F.broadcast(valid), ["partition", "task"], "left")
-    matrix = checked.groupBy("task").pivot("partition", [1, 2, 3, 4]).agg(F.sum("n"))
-    invalid = checked.groupBy("task").agg(
-        F.coalesce(F.sum(F.when(F.col("valid").isNull(), F.col("n"))), F.lit(0)).alias("invalid")
-    )
-    return matrix.join(invalid, "task").select(
-        "task",
-        *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"l{i}") for i in (1, 2, 3, 4)],
-        "invalid",
-    )
+    return ev.availability(asked, evaluation_pairs(spark), [1, 2, 3, 4])
 
 
 # task position: where the task stands among the five tasks in use

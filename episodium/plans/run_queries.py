@@ -135,10 +135,12 @@ def r3(spark, folder):
     return ru.with_labels(run_table(spark, folder)).select("run_id", "transform", "modality")
 
 
-@query("r4_run_names", f"WITH {NAMED} SELECT run_id, run_name FROM named WHERE run_name IS NOT NULL")
+STATUS = "CASE WHEN NOT known THEN 'unknown model' WHEN nameless THEN 'no name' ELSE 'ok' END AS status"
+
+
+@query("r4_run_names", f"WITH {NAMED} SELECT run_id, run_name, {STATUS} FROM named")
 def r4(spark, folder):
-    done = ru.backfill(run_table(spark, folder), ru.model_table(spark))
-    return done.where("run_name IS NOT NULL").select("run_id", "run_name")
+    return ru.backfill(run_table(spark, folder), ru.model_table(spark)).select("run_id", "run_name", "status")
 
 
 @query(
@@ -191,15 +193,15 @@ def r6_csv(spark, folder):
 
 @query(
     "r7_textual_runs",
-    f"""WITH {NAMED} SELECT run_id, run_name LIKE '%ObjText%' AS textual, CASE conditioning WHEN 'xattn' THEN 'Cross-Attn' ELSE 'Concatenate' END || ' + '
-      || CASE encoder WHEN 'patches' THEN 'Patches' ELSE 'Obj-Centric' END AS title FROM named WHERE run_name IS NOT NULL""",
+    f"""WITH {NAMED} SELECT run_id, run_name LIKE '%ObjText%' AS textual, CASE WHEN known THEN CASE conditioning WHEN 'xattn' THEN 'Cross-Attn' ELSE 'Concatenate' END || ' + '
+      || CASE encoder WHEN 'patches' THEN 'Patches' ELSE 'Obj-Centric' END END AS title, {STATUS} FROM named""",
 )
 def r7(spark, folder):
-    done = ru.backfill(run_table(spark, folder), ru.model_table(spark)).where("run_name IS NOT NULL")
-    return done.select(
+    return ru.backfill(run_table(spark, folder), ru.model_table(spark)).select(
         "run_id",
         ru.is_textual_run(F.col("run_name")).alias("textual"),
         ru.model_title(F.col("conditioning"), F.col("encoder")).alias("title"),
+        "status",
     )
 
 
@@ -280,14 +282,12 @@ def p3(spark, folder):
     SELECT task, {b.sql_lookup(dims.GROUP_OF_TASK, "task")} AS task_group, count(*) AS n, task = 99 AS missing FROM asked GROUP BY task""",
 )
 def p4(spark, folder):
-    groups = spark.createDataFrame(list(dims.GROUP_OF_TASK.items()), "task int, task_group int")
     asked = b.instances(spark, folder).select(
         F.when(F.col("seed") % 13 == 0, F.lit(99)).otherwise(F.col("task")).alias("task")
     )
     counts = asked.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(groups), "task", "left").withColumn(
-        "missing", F.col("task_group").isNull()
-    )
+    group = ds.task_group(F.col("task"))
+    return counts.select("task", group.alias("task_group"), "n", group.isNull().alias("missing"))
 
 
 @query(
@@ -303,11 +303,10 @@ def p13(spark, folder):
     visual_mask = F.when(F.col("role") == "assistant", F.array_repeat(F.lit(True), 6)).otherwise(
         F.array().cast("array<boolean>")
     )
-    hide = lambda mask, off: F.transform(mask, lambda m: m & ~off)
     on = lambda mask: F.size(F.filter(mask, lambda m: m))
     masked = b.table(spark, folder, "conversations").select(
         "conv_id", "turn", ru.modality_label(no_text, no_visual).alias("modality"),
-        hide(text_mask, no_text).alias("t"), hide(visual_mask, no_visual).alias("v"),
+        ru.hidden(text_mask, no_text).alias("t"), ru.hidden(visual_mask, no_visual).alias("v"),
     )
     return masked.select(
         "conv_id", "turn", "modality", on(F.col("t")).cast("bigint").alias("text_tokens"), on(F.col("v")).alias("visual_tokens")

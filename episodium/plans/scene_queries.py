@@ -11,10 +11,12 @@ from episodium.functions import pose as P
 from episodium.functions.arrays import lists_to_records, records_to_list
 from episodium.functions.keyed import sql_hash
 from episodium.operators import datasets as ds
+from episodium.operators import assets as at
 from episodium.operators import goals as go
 from episodium.operators import scene as sc
 from episodium.operators import sequences as sq
 from episodium.operators.crops import object_crops
+from episodium.operators.preprocess import end_effector_code
 from episodium.plans import bindings as b
 from episodium.plans.registry import query
 from episodium.workspace import settle
@@ -58,15 +60,7 @@ def p8(spark, folder):
 def p9(spark, folder):
     from episodium.plans.dataset_queries import scene_objects
 
-    assets = scene_objects(spark, folder).groupBy("idx").agg(
-        F.countDistinct("part").alias("descriptions"), F.min("description").alias("d")
-    )
-    single = F.col("descriptions") == 1
-    return assets.select(
-        "idx", "descriptions",
-        F.when(single, "object").otherwise("scene").alias("kind"),
-        F.when(single, F.col("d")).alias("description"),
-    )
+    return at.placeholder_class(scene_objects(spark, folder), "idx", "part", "description")
 
 
 @query(
@@ -81,7 +75,7 @@ def p10(spark, folder):
         F.create_map(F.lit("base_obj"), "description", F.lit("dragged_obj"), "brand").alias("assets"),
         F.when(F.col("size") % 3 == 0, "base_obj").when(F.col("size") % 3 == 1, "{dragged_obj}").otherwise("scene").alias("name"),
     )
-    asset = F.try_element_at("assets", F.regexp_replace("name", r"[{}]", ""))
+    asset = at.asset_named(F.col("assets"), F.col("name"))
     return asked.select("part", "name", asset.alias("asset"), asset.isNull().alias("missing"))
 
 
@@ -95,15 +89,8 @@ def p11(spark, folder):
     raw = F.struct(F.col("noun").alias("name"), F.col("texture").alias("texture"))
     with_suffix = lambda s: F.struct(F.concat("noun", F.lit(s)).alias("name"), F.col("texture").alias("texture"))
     is_object = F.col("kind").isin("PROMO", "SMALL")
-    typed = b.parts(spark, folder).select(
-        "part",
-        is_object.alias("is_object"),
-        F.when(is_object, F.array(raw)).otherwise(F.array(raw, with_suffix(" lid"), with_suffix(" base"))).alias("d"),
-    )
-    return typed.select(
-        "part", "is_object", F.size("d").alias("descriptions"),
-        F.array_join(F.transform("d", lambda x: x["name"]), ",").alias("names"),
-    )
+    descriptions = F.when(is_object, F.array(raw)).otherwise(F.array(raw, with_suffix(" lid"), with_suffix(" base")))
+    return b.parts(spark, folder).select("part", at.typed_asset(descriptions).alias("a")).select("part", "a.*")
 
 
 @query(
@@ -118,11 +105,10 @@ def p14(spark, folder):
         (F.col("l_linenumber") * 3).cast("bigint").alias("x0"), (F.col("l_suppkey") % 17).alias("y0"),
         F.col("l_quantity").cast("bigint").alias("w"), (F.col("l_partkey") % 23).alias("h"),
     )
-    x1, y1 = F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
-    return box.select(
-        "idx", "part", "supp", x1.alias("x1"), y1.alias("y1"),
-        F.floor((F.col("x0") + x1) / 2).alias("xc"), F.floor((F.col("y0") + y1) / 2).alias("yc"), "h", "w",
-    )
+    x0, y0 = F.col("x0"), F.col("y0")
+    x1, y1 = at.corners(x0, y0, F.col("w"), F.col("h"))
+    xc, yc = at.centre(x0, y0, x1, y1)
+    return box.select("idx", "part", "supp", x1.alias("x1"), y1.alias("y1"), xc.alias("xc"), yc.alias("yc"), "h", "w")
 
 
 @query(
@@ -198,23 +184,11 @@ def p18(spark, folder):
     UNION ALL SELECT part, 'texture', texture, NULL, NULL, NULL, retail, 'difficulty,size' FROM kinds WHERE NOT is_object""",
 )
 def p20(spark, folder):
-    meta = F.map_filter(
-        F.create_map(
-            F.lit("difficulty"), F.lit("easy"), F.lit("sample_prob"), F.lit("0.5"), F.lit("size"), F.col("size").cast("string")
-        ),
-        lambda k, _: k != "sample_prob",
-    )
-    rows = b.parts(spark, folder).withColumn("meta_keys", F.array_join(F.array_sort(F.map_keys(meta)), ","))
-    is_object = F.col("kind").isin("PROMO", "SMALL", "MEDIUM")
-    objects = rows.where(is_object).select(
-        "part", F.lit("object").alias("record"), F.col("noun").alias("name"), F.col("part").alias("obj_id"),
-        F.col("texture").alias("color"), (F.col("size").cast("double") / 10).alias("scaling"), "meta_keys",
-    )
-    textures = rows.where(~is_object).select(
-        "part", F.lit("texture").alias("record"), F.col("texture").alias("name"),
-        F.col("retail").alias("color_value"), "meta_keys",
-    )
-    return ds.diagonal_concat([objects, textures])
+    meta = F.create_map(
+        F.lit("difficulty"), F.lit("easy"), F.lit("sample_prob"), F.lit("0.5"), F.lit("size"), F.col("size").cast("string")
+    )
+    rows = b.parts(spark, folder).withColumn("meta", meta).withColumnRenamed("retail", "value")
+    return at.placeholder_records(rows, F.col("kind").isin("PROMO", "SMALL", "MEDIUM"), "part")
 
 
 @query(
@@ -227,13 +201,9 @@ def p21(spark, folder):
         F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("line"),
         F.when(F.col("l_returnflag") == "R", "front").otherwise("top").alias("view"),
     )
-    images = items.groupBy("idx", "line").agg(
-        F.count_if(F.col("view") == "front").alias("front_objects"), F.count(F.lit(1)).alias("objects")
-    )
+    images = at.objects_by_view(items, ["idx", "line"], ["front"])
     effector = F.when(F.col("task") == 11, "spatula").otherwise("suction")
-    effectors = b.instances(spark, folder).select(
-        "idx", b.lookup(dims.END_EFFECTORS, effector).alias("end_effector")
-    )
+    effectors = b.instances(spark, folder).select("idx", end_effector_code(effector).alias("end_effector"))
     return images.join(effectors, "idx")
 
 
@@ -430,9 +400,7 @@ def j12(spark, folder):
     asked = b.instances(spark, folder).select(
         "idx", "task", F.when(F.col("seed") % 2 == 0, F.lit(4)).otherwise(F.col("partition")).alias("partition")
     )
-    return asked.join(F.broadcast(params), ["partition", "task"], "left").withColumn(
-        "missing", F.col("difficulty").isNull()
-    )
+    return ds.task_parameters(asked, params, "difficulty")
 
 
 ZONE_COLUMNS = {
@@ -548,24 +516,24 @@ def a16_exclusive(spark, folder):
 
 GOALS = f"""{CONFLICTS}, goals AS (SELECT o.idx, o.t AS k, o.flag = 'N' AS oracle_only, o.p1x * 1.02e0 AS x, o.p1y AS y, g.x AS base_x, g.y AS base_y,
   EXISTS (SELECT 1 FROM pairs p WHERE p.idx = o.idx AND p.t = o.t) AS done
-  FROM objects o JOIN targets g ON g.idx = o.idx AND g.k = o.t)"""
+  FROM objects o JOIN targets g ON g.idx = o.idx AND g.k = o.t % {TARGETS_PER_EPISODE})"""
 
 
 def goals(stored, target_poses):
-    """Goals of an episode: its first steps, each with the target of the same number."""
-    moving = stored.where(F.col("t") < TARGETS_PER_EPISODE).select(
-        "idx", F.col("t").alias("k"), (F.col("flag") == "N").alias("oracle_only"),
+    """Goals of an episode: all its steps, which take the targets in turn."""
+    moving = stored.select(
+        "idx", F.col("t").alias("k"), (F.col("t") % TARGETS_PER_EPISODE).alias("turn"), (F.col("flag") == "N").alias("oracle_only"),
         (F.col("p1x") * 1.02).alias("x"), F.col("p1y").alias("y"),
     )
     base = target_poses.select(
-        "idx", F.col("k").cast("bigint").alias("k"), F.col("x").alias("base_x"), F.col("y").alias("base_y")
+        "idx", F.col("k").cast("bigint").alias("turn"), F.col("x").alias("base_x"), F.col("y").alias("base_y")
     )
     done = (
         sc.pose_matches(stored, target_poses, ["idx"], "left_semi")
         .select("idx", F.col("t").alias("k"))
         .withColumn("done", F.lit(True))
     )
-    return moving.join(base, ["idx", "k"]).join(done, ["idx", "k"], "left").withColumn(
+    return moving.join(base, ["idx", "turn"]).drop("turn").join(done, ["idx", "k"], "left").withColumn(
         "done", F.coalesce("done", F.lit(False))
     )
 
@@ -911,8 +879,8 @@ def m17(spark, folder):
     sizes = F.array(F.col("size").cast("double"), F.col("retail"), F.lit(2.0))
     rows = b.parts(spark, folder).select(
         "part",
-        F.transform(sizes, lambda s: s * 0.5).alias("u"),
-        F.zip_with(F.array(F.lit(0.5), F.lit(2.0), F.lit(1.5)), sizes, lambda a, s: a * s).alias("a"),
+        at.scaled(sizes, 0.5).alias("u"),
+        at.scaled(sizes, [0.5, 2.0, 1.5]).alias("a"),
     )
     return rows.select(
         "part", F.col("u")[0].alias("uniform_x"), F.col("u")[1].alias("uniform_y"),

@@ -9,6 +9,7 @@ from episodium.functions import nested
 from episodium.functions.arrays import pad_to
 from episodium.operators import datasets as ds
 from episodium.operators import sequences as sq
+from episodium.operators.preprocess import end_effector_code
 from episodium.plans import bindings as b
 from episodium.plans.dataset_queries import BATCHES, batches
 from episodium.plans.registry import query
@@ -200,5 +201,5 @@ def m9(spark, folder):
 )
 def m10(spark, folder):
     effector = F.when(F.col("task") == 11, "spatula").otherwise("suction")
-    codes = b.instances(spark, folder).select("idx", b.lookup(dims.END_EFFECTORS, effector).alias("code"))
+    codes = b.instances(spark, folder).select("idx", end_effector_code(effector).alias("code"))
     return b.steps(spark, folder).select("idx", "t").join(codes, "idx")

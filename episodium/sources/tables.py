@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodium import dims
 from episodium.functions.keyed import hash_to_int
 from episodium.functions.ranking import contiguous_share, sliced_index
 from episodium.workspace import settle
@@ -30,6 +31,15 @@ def episode_path(task_name: Column, idx: Column) -> Column:
     return F.concat(task_name, F.lit("/"), F.format_string("%06d", idx))
 
 
+def list_episodes(episodes: DataFrame, tasks: list[str] | None = None) -> DataFrame:
+    """Episodes (task_name, idx) with their ``path``; a task is also listed under its old names."""
+    if tasks is not None:
+        wanted = {dims.TASK_IDS_BY_ANY_NAME[t] for t in tasks}
+        names = sorted(name for name, number in dims.TASK_IDS_BY_ANY_NAME.items() if number in wanted)
+        episodes = episodes.where(F.col("task_name").isin(names))
+    return episodes.withColumn("path", episode_path(F.col("task_name"), F.col("idx")))
+
+
 def config_name(variant: Column, stage: Column, task_name: Column) -> Column:
     """``variant/stage--task``."""
     return F.concat(variant, F.lit("/"), F.concat_ws("--", stage, task_name))
