@@ -618,6 +618,17 @@ def l5(spark, folder):
     return batches(spark, folder)
 
 
+@query(
+    "l5_length_sorted_batches",
+    """WITH n AS (SELECT l_orderkey AS idx, count(*) AS n_steps FROM lineitem GROUP BY l_orderkey),
+    i AS (SELECT *, row_number() OVER (ORDER BY n_steps, idx) - 1 AS i FROM n) SELECT idx, n_steps, i // 32 AS batch, i % 32 AS slot FROM i""",
+)
+def l5_sorted(spark, folder):
+    items = b.table(spark, folder, "lineitem")
+    lengths = items.groupBy(F.col("l_orderkey").alias("idx")).agg(F.count(F.lit(1)).alias("n_steps"))
+    return ds.length_sorted_batches(lengths, "idx", "n_steps", 32)
+
+
 @query(
     "l6_diagonal_concat",
     """SELECT 'customer' AS source, c_custkey AS key, c_nationkey AS nation, c_mktsegment AS segment, c_acctbal AS amount FROM customer
