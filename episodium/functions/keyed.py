@@ -15,6 +15,12 @@ def keyed_hash(seed: object, *key: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def long_hash(seed: object, *key: Column | str) -> Column:
+    """A hex digest of 64 digits of the seed and the key columns, for callers that cut it in slices."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in key]
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
+
+
 def hash_to_int(digest: Column, start: int | Column = 1, digits: int | Column = 8) -> Column:
     """The integer that ``digits`` hex digits of a digest spell."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
@@ -36,6 +42,12 @@ def sql_hash(seed: object, *key: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {parts}))"
 
 
+def sql_long_hash(seed: object, *key: str) -> str:
+    """The digest of :func:`long_hash` as SQL text."""
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"sha256(concat_ws('|', '{seed}', {parts}))"
+
+
 def sql_int(n: object, seed: object, *key: str) -> str:
     """The choice of :func:`keyed_int` as SQL text."""
     return f"(('0x' || substr({sql_hash(seed, *key)}, 1, 8))::BIGINT % {n})"

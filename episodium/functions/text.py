@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from episodium.functions.keyed import keyed_hash, keyed_int
+from episodium.functions.keyed import keyed_int, long_hash
 
 NOT_LETTERS = "0123456789+/="  # what base 64 has besides the 52 letters
 
@@ -147,22 +147,43 @@ def only_expected_slots(prompt: Column, required: Column) -> Column:
     )
 
 
-def nonsense_word(length: Column, seed: object, *key: Column) -> Column:
-    """Keyed letters, as many as the word has.
+def letter_stream(length: Column, seed: object, *key: Column) -> Column:
+    """As many keyed letters as wanted: those of digests in base 64, one digest for 32 letters.
 
-    The letters are those of a digest in base 64; a digest holds about 18, one is taken per eight
-    letters wanted.
+    A digest holds some 36; if they are fewer than wanted in all, they repeat.
     """
+    blocks = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
     letters = F.array_join(
         F.transform(
-            F.sequence(F.lit(0), F.floor(length / 8).cast("int")),
-            lambda block: F.translate(
-                F.base64(F.unhex(keyed_hash(seed, *key, block))), NOT_LETTERS, ""
-            ),
+            blocks, lambda block: F.translate(F.base64(F.unhex(long_hash(seed, *key, block))), NOT_LETTERS, "")
         ),
         "",
     )
-    return F.when(length > 0, let(letters, lambda x: F.rpad(x, length, x))).otherwise(F.lit(""))
+    return let(letters, lambda x: F.rpad(x, length, x))
+
+
+def nonsense(items: Column, plain, seed: object, *key: Column) -> Column:
+    """Words of which the ``plain`` ones become keyed letters, as many as they have.
+
+    A row's letters are one stream, which its words take in order.
+    """
+    sizes = F.transform(items, lambda w: F.when(plain(w), F.length(w)).otherwise(0))
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
+
+    def placed(lengths: Column) -> Column:
+        return F.aggregate(
+            lengths, start, lambda s, n: F.struct(F.concat(s["at"], F.array(s["n"])).alias("at"), (s["n"] + n).alias("n"))
+        )
+
+    def written(places: Column, stream: Column) -> Column:
+        return F.transform(
+            items,
+            lambda w, i: F.when(plain(w), F.substring(stream, F.get(places["at"], i) + 1, F.length(w))).otherwise(w),
+        )
+
+    return let(
+        sizes, lambda n: let(placed(n), lambda p: let(letter_stream(p["n"], seed, *key), lambda letters: written(p, letters)))
+    )
 
 
 def shuffle_unlocked(items: Column, unlocked, seed: object, *key: Column) -> Column:
@@ -180,13 +201,20 @@ def shuffle_unlocked(items: Column, unlocked, seed: object, *key: Column) -> Col
         )
 
     def in_order(free: Column) -> Column:
-        return F.array_sort(
-            F.transform(
-                free,
-                lambda p: F.struct(
-                    keyed_hash(seed, *key, p["i"]).alias("h"), p["i"].alias("i"), p["w"].alias("w")
-                ),
-            )
+        # a slice of a digest for each place, so that a digest serves 16 of them
+        blocks = F.sequence(F.lit(0), F.floor(F.size(items) / 16).cast("int"))
+        digests = F.transform(blocks, lambda block: long_hash(seed, *key, block))
+
+        def of(place: Column, known: Column) -> Column:
+            return F.substring(F.get(known, F.floor(place / 16).cast("int")), place % 16 * 4 + 1, F.lit(4))
+
+        return let(
+            digests,
+            lambda known: F.array_sort(
+                F.transform(
+                    free, lambda p: F.struct(of(p["i"], known).alias("h"), p["i"].alias("i"), p["w"].alias("w"))
+                )
+            ),
         )
 
     numbered = F.transform(items, lambda w, i: F.struct(i.alias("i"), w.alias("w")))

@@ -443,10 +443,7 @@ def nonsense_words(seed: object) -> Transform:
 
     def run(rows: DataFrame) -> DataFrame:
         key = F.col("idx")
-        scrambled = F.transform(
-            X.words(F.col("prompt")),
-            lambda w, i: F.when(is_plain(w), X.nonsense_word(F.length(w), seed, key, i)).otherwise(w),
-        )
+        scrambled = X.let(X.words(F.col("prompt")), lambda words: X.nonsense(words, is_plain, seed, key))
         return (
             rows.withColumn("__w", scrambled)
             .withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from episodium import dims
 from episodium import vocabulary as V
 from episodium.functions import text as X
-from episodium.functions.keyed import hash_to_int, sql_hash, sql_int
+from episodium.functions.keyed import hash_to_int, sql_hash, sql_int, sql_long_hash
 from episodium.operators import preprocess
 from episodium.operators import prompts as pr
 from episodium.operators import registry
@@ -334,14 +334,22 @@ def t8(spark, folder):
 
 # --- nonsense ------------------------------------------------------------------------------------
 
-LETTERS_OF = f"regexp_replace(base64(unhex({sql_hash('gdg', 'idx', 'pos', 'j')})), '[^A-Za-z]', '', 'g')"
+LETTERS_OF = f"regexp_replace(base64(unhex({sql_long_hash('gdg', 'idx', 'j')})), '[^A-Za-z]', '', 'g')"
+
+
+def turn_sql(seed: str, place: str) -> str:
+    """The slice of a digest that orders a place among its row's, as SQL text."""
+    return f"substr({sql_long_hash(seed, 'idx', f'{place} // 16')}, CAST(1 + 4 * ({place} % 16) AS INTEGER), 4)"
+
+
 NONSENSE = f"""{PROMPTS}, split AS (SELECT idx, unnest(string_split(prompt, ' ')) AS w, unnest(range(0, len(string_split(prompt, ' ')))) AS pos FROM prompts),
-blocks AS (SELECT idx, pos, length(w) AS n, unnest(range(0, length(w) // 8 + 1)) AS j FROM split WHERE NOT starts_with(w, '{{') AND length(w) > 0),
-letters AS (SELECT idx, pos, any_value(n) AS n, string_agg({LETTERS_OF}, '' ORDER BY j) AS l FROM blocks GROUP BY idx, pos),
-scrambled AS (SELECT idx, pos, rpad(l, CAST(n AS INTEGER), l) AS w FROM letters),
-unlocked AS (SELECT s.idx, s.pos, coalesce(x.w, '') AS w, row_number() OVER (PARTITION BY s.idx ORDER BY s.pos) AS place,
-  row_number() OVER (PARTITION BY s.idx ORDER BY {sql_hash("gdg-order", "s.idx", "s.pos")}, s.pos) AS turn
-  FROM split s LEFT JOIN scrambled x ON x.idx = s.idx AND x.pos = s.pos WHERE NOT starts_with(s.w, '{{')),
+plain AS (SELECT *, CAST(coalesce(sum(length(w)) OVER (PARTITION BY idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS begins,
+  CAST(sum(length(w)) OVER (PARTITION BY idx) AS INTEGER) AS total FROM split WHERE NOT starts_with(w, '{{')),
+blocks AS (SELECT idx, total, unnest(range(0, total // 32 + 1)) AS j FROM (SELECT DISTINCT idx, total FROM plain)),
+streams AS (SELECT idx, string_agg({LETTERS_OF}, '' ORDER BY j) AS l FROM blocks GROUP BY idx),
+scrambled AS (SELECT p.idx, p.pos, substr(rpad(l, total, l), begins + 1, length(w)) AS w FROM plain p JOIN streams USING (idx)),
+unlocked AS (SELECT idx, pos, w, row_number() OVER (PARTITION BY idx ORDER BY pos) AS place,
+  row_number() OVER (PARTITION BY idx ORDER BY {turn_sql("gdg-order", "pos")}, pos) AS turn FROM scrambled),
 moved AS (SELECT a.idx, a.pos, o.w FROM unlocked a JOIN unlocked o ON o.idx = a.idx AND o.turn = a.place),
 nonsense AS (SELECT s.idx, string_agg(coalesce(m.w, s.w), ' ' ORDER BY s.pos) AS prompt FROM split s LEFT JOIN moved m USING (idx, pos) GROUP BY s.idx)"""
 
@@ -432,7 +440,7 @@ NEW_TOKENS = f"""{TOKENS}, sized AS (SELECT count(*) AS size FROM vocab),
 redrawn AS (SELECT idx, word_no, special, piece_no, CASE WHEN special OR token = '' THEN token ELSE
     (SELECT v.token FROM vocab v WHERE v.token_id = ('0x' || substr({sql_hash("tok", "idx", "word_no", "piece_no")}, 1, 8))::BIGINT % (SELECT size FROM sized)) END AS token FROM tokens),
 new_words AS (SELECT idx, word_no, bool_or(special) AS special, string_agg(token, '' ORDER BY piece_no) AS w FROM redrawn GROUP BY idx, word_no),
-unlocked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY word_no) AS place, row_number() OVER (PARTITION BY idx ORDER BY {sql_hash("tok-order", "idx", "word_no")}, word_no) AS turn FROM new_words WHERE NOT special),
+unlocked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY word_no) AS place, row_number() OVER (PARTITION BY idx ORDER BY {turn_sql("tok-order", "word_no")}, word_no) AS turn FROM new_words WHERE NOT special),
 moved AS (SELECT a.idx, a.word_no, o.w FROM unlocked a JOIN unlocked o ON o.idx = a.idx AND o.turn = a.place),
 nonsense AS (SELECT s.idx, string_agg(coalesce(m.w, s.w), ' ' ORDER BY s.word_no) AS prompt FROM new_words s LEFT JOIN moved m USING (idx, word_no) GROUP BY s.idx)"""
 
