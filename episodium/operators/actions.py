@@ -123,14 +123,18 @@ def exact_match(losses: DataFrame) -> DataFrame:
 
 
 def decode_actions(logits: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Greedy tokens per step, cut into the pose parts; a step is at most 14 axes long."""
+    """Greedy tokens per step, cut into the pose parts; a step is at most 14 axes long.
+
+    A step that lacks an axis, or has one too many, keeps its row: without parts, and ``status`` says so.
+    """
     tokens = F.transform(
         F.sort_array(F.collect_list(F.struct("axis", argmax(F.col("logits")).alias("token")))),
         lambda p: p["token"],
     )
     steps = logits.groupBy("step").agg(tokens.alias("tokens"))
+    whole = F.size("tokens") == sum(sizes.values())
     parts, start = [], 1
     for name, size in sizes.items():
-        parts.append(F.slice("tokens", start, size).alias(name))
+        parts.append(F.when(whole, F.slice("tokens", start, size)).alias(name))
         start += size
-    return steps.where(F.size("tokens") == start - 1).select("step", *parts)
+    return steps.select("step", *parts, F.when(whole, F.lit("ok")).otherwise(F.lit("axes missing")).alias("status"))

@@ -117,9 +117,12 @@ def written(template: Column, value) -> Column:
 
 
 def generate(rows: DataFrame, sets: Column, assets: Column, seed: object) -> DataFrame:
-    """Prompts from a keyed template, keyed slot words and given asset expressions."""
+    """Prompts from a keyed template, keyed slot words and given asset expressions.
+
+    A row whose task has no template keeps a NULL prompt.
+    """
     key = F.col("idx")
-    chosen = rows.where(sets.isNotNull()).withColumn("__no", keyed_number(sets, seed, key))
+    chosen = rows.withColumn("__no", keyed_number(sets, seed, key))
     text = X.let(
         assets,
         lambda known: written(

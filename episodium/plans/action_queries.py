@@ -98,14 +98,15 @@ PARTS = {"pose0_position": 3, "pose0_rotation": 4, "pose1_position": 3, "pose1_r
 @query(
     "m7_decoded_actions",
     f"""WITH {b.LOGITS}, best AS (SELECT step, axis, list_position(logits, list_max(logits)) - 1 AS token FROM logits),
-    s AS (SELECT step, list(token ORDER BY axis) AS k FROM best GROUP BY step HAVING count(*) = 14)
-    SELECT step, array_to_string(k[1:3], ',') AS pose0_position, array_to_string(k[4:7], ',') AS pose0_rotation,
-      array_to_string(k[8:10], ',') AS pose1_position, array_to_string(k[11:14], ',') AS pose1_rotation FROM s""",
+    s AS (SELECT step, list(token ORDER BY axis) AS k FROM best GROUP BY step)
+    SELECT step, CASE WHEN len(k) = 14 THEN 'ok' ELSE 'axes missing' END AS status,
+      CASE WHEN len(k) = 14 THEN array_to_string(k[1:3], ',') END AS pose0_position, CASE WHEN len(k) = 14 THEN array_to_string(k[4:7], ',') END AS pose0_rotation,
+      CASE WHEN len(k) = 14 THEN array_to_string(k[8:10], ',') END AS pose1_position, CASE WHEN len(k) = 14 THEN array_to_string(k[11:14], ',') END AS pose1_rotation FROM s""",
 )
 def m7(spark, folder):
     decoded = ac.decode_actions(b.logits(spark, folder), PARTS)
     return decoded.select(
-        "step", *[F.array_join(F.transform(p, lambda v: v.cast("string")), ",").alias(p) for p in PARTS]
+        "step", "status", *[F.array_join(F.transform(p, lambda v: v.cast("string")), ",").alias(p) for p in PARTS]
     )
 
 
