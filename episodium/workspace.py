@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
+#: Folders that this process made and did not remove, in order.
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,14 +33,16 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path under the shared folder that no other job uses."""
-    return f"{shared_root(spark)}/episodium/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/episodium/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def settle(rows: DataFrame, purpose: str = "settled") -> DataFrame:
     """The rows as a written table, for results that several steps read.
 
     Cuts the lineage; a lost executor costs a re-read, not a recomputation.  The folder may go once
-    the job that asked for it is done.
+    the job that asked for it is done, see :func:`step`.
     """
     path = new_folder(rows.sparkSession, purpose)
     rows.write.parquet(path)
@@ -48,3 +53,16 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a file or folder, in whatever store Spark can reach; nothing happens if there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def step(spark: SparkSession, rows: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The rows of a step of a long job, settled; every other folder that the step made is removed.
+
+    ``rows`` is called here, so that the folders it needs are known; they must not be needed later.
+    """
+    before = len(_made)
+    result = settle(rows(), purpose)
+    mine, _made[before:] = _made[before:-1], _made[-1:]
+    for path in mine:
+        discard(spark, path)
+    return result
