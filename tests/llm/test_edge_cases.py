@@ -354,8 +354,9 @@ def test_sketches_differ_in_no_more_bits_than_sets():
 
 
 def test_regions_with_the_same_points_are_one(spark):
-    rows = [(r, p, 9) for r in (1, 2, 3) for p in (10, 20)] + [(4, p, 9) for p in (10, 30)] + [(5, 10, 9)]
-    found = jaccard_join.merged(spark.createDataFrame(rows, "region long, point long, n long"))
-    assert sorted(map(tuple, found.select("region", "point", "weight").collect())) == [
-        (1, 10, 3), (1, 20, 3), (4, 10, 1), (4, 30, 1)
+    """The first of them in the global order stays, here by the least places."""
+    rows = [(r, p, 9, i) for i, r in enumerate((3, 1, 2)) for p in (10, 20)] + [(4, p, 9, 5) for p in (10, 30)] + [(5, 10, 9, 6)]
+    found = jaccard_join.merged(spark.createDataFrame(rows, "region long, point long, n long, pos long"))
+    assert sorted(map(tuple, found.select("region", "point", "pos", "weight").collect())) == [
+        (3, 10, 0, 3), (3, 20, 0, 3), (4, 10, 5, 1), (4, 30, 5, 1)
     ]
