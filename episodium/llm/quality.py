@@ -200,9 +200,11 @@ def with_evidence(rows: DataFrame, text_col: str, classifier: Classifier, names:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = classifier.evidence(batch.column(at).to_pylist())
-            columns = [*batch.columns, *[pa.array(found[:, i], pa.float64()) for i in range(found.shape[1])]]
-            yield pa.RecordBatch.from_arrays(columns, every)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                found = classifier.evidence(part.column(at).to_pylist())
+                columns = [*part.columns, *[pa.array(found[:, i], pa.float64()) for i in range(found.shape[1])]]
+                yield pa.RecordBatch.from_arrays(columns, every)
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     return rows.mapInArrow(run, schema)
