@@ -43,6 +43,33 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
     "all rights reserved": "ALL_RIGHTS",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE2_AS_IS",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL2_TERMS",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL2_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2_COPY",
+    "licensed under the mozilla public license version 2 0": "MPL2_REF",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21_GRANT",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3_GRANT",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LGPL_NO_WARRANTY",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LGPL_COPY",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3_GRANT",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPL_COPY",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC_AS_IS",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE_PUBLIC",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UNLICENSE_FREE",
+    "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0_DEDICATE",
+    "to the extent possible under law the authors have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0_DEDICATE",
+}
+# Licences that a line "SPDX-License-Identifier: ..." may name.
+SPDX = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "MPL-2.0", "Unlicense",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "CC-BY-NC-4.0",
+]
+SENTENCES |= {
+    "spdx license identifier " + name.lower().replace("-", " ").replace(".", " "): "SPDX_" + name.upper() for name in SPDX
 }
 # Licences and the identifier sequences that show them, in order of precedence.
 RULES = [
@@ -51,6 +78,13 @@ RULES = [
     ("GPL-2.0-or-later", ["GPL2_GRANT", "GPL_NO_WARRANTY", "GPL_COPY"]),
     ("BSD-3-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE"]),
     ("BSD-2-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
+    ("LGPL-2.1-or-later", ["LGPL21_GRANT", "LGPL_NO_WARRANTY", "LGPL_COPY"]),
+    ("LGPL-3.0-or-later", ["LGPL3_GRANT", "LGPL_NO_WARRANTY", "LGPL_COPY"]),
+    ("AGPL-3.0-or-later", ["AGPL3_GRANT", "GPL_NO_WARRANTY", "AGPL_COPY"]),
+    ("Apache-2.0", ["APACHE2_REF", "APACHE2_COMPLY", "APACHE2_COPY", "APACHE2_AS_IS"]),
+    ("MPL-2.0", ["MPL2_TERMS", "MPL2_COPY"]),
+    ("ISC", ["ISC_GRANT", "ISC_AS_IS"]),
+    ("Unlicense", ["UNLICENSE_PUBLIC", "UNLICENSE_FREE"]),
     ("Apache-2.0", ["APACHE2_REF", "APACHE2_COMPLY", "APACHE2_COPY"]),
     ("Apache-2.0", ["APACHE2_REF"]),
     ("Apache-2.0", ["APACHE2_NAME"]),
@@ -62,9 +96,19 @@ RULES = [
     ("CC-BY-NC-4.0", ["CC_BY_NC4_REF"]),
     ("CC-BY-SA-4.0", ["CC_BY_SA4_REF"]),
     ("CC-BY-4.0", ["CC_BY4_REF"]),
+    ("LGPL-2.1-or-later", ["LGPL21_GRANT"]),
+    ("LGPL-3.0-or-later", ["LGPL3_GRANT"]),
+    ("AGPL-3.0-or-later", ["AGPL3_GRANT"]),
+    ("MPL-2.0", ["MPL2_TERMS"]),
+    ("MPL-2.0", ["MPL2_REF"]),
+    ("ISC", ["ISC_GRANT"]),
+    ("Unlicense", ["UNLICENSE_PUBLIC"]),
+    ("CC0-1.0", ["CC0_DEDICATE"]),
     ("Proprietary", ["ALL_RIGHTS"]),
 ]
 
+RULES += [(name, ["SPDX_" + name.upper()]) for name in SPDX]
+
 #: What is neither letter, digit, white space nor a full stop is dropped; "-", "/" and ":" part words.
 _PARTING, _NOISE = "[-/:_]", r"[^\p{L}\p{N}. \t\n\x0b\x0c\r]"
 _END = r"[.]+([ \t\n\x0b\x0c\r]|\z)"
@@ -94,12 +138,21 @@ def normalised(text: Column) -> Column:
 
 
 def _any_of(known: Mapping[str, str]) -> str:
-    """A pattern of the known sentences, the longest first, on one line or on several in a row."""
-    quoted = [
-        r"[ \n]".join(rf"\Q{word}\E" for word in sentence.split(" "))
-        for sentence in sorted(known, key=len, reverse=True)
-    ]
-    return rf"(?<![^\n{_STOP}])(?:{_MARK})?(?:{'|'.join(quoted)})(?![^\n{_STOP}])"
+    """A pattern of the known sentences, on one line or on several in a row.
+
+    Sentences are grouped by their first word, so that most places are ruled out by few tries; of one
+    group the longest comes first.
+    """
+    groups: dict[str, list[list[str]]] = {}
+    for sentence in sorted(known, key=len, reverse=True):
+        first, *rest = sentence.split(" ")
+        groups.setdefault(first, []).append(rest)
+
+    def rest_of(words: list[str]) -> str:
+        return "".join(rf"[ \n]\Q{word}\E" for word in words)
+
+    options = [rf"\Q{first}\E(?:{'|'.join(map(rest_of, rests))})" for first, rests in groups.items()]
+    return rf"(?<![^\n{_STOP}])(?:{_MARK})?(?:{'|'.join(options)})(?![^\n{_STOP}])"
 
 
 def recognise(

@@ -101,3 +101,42 @@ def test_wrapped_notices(spark):
 def test_runs_of_lines(spark, text, ids, n):
     row = licenses.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row["sentence_ids"], row["n_sentences"]) == (ids, n)
+
+
+FURTHER = {
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU Affero General Public License for more details.
+#
+# You should have received a copy of the GNU Affero General Public License
+# along with this program.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "CC0-1.0": """To the extent possible under law, the author has dedicated all copyright
+and related and neighboring rights to this software to the public domain worldwide.""",
+    "GPL-2.0-or-later": "// SPDX-License-Identifier: GPL-2.0-or-later",
+    "MIT": "/* SPDX-License-Identifier: MIT */",
+    "BSD-3-Clause": "# SPDX-License-Identifier: BSD-3-Clause\nimport os",
+    "": "The SPDX-License-Identifier: MIT line is missing.\nSPDX-License-Identifier: NotOne",
+}
+
+
+def test_further_notices(spark):
+    rows = spark.createDataFrame(list(enumerate(FURTHER.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.recognise(rows).collect()}
+    assert [got[i] for i in range(len(FURTHER))] == list(FURTHER)
