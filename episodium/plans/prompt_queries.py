@@ -43,13 +43,15 @@ def chosen_sql(value: str, seed: str, key: str) -> str:
 def requests(spark, folder):
     """One prompt request per order: task, textures of its objects, values of its assets.
 
-    Writing prompts costs far more than moving two numbers, so rows are dealt out evenly first.
+    Writing prompts costs far more than moving two numbers, so rows are dealt out evenly first, over a
+    stated number of tasks, which adaptive execution does not merge.
     """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pick = lambda options, seed: X.pick_from(F.array(*[F.lit(str(o)) for o in options]), seed, F.col("idx"))
     rows = b.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 17).cast("int").alias("task")
     )
-    return rows.repartition("idx").select(
+    return rows.repartition(tasks, "idx").select(
         "*",
         pick(TEXTURES, "texture-a").alias("texture_a"),
         pick(TEXTURES, "texture-b").alias("texture_b"),
