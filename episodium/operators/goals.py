@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from episodium import dims
 from episodium.functions import pose as P
+from episodium.functions.joins import large
 from episodium.functions.ranking import running_index
 from episodium.operators.scene import allowed_matches, pose_matches
 
@@ -55,14 +56,14 @@ def nearest_open_target(objects: DataFrame, targets: DataFrame, allowed: DataFra
     """
     pairs = matched_pairs(objects, targets, allowed)
     takers = pairs.groupBy("idx", "k").agg(F.min("t").alias("t"))
-    waiting = objects.join(takers.select("idx", "t").distinct(), ["idx", "t"], "left_anti")
-    free = targets.join(takers.select("idx", "k"), ["idx", "k"], "left_anti").select(
+    waiting = objects.join(large(takers.select("idx", "t").distinct()), ["idx", "t"], "left_anti")
+    free = targets.join(large(takers.select("idx", "k")), ["idx", "k"], "left_anti").select(
         "idx", "k", F.col("x").alias("tx"), F.col("y").alias("ty")
     )
     if allowed is None:
-        possible = waiting.join(free, "idx")
+        possible = waiting.join(large(free), "idx")
     else:
-        possible = allowed.select("idx", "t", "k").join(waiting, ["idx", "t"]).join(free, ["idx", "k"])
+        possible = allowed.select("idx", "t", "k").join(large(waiting), ["idx", "t"]).join(large(free), ["idx", "k"])
     away = P.distance((F.col("x"), F.col("tx")), (F.col("y"), F.col("ty")))
     nearest = (
         possible.groupBy("idx", "t")
@@ -100,7 +101,7 @@ def pose_progress(
     done = on_target.groupBy("idx").agg(F.count(F.lit(1)).alias("done"))
     total = objects.groupBy("idx").agg(F.count(F.lit(1)).alias("objects"))
     progress = F.lit(max_progress) * F.coalesce("done", F.lit(0)) / F.col("objects")
-    return total.join(done, "idx", "left").select(
+    return total.join(large(done), "idx", "left").select(
         "idx",
         progress.alias("progress"),
         (F.abs(F.lit(max_progress) - progress) < dims.PROGRESS_TOLERANCE).alias("complete"),
@@ -123,7 +124,7 @@ def zone_progress(points: DataFrame, zones: DataFrame, top: float, max_progress:
     )
     share = F.lit(max_progress) * (F.count_if(inside) / F.count(F.lit(1)))
     return (
-        points.join(zones, "idx")
+        points.join(large(zones), "idx")
         .groupBy("idx")
         .agg(share.alias("progress"))
         .withColumn("complete", F.abs(F.lit(max_progress) - F.col("progress")) < dims.PROGRESS_TOLERANCE)
@@ -148,8 +149,8 @@ def rearrangement_outcome(headers: DataFrame, goals: DataFrame, conflicts: DataF
     finished = F.coalesce("left", F.lit(0)) == 0
     clashes = F.coalesce("clash", F.lit(False))
     return (
-        headers.join(remaining, "idx", "left")
-        .join(clash, "idx", "left")
+        headers.join(large(remaining), "idx", "left")
+        .join(large(clash), "idx", "left")
         .select(
             "idx",
             (finished & ~clashes).alias("success"),
@@ -194,9 +195,9 @@ def order_violations(goals: DataFrame) -> DataFrame:
         F.min(F.when(~F.col("done"), F.col("k"))).alias("current"),
         F.max("k").alias("last"),
     )
-    done = goals.where("done").join(state, "idx")
+    done = goals.where("done").join(large(state), "idx")
     early = done.where((F.col("k") > F.col("current")) & (F.col("k") < F.col("last")))
-    return state.join(early.select("idx").distinct().withColumn("early", F.lit(True)), "idx", "left").select(
+    return state.join(large(early.select("idx").distinct().withColumn("early", F.lit(True))), "idx", "left").select(
         "idx", "current", F.coalesce("early", F.lit(False)).alias("violated")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from episodium import dims
 from episodium.functions import pose as P
+from episodium.functions.joins import large
 
 
 def object_ids(*views: Column) -> Column:
@@ -103,7 +104,7 @@ def pose_matches(
     b = _renamed(b, equal, "r_")
     for k in equal:
         condition = condition & (F.col(k) == F.col("r_" + k))
-    joined = a.join(b, condition, how)
+    joined = a.join(large(b), condition, how)
     return joined.drop("__cx", "__cy", *["r_" + k for k in equal])
 
 
@@ -118,8 +119,8 @@ def allowed_matches(objects: DataFrame, targets: DataFrame, allowed: DataFrame,
     pairs = (
         allowed.select("idx", "t", "k")
         .distinct()
-        .join(objects.select("idx", "t", *place, "symmetry"), ["idx", "t"])
-        .join(_renamed(targets.select("idx", "k", *place), place, "target_"), ["idx", "k"])
+        .join(large(objects.select("idx", "t", *place, "symmetry")), ["idx", "t"])
+        .join(large(_renamed(targets.select("idx", "k", *place), place, "target_")), ["idx", "k"])
     )
     matching = P.poses_match(
         F.col("x"), F.col("y"), F.col("angle"),
@@ -147,7 +148,7 @@ def any_overlap(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFra
     condition = P.distance((F.col("x"), F.col("o_x")), (F.col("y"), F.col("o_y"))) <= limit
     for k in equal:
         condition = condition & (F.col(k) == F.col("o_" + k))
-    return a.join(b, condition, "left_semi").select(*keys).distinct()
+    return a.join(large(b), condition, "left_semi").select(*keys).distinct()
 
 
 # --- pixels ------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from episodium import dims
 from episodium.functions import pose as P
 from episodium.functions.arrays import lists_to_records, records_to_list
+from episodium.functions.joins import large
 from episodium.functions.keyed import sql_hash
 from episodium.operators import datasets as ds
 from episodium.operators import assets as at
@@ -533,7 +534,7 @@ def goals(stored, target_poses):
         .select("idx", F.col("t").alias("k"))
         .withColumn("done", F.lit(True))
     )
-    return moving.join(base, ["idx", "turn"]).drop("turn").join(done, ["idx", "k"], "left").withColumn(
+    return moving.join(large(base), ["idx", "turn"]).drop("turn").join(large(done), ["idx", "k"], "left").withColumn(
         "done", F.coalesce("done", F.lit(False))
     )
 
