@@ -61,15 +61,16 @@ def nearest_open_target(objects: DataFrame, targets: DataFrame, allowed: DataFra
         "idx", "k", F.col("x").alias("tx"), F.col("y").alias("ty")
     )
     if allowed is None:
-        possible = waiting.join(large(free), "idx")
+        # an episode's free targets meet each object as one list, so no pairs are sorted
+        lists = free.groupBy("idx").agg(F.collect_list(F.struct("k", "tx", "ty")).alias("free"))
+        away = lambda f: P.distance((F.col("x"), f["tx"]), (F.col("y"), f["ty"]))
+        reach = F.transform("free", lambda f: F.struct(away(f).alias("d"), f["k"].alias("k")))
+        best = waiting.select("idx", "t", "x", "y").join(large(lists), "idx").select("idx", "t", F.array_min(reach).alias("best"))
     else:
         possible = allowed.select("idx", "t", "k").join(large(waiting), ["idx", "t"]).join(large(free), ["idx", "k"])
-    away = P.distance((F.col("x"), F.col("tx")), (F.col("y"), F.col("ty")))
-    nearest = (
-        possible.groupBy("idx", "t")
-        .agg(F.min(F.struct(away.alias("d"), "k")).alias("best"))
-        .select("idx", "t", F.col("best.k").alias("k"), F.col("best.d").alias("distance"))
-    )
+        away = P.distance((F.col("x"), F.col("tx")), (F.col("y"), F.col("ty")))
+        best = possible.groupBy("idx", "t").agg(F.min(F.struct(away.alias("d"), "k")).alias("best"))
+    nearest = best.select("idx", "t", F.col("best.k").alias("k"), F.col("best.d").alias("distance"))
     return running_index(nearest, ["idx"], [-F.col("distance"), F.col("t")], "rank")
 
 

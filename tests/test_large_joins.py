@@ -20,3 +20,7 @@ def test_a_large_side_is_not_broadcast(spark):
 @pytest.mark.parametrize("name", ["j9_allowed_targets", "a17_rearrangement_outcome", "j10_distractor_conflicts", "j9_nearest_open_target"])
 def test_goals_send_no_table_through_the_driver(spark, folder, name):
     assert "BroadcastExchange" not in plan(catalogue.QUERIES[name](spark, folder))
+
+
+def test_nearest_target_sorts_no_pairs(spark, folder):
+    assert "SortAggregate" not in plan(catalogue.QUERIES["j9_nearest_open_target"](spark, folder))
