@@ -242,8 +242,8 @@ def follow_goals(steps: DataFrame, goals: list[Column], skipped: list[bool] | No
     popped.  ``violated_at`` is the first step at which a later goal (the last one, which restores
     the start, does not count) holds while the current one does not.
 
-    One pass: slices of steps are folded from every state they may start in, next to the data, and
-    an episode joins its slices, so no array holds more than ``SLICE_STEPS`` steps or one entry per
+    One pass: slices of steps (``t`` from 0 on) are folded from every state they may start in, next to the
+    data, and an episode joins its slices, so no array holds more than ``SLICE_STEPS`` steps or one entry per
     slice.
     """
     rounds = [g for k, g in enumerate(goals) if not (skipped and skipped[k])]
@@ -255,7 +255,8 @@ def follow_goals(steps: DataFrame, goals: list[Column], skipped: list[bool] | No
         .groupBy("idx", F.floor(F.col("t") / SLICE_STEPS).alias("slice"))
         .agg(F.sort_array(F.collect_list(marked)).alias("marks"))
     )
-    starts = F.sequence(F.lit(0), F.lit(m))
+    # nothing is popped before an episode's first slice, often its only one
+    starts = F.when(F.col("slice") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(m)))
     folded = slices.select("idx", "slice", F.transform(starts, lambda s: _popped(F.col("marks"), m, s)).alias("ends"))
     episodes = folded.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("slice", "ends"))).alias("slices"))
     kind = "struct<done:int,times:array<bigint>,early:bigint>"
