@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ SHAPES, SHAPE_BINS = 7, 16
 #: and at least the root of the number of rows (copies among the rows inflate it).  So many at most.
 LEAST_G, MOST_FEATURES = 15.0, 4096
 FEATURES = WORD_BUCKETS + SHAPES * SHAPE_BINS
+#: Rows whose features are counted at a time.
+COUNTED_ROWS = 256
 #: Bounds of the prior strengths, in documents.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 EDGE = 1e-4
@@ -86,11 +89,19 @@ def features(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
             yield np.concatenate([np.unique(buckets[offsets[i] : offsets[i + 1]]), shape[i]])
 
 
-def telling(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each feature is, a block of rows at a time."""
+    out = np.zeros(FEATURES)
+    for first in range(0, len(rows), COUNTED_ROWS):
+        out += np.bincount(np.concatenate(rows[first : first + COUNTED_ROWS]), minlength=FEATURES)
+    return out
+
+
+def telling(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which features tell the classes apart, by the G statistic of their two-by-two tables."""
-    rows, positive = len(sizes), labels.sum()
-    n = np.bincount(flat, minlength=FEATURES).astype(float)
-    both = np.bincount(flat, np.repeat(labels, sizes), FEATURES)
+    rows, positive = len(found), labels.sum()
+    n = _counts(found)
+    both = _counts([r for r, label in zip(found, labels) if label])
 
     def term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
@@ -113,9 +124,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: flo
     weights = np.zeros(FEATURES)
     if len(rows) == 0 or labels.min() == labels.max():
         return weights, 0.0
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    chosen = telling(flat, sizes, labels)[flat]
-    flat, owner = flat[chosen], np.repeat(np.arange(len(rows)), sizes)[chosen]
+    chosen = telling(rows, labels)
+    told = [r[chosen[r]] for r in rows]
+    flat, owner = np.concatenate(told), np.repeat(np.arange(len(rows)), [len(r) for r in told])
     rate = labels.mean()
     bias = float(np.log(rate / (1 - rate)))
     speed, bias_speed = np.full(FEATURES, 1e-8), 1e-8
@@ -183,15 +194,16 @@ def train(
         .select("doc_id", F.col("quality").cast("long"), F.col("toxic").cast("long"), "text")
     )
     kind = joined.schema["doc_id"].dataType.simpleString()
-    table = (
-        joined.mapInArrow(run, f"doc_id {kind}, quality long, toxic long, features array<int>")
-        .toArrow()
-        .sort_by("doc_id")
-    )
-    rows = [np.asarray(x.values) for x in table.column("features").combine_chunks()] if table.num_rows else []
-    return Classifier(
-        rows, table.column("quality").to_numpy().astype(int), table.column("toxic").to_numpy().astype(int)
-    )
+    table = joined.mapInArrow(run, f"doc_id {kind}, quality long, toxic long, features array<int>").toArrow()
+    # in order of the ids, without another copy of the features
+    order = pc.sort_indices(table.column("doc_id")).to_numpy()
+    found = [np.asarray(x.values) for chunk in table.column("features").chunks for x in chunk]
+    quality, toxic = (table.column(c).to_numpy().astype(int)[order] for c in ("quality", "toxic"))
+    classifier = Classifier([found[i] for i in order], quality, toxic)
+    # the sample goes back to the system, else the driver keeps room for it to its end
+    del table, found
+    pa.default_memory_pool().release_unused()
+    return classifier
 
 
 def with_evidence(rows: DataFrame, text_col: str, classifier: Classifier, names: Sequence[str]) -> DataFrame:
