@@ -29,7 +29,7 @@ _MANIFESTS = "_manifests"
 _STAGED = re.compile(r"split=([^/]*)/shard=([0-9]+)/part-[^/]*\.parquet$")
 
 
-class _Folder:
+class Folder:
     """The files of a folder, in whatever store Spark can reach."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -51,6 +51,9 @@ class _Folder:
                 found.append(path[path.index(f"/{folder}/") + 1 :])
         return found
 
+    def make(self) -> None:
+        self.fs.mkdirs(self._path(self.root))
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(f"{self.root}/{name}"))
 
@@ -64,14 +67,14 @@ class _Folder:
         self.fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
-def _newest(folder: _Folder) -> int:
+def _newest(folder: Folder) -> int:
     """Number of the last committed manifest, 0 if there is none."""
     return max((int(n) for n in folder.names(_MANIFESTS) if n.isdigit()), default=0)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """(split, shard, shards, n_rows, fingerprint, file) of the data set, None if there is none yet."""
-    newest = _newest(_Folder(spark, path))
+    newest = _newest(Folder(spark, path))
     return read_or_none(spark, f"{path}/{_MANIFESTS}/{newest}") if newest else None
 
 
@@ -106,7 +109,7 @@ def publish_shards(
     if any(not re.fullmatch("[A-Za-z0-9_.]+", name) for name in shards):
         raise ValueError("names of splits must be of letters, digits, dots and underscores")
     spark = rows.sparkSession
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     version = _newest(folder)
     sharded = assign_shards(rows.withColumnRenamed(split, "split"), "split", key, shards)
     by = ["split", "shard"]
@@ -148,7 +151,7 @@ def publish_shards(
     return done
 
 
-def _staged_files(folder: _Folder, at: str) -> dict[tuple[str, int], str]:
+def _staged_files(folder: Folder, at: str) -> dict[tuple[str, int], str]:
     """The staged file of each shard."""
     found = {}
     for name in folder.files_below(at):
@@ -158,7 +161,7 @@ def _staged_files(folder: _Folder, at: str) -> dict[tuple[str, int], str]:
     return found
 
 
-def _sweep(folder: _Folder, wanted: set[str], newest: int) -> None:
+def _sweep(folder: Folder, wanted: set[str], newest: int) -> None:
     """Remove shard files that the newest manifest does not list, and older manifests."""
     for name in folder.names():
         if name.endswith(".parquet") and name not in wanted:

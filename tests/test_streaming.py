@@ -83,3 +83,36 @@ def test_repeated_deliveries_count_once(spark, tmp_path):
     once = jobs.deduplicated(stream, "arrived", ["idx", "t"], "1 hour")
     jobs.log_stream(once, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(60)
     assert jobs.read_log(spark, str(tmp_path / "log")).count() == 10
+
+
+def test_steps_of_a_third_batch_count_and_a_retried_batch_changes_nothing(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    kind = "idx bigint, t bigint, success boolean, reason string, is_last boolean"
+    batches = [
+        [(1, 0, False, None, False), (2, 1, True, None, True), (3, 0, False, None, False)],
+        [(1, 1, False, None, False), (1, 1, False, None, False), (2, 0, True, None, False)],
+        [(1, 2, True, "success", False), (2, 0, False, None, True), (4, 0, False, "failed", False)],
+    ]
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for rows in batches:
+        frame = spark.createDataFrame(rows, kind).withColumn("arrived", at)
+        frame.coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.file_stream(spark, source, jobs.STEP_SCHEMA)
+    jobs.start_buffer(jobs.buffer_episodes(stream, 4), target, checkpoint).awaitTermination(120)
+    ended = {(1, 3, "001", True, "success"), (2, 2, "11", True, "end"), (4, 1, "0", False, "failed")}
+
+    def found():
+        rows = [tuple(r) for r in spark.read.schema(jobs.CLOSED_SCHEMA).parquet(target).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    assert found() == ended
+    # the last batch once more, as after a failure; then time passes
+    again = spark.createDataFrame(batches[2], kind).withColumn("arrived", at)
+    buffer = jobs.EpisodeBuffer(4, 3_600_000, target, checkpoint)
+    buffer(again, 2)
+    assert found() == ended
+    later = spark.createDataFrame([(5, 0, True, "success", False)], kind)
+    buffer(later.withColumn("arrived", F.lit("2024-01-01 02:00:00").cast("timestamp")), 3)
+    assert found() - ended == {(5, 1, "1", True, "success"), (3, 1, "0", False, "timeout")}
+    assert not spark.read.parquet(f"{checkpoint}/episodes/3").where("idx = 1").count()
