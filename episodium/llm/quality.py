@@ -56,14 +56,14 @@ def features(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         part = texts[first:last]
         found, offsets, *firsts = words.hash_words(part, words.PUNCTUATION, HEADS)
         raw = [(t or "").encode() for t in part]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        joined = b"\n".join(raw) + b"\n"
         starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])[:-1]])
 
         def count(flags: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(flags[data].astype(np.int64), starts)
+            return np.add.reduceat(np.frombuffer(joined.translate(flags.tobytes()), np.uint8), starts, dtype=np.int64)
 
         n_words = np.diff(offsets)
-        distinct = np.array([len(np.unique(found[a:b])) for a, b in zip(offsets[:-1], offsets[1:])])
+        distinct = np.array([len(words.distinct(found[a:b])) for a, b in zip(offsets[:-1], offsets[1:])])
         letters = count(_LETTER)
         one = np.zeros(256, bool)
 
@@ -86,7 +86,7 @@ def features(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
             parts = [found, *[words.mix(f + np.uint64(n)) for f, n in zip(firsts, HEADS)]]
         buckets = np.stack([(p % np.uint64(WORD_BUCKETS)).astype(np.int32) for p in parts], axis=1)
         for i in range(len(part)):
-            yield np.concatenate([np.unique(buckets[offsets[i] : offsets[i + 1]]), shape[i]])
+            yield np.concatenate([words.distinct(buckets[offsets[i] : offsets[i + 1]].ravel()), shape[i]])
 
 
 def _counts(rows: list[np.ndarray]) -> np.ndarray:
